@@ -39,8 +39,12 @@ def filled(c: Column | str) -> Column:
 
 
 def first_filled(*cols: Column | str) -> Column:
-    """First non-blank of several columns, trimmed; empty string if none."""
-    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cols], F.lit(""))
+    """First non-blank of several columns, trimmed; empty string if none.
+
+    Every input is mentioned once: a chain of ``nullif`` would copy each input into the
+    expression twice and nested uses would outgrow the generated-method limit.
+    """
+    return F.coalesce(F.get(F.array_remove(F.array(*[text(c) for c in cols]), ""), F.lit(0)), F.lit(""))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -48,6 +52,11 @@ def squeeze(c: Column | str) -> Column:
     return F.regexp_replace(col(c), WS + "+", "")
 
 
+def squeeze_short(c: Column | str) -> Column:
+    """White space removed from a short field, by a character table instead of a pattern."""
+    return F.translate(col(c), WS_CHARS, "")
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one space, ends trimmed."""
     return F.trim(F.regexp_replace(col(c), WS + "+", " "))

@@ -33,18 +33,12 @@ def stats_day(*cols: Column | str) -> Column:
 
 
 def parse_time(c: Column | str) -> Column:
-    """Timestamp from mixed text: slash or dash dates, short parts, optional clock; else NULL."""
+    """Timestamp from mixed text: slash or dash dates, short parts, optional clock after a space,
+    or a bare month; text after the date is ignored; anything else is NULL."""
     s = F.regexp_replace(F.translate(text(c), "/", "-"), WS + "+", " ")
-    rx = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?"
-    g = [F.regexp_extract(s, rx, i) for i in range(1, 7)]
-    two = [F.lpad(x, 2, "0") for x in g[1:]]
-    built = F.concat(g[0], F.lit("-"), two[0], F.lit("-"), two[1], F.lit(" "),
-                     two[2], F.lit(":"), two[3], F.lit(":"), two[4])
-    month_only = s.rlike(r"^\d{4}-\d{1,2}$")
-    built_month = F.concat(F.substring(s, 1, 5), F.lpad(F.substring_index(s, "-", -1), 2, "0"),
-                           F.lit("-01 00:00:00"))
-    txt = F.when(g[0] != "", built).when(month_only, built_month)
-    return F.try_to_timestamp(txt, F.lit("yyyy-MM-dd HH:mm:ss"))
+    head = F.regexp_extract(
+        s, r"^(\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{1,2}(?::\d{1,2})?)?|\d{4}-\d{1,2}$)", 1)
+    return F.try_to_timestamp(head, F.lit("yyyy-M[-d[ H:m[:s]]]"))
 
 
 def event_time(reviewed: Column | str = "reviewed_at", created: Column | str = "create_time") -> Column:

@@ -3,38 +3,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import (
-    all_of, any_of, blank, col, filled, first_filled, squeeze, strip, text)
+from plaintide.functions.common import blank, col, filled, first_filled, squeeze_short, strip, text
 from plaintide.functions.meta import json_text
 from plaintide.packs import labels as pack
 
 
-def try_canonicalize_l1(c: Column | str, aliases=pack.L1_ALIASES, rules=pack.L1_CONTAINMENT) -> Column:
-    """One of the canonical classes, or NULL when the name is not recognised."""
-    t = squeeze(c)
-    out = None
-    for canon in dict.fromkeys(aliases.values()):
-        names = [a for a, target in aliases.items() if target == canon]
-        out = F.when(t.isin(names), canon) if out is None else out.when(t.isin(names), canon)
+def _any_order(words) -> str:
+    """Pattern for a text that holds every one of the words."""
+    return "".join(f"(?=.*{w})" for w in words) + ".*"
+
+
+def _by_containment(t: Column, rules) -> Column:
+    """Applies the containment rules as a chain of whole-text replacements.
+
+    No rule matches the class names that earlier rules produce, so the first match wins. The
+    input is mentioned once, which keeps the generated code linear in the number of rules.
+    """
     for equal, holds, ending, canon in rules:
-        tests = []
-        if equal:
-            tests.append(t.isin(list(equal)))
+        options = list(equal)
         if holds:
-            tests.append(all_of([t.contains(h) for h in holds]))
+            options.append(_any_order(holds))
         if ending:
-            tests.append(t.endswith(ending))
-        out = out.when(any_of(tests), canon)
-    return out.otherwise(F.lit(None).cast("string"))
+            options.append(f".*{ending}")
+        t = F.regexp_replace(t, f"^(?:{'|'.join(options)})$", canon)
+    return t
+
+
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+
+
+def try_canonicalize_l1(c: Column | str, aliases=pack.L1_ALIASES, rules=pack.L1_CONTAINMENT) -> Column:
+    """One of the canonical classes, or NULL when the name is not recognised."""
+    t = squeeze_short(c)
+    return F.coalesce(_lookup(aliases, t), _lookup({v: v for v in aliases.values()}, _by_containment(t, rules)))
 
 
 def canonicalize_l1(c: Column | str, default: str = pack.SERVICE) -> Column:
     return F.coalesce(try_canonicalize_l1(c), F.lit(default))
 
 
-def canonical_or_blank(c: Column | str) -> Column:
+def canonical_or_blank(c: Column | str, default: str = pack.SERVICE) -> Column:
     """Canonical class, but an empty name stays empty."""
-    return F.when(blank(c), F.lit("")).otherwise(canonicalize_l1(c))
+    return F.coalesce(try_canonicalize_l1(F.coalesce(col(c), F.lit("")), {"": "", **pack.L1_ALIASES}), F.lit(default))
 
 
 def l1_filter_variants(name: str, aliases=pack.L1_ALIASES, default: str = pack.SERVICE) -> list[str]:

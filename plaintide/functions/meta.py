@@ -10,14 +10,12 @@ def json_get(doc: Column | str, key: str) -> Column:
     """One top-level key as text. NULL for broken text, a non-object, a missing key or a dotted path."""
     if not key or "." in key:
         return F.lit(None).cast("string")
-    d = strip(doc)
-    return F.when(d.startswith("{"), F.get_json_object(d, f"$['{key}']"))
+    return F.get_json_object(strip(doc), f"$['{key}']")
 
 
 def json_text(doc: Column | str, key: str) -> Column:
-    """Trimmed text of a key, empty when absent. JSON false and zero count as absent."""
-    v = json_get(doc, key)
-    return F.when(v.isin("false", "0", "0.0", "[]", "{}"), F.lit("")).otherwise(text(v))
+    """Trimmed text of a key, empty when absent. JSON false, zero and empty nests count as absent."""
+    return F.regexp_replace(text(json_get(doc, key)), r"^(?:false|0|0\.0|\[\]|\{\})$", "")
 
 
 def materialized(doc: Column | str) -> dict[str, Column]:

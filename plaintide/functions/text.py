@@ -46,10 +46,10 @@ def mask_phone(c: Column | str) -> Column:
             .otherwise(F.concat(F.substring(t, 1, 3), F.lit("****"), F.right(t, F.lit(2)))))
 
 
-def scrub(c: Column | str, phone: str = "[手机号]", vin: str = "[VIN]") -> Column:
+def scrub(c: Column | str, phone: str = "138****0000", vin: str = "VIN****") -> Column:
     """Mobile numbers and 17-character vehicle ids blanked out in free text."""
     t = F.regexp_replace(col(c), r"1[3-9]\d{9}", phone)
-    return F.regexp_replace(t, r"[A-HJ-NPR-Z0-9]{17}", vin)
+    return F.regexp_replace(t, r"(?i)[A-HJ-NPR-Z0-9]{17}", vin)
 
 
 def model_name(c: Column | str, names=lp.MODEL_NAMES) -> Column:

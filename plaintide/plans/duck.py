@@ -93,7 +93,7 @@ MONTH = f"substr({DAY}, 1, 7)"
 
 def time_of(x: str) -> str:
     t = f"replace({s(x)}, '/', '-')"
-    rx = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?"
+    rx = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?"
     part = [f"regexp_extract({t}, '{rx}', {i})" for i in range(1, 7)]
     pad = [f"lpad({p}, 2, '0')" for p in part[1:]]
     built = (f"{part[0]} || '-' || {pad[0]} || '-' || {pad[1]} || ' ' || "

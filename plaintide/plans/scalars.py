@@ -208,8 +208,8 @@ def _(spark, d):
 
 @query("scrub_quote", r"""
 WITH t AS (SELECT opinion_id, concat(vin, ' / ', phone, ' / ', original_text) AS body FROM opinion)
-SELECT opinion_id, md5(regexp_replace(regexp_replace(body, '1[3-9]\d{9}', '[手机号]', 'g'),
-       '[A-HJ-NPR-Z0-9]{17}', '[VIN]', 'g')) AS scrubbed FROM t""")
+SELECT opinion_id, md5(regexp_replace(regexp_replace(body, '1[3-9]\d{9}', '138****0000', 'g'),
+       '(?i)[A-HJ-NPR-Z0-9]{17}', 'VIN****', 'g')) AS scrubbed FROM t""")
 def _(spark, d):
     body = F.concat("vin", F.lit(" / "), "phone", F.lit(" / "), "original_text")
     return opinion(spark, d).select("opinion_id", F.md5(tx.scrub(body)).alias("scrubbed"))
