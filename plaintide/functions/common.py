@@ -126,26 +126,32 @@ def top_rows(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k
     return first.withColumn(rank, F.row_number().over(w2)).filter(F.col(rank) <= k)
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", start: int = 1) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Row number over a total order without a single-task window.
 
     Rows are range-partitioned by the order, numbered inside each partition, and shifted by the
-    running total of the partition sizes (one small row per partition).
+    running total of the partition sizes (one small row per partition, so that window is tiny).
+    The numbering and the sizes must see the same cut, so the cut is checkpointed once.
     """
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    # The sizes and the numbering must see the same cut, so it is materialised once.
     from plaintide.session import checkpoint_dir
-    checkpoint_dir(spark)
-    parts = parts.checkpoint(eager=True)
-    sizes = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = (sizes.withColumn("_off", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("_pid", "_off"))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return (parts.withColumn("_local", local).join(F.broadcast(before), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_local") + F.lit(start - 1)).cast("bigint"))
-            .drop("_pid", "_off", "_local"))
+
+    checkpoint_dir(df.sparkSession)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True))
+    pid, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = parts.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (parts.withColumn("_pid", pid).join(F.broadcast(before), "_pid")
+            .withColumn(name, F.col("_off") + local + 1).drop("_pid", "_off", "_id"))
+
+
+def rank_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """Row number inside each group, for groups of any size: the rank over (group, order) minus
+    the group's first rank. Meant for few groups (classes), whose first ranks form a small table."""
+    ranked = global_rank(df, [F.col(group), *order], "_g")
+    first = ranked.groupBy(group).agg(F.min("_g").alias("_first"))
+    return ranked.join(first, group).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")

@@ -8,25 +8,22 @@ from plaintide.functions.meta import json_text
 from plaintide.packs import labels as pack
 
 
-def _any_order(words) -> str:
-    """Pattern for a text that holds every one of the words."""
-    return "".join(f"(?=.*{w})" for w in words) + ".*"
-
-
-def _by_containment(t: Column, rules) -> Column:
-    """Applies the containment rules as a chain of whole-text replacements.
-
-    No rule matches the class names that earlier rules produce, so the first match wins. The
-    input is mentioned once, which keeps the generated code linear in the number of rules.
-    """
+def _containment_pattern(rules) -> tuple[str, str, dict[str, str]]:
+    """The ordered containment rules as one alternation: pattern, replacement and a table from the
+    replaced text to the class. Alternatives are tried left to right, so the first rule wins, and
+    one compact pattern keeps the generated code small where a label is used many times."""
+    parts, table = [], {}
     for equal, holds, ending, canon in rules:
-        options = list(equal)
+        parts += [f"({w})" for w in equal]
         if holds:
-            options.append(_any_order(holds))
+            rest = "".join(f"(?=.*{w})" for w in holds[1:])
+            parts.append(f"{rest}.*({holds[0]}).*")
         if ending:
-            options.append(f".*{ending}")
-        t = F.regexp_replace(t, f"^(?:{'|'.join(options)})$", canon)
-    return t
+            parts.append(f".*({ending})")
+        for word in (*equal, *holds[:1], *([ending] if ending else [])):
+            table["#" + word] = canon
+    groups = "".join(f"${i + 1}" for i in range(len(parts)))
+    return f"^(?:{'|'.join(parts)})$", "#" + groups, table
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -36,7 +33,8 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 def try_canonicalize_l1(c: Column | str, aliases=pack.L1_ALIASES, rules=pack.L1_CONTAINMENT) -> Column:
     """One of the canonical classes, or NULL when the name is not recognised."""
     t = squeeze_short(c)
-    return F.coalesce(_lookup(aliases, t), _lookup({v: v for v in aliases.values()}, _by_containment(t, rules)))
+    pattern, replacement, table = _containment_pattern(rules)
+    return F.coalesce(_lookup(aliases, t), _lookup(table, F.regexp_replace(t, pattern, replacement)))
 
 
 def canonicalize_l1(c: Column | str, default: str = pack.SERVICE) -> Column:

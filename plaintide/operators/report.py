@@ -67,8 +67,8 @@ def day_spine(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
 def month_spine(spark: SparkSession, day_from: str, day_to: str) -> DataFrame:
     """Every month of the window as YYYY-MM; one row per month, so always a tiny table."""
     first, last = (F.to_date(F.lit(x[:7] + "-01")) for x in (day_from, day_to))
-    return spark.range(1).select(F.date_format(F.explode(
-        F.sequence(first, last, F.expr("interval 1 month"))), "yyyy-MM").alias("month_key"))
+    months = F.sequence(first, last, F.expr("interval 1 month"))
+    return spark.range(1).select(F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))).alias("month_key"))
 
 
 def daily_accuracy_trend(df: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:

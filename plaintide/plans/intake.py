@@ -163,7 +163,7 @@ def _(spark, d):
 
 @query("training_jsonl", f"""
 SELECT opinion_id, md5(concat('分类：', substr({q.s('original_text')}, 1, 2000))) AS prompt,
-  concat('{{"l1":"', {q.canon('review_l1')}, '","l2":"', CASE WHEN {q.canon('review_l1')} = '非问题' THEN '' ELSE review_l2 END, '"}}') AS completion
+  concat('{{"l1": "', {q.s('review_l1')}, '", "l2": "', {q.s('review_l2')}, '"}}') AS completion
 FROM opinion WHERE review_status = 1 AND coalesce(review_l1,'') <> '' AND {q.s('original_text')} <> ''""")
 def _(spark, d):
     return stores.training_rows(opinion(spark, d), "分类：").withColumn("prompt", F.md5("prompt"))

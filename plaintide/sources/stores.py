@@ -137,12 +137,21 @@ def write_monthly_archive(df: DataFrame, path: str) -> None:
      .partitionBy("year", "month").parquet(path))
 
 
+def json_quoted(c: Column | str) -> Column:
+    """A string as a JSON literal."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
 def training_rows(df: DataFrame, instruction: str = "", max_chars: int = 2000) -> DataFrame:
-    """Prompt and completion; the completion is compact JSON with the two human labels."""
-    l1, l2 = labels.strip_non_issue("review_l1", "review_l2")
+    """Prompt and completion; the completion is JSON with the two human labels."""
     return df.filter(labels.is_reviewed() & filled("review_l1") & filled("original_text")).select(
         "opinion_id", F.concat(F.lit(instruction), F.substring(text("original_text"), 1, max_chars)).alias("prompt"),
-        F.to_json(F.struct(l1.alias("l1"), l2.alias("l2"))).alias("completion"))
+        F.concat(F.lit('{"l1": '), json_quoted(text("review_l1")), F.lit(', "l2": '), json_quoted(text("review_l2")),
+                 F.lit("}")).alias("completion"))
+
+
+def write_training_rows(df: DataFrame, path: str) -> None:
+    df.select("prompt", "completion").write.mode("overwrite").json(path)
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame, key: str = "opinion_id") -> DataFrame:
