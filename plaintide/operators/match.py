@@ -23,8 +23,11 @@ PENDING_L3 = "其他-待归类"
 
 def _grams(c: Column, sizes: Sequence[int]) -> Column:
     """Distinct substrings of the given lengths."""
-    per = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(0))), lambda i, n=n: F.substr(c, i, F.lit(n))) for n in sizes]
-    per = [F.when(F.length(c) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(sizes, per)]
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
+        pieces = F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, pieces).otherwise(F.array().cast("array<string>"))
+    per = [of_size(n) for n in sizes]
     return F.array_distinct(F.concat(*per))
 
 

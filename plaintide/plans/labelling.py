@@ -238,8 +238,9 @@ CASC = f"""{SC}, {TAX}, {CLU}, {HINT}, {GOLD},
 
 
 @query("match_cascade", f"""
-WITH {CASC} SELECT c0.opinion_id, coalesce(g1, r1, mm.l1) AS l1, coalesce(g3, r3, mm.l3) AS l3, CASE WHEN g1 IS NOT NULL THEN 'gold_review' WHEN c0.h IS NOT NULL THEN 'clean_l1' WHEN r1 IS NOT NULL THEN 'rule' ELSE mm.mt END AS match_type
-FROM c0 LEFT JOIN mm ON mm.id = c0.id""")
+WITH {CASC}, fin AS (SELECT c0.opinion_id, coalesce(g1, r1, mm.l1) AS l1, coalesce(g3, r3, mm.l3) AS l3,
+  CASE WHEN g1 IS NOT NULL THEN 'gold_review' WHEN c0.h IS NOT NULL THEN 'clean_l1' WHEN r1 IS NOT NULL THEN 'rule' WHEN mm.l3 = 'weak-s' THEN 'generic_l3' ELSE mm.mt END AS mt FROM c0 LEFT JOIN mm ON mm.id = c0.id)
+SELECT opinion_id, CASE WHEN l3 IS NOT NULL THEN l1 END AS l1, l3, CASE WHEN l3 IS NOT NULL THEN mt END AS match_type FROM fin""")
 def _(spark, d):
     o = opinion(spark, d)
     m = M.match_cascade(o, PK, taxonomy(spark), clusters(spark), M.gold_rows(o), hints(o))
