@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from plaintide.functions.common import col, collapse, text
+from plaintide.functions.meta import json_map
 from plaintide.packs import insight as pk, labels as lp
 
 
@@ -23,8 +24,7 @@ def _severity(hit: dict[str, Column], intent: Column) -> Column:
 def attach_insight(doc: Column | str, fields: dict[str, Column],
                    core=("l1", "l2", "l3", "confidence", "match_type")) -> Column:
     """JSON with the insight keys added; existing core keys are never replaced."""
-    base = F.coalesce(F.from_json(F.coalesce(col(doc), F.lit("")), "map<string,string>"),
-                      F.create_map().cast("map<string,string>"))
+    base = json_map(doc)
     names = [k for k in fields if k not in core]
     kept = F.map_filter(base, lambda k, v: ~k.isin(names))
     extra = F.create_map(*[x for k in names for x in (F.lit(k), fields[k].cast("string"))])

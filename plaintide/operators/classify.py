@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaintide.functions import labels
 from plaintide.functions.common import (
     all_of, any_of, contains_any, count_when, filled, squeeze, strip, text)
-from plaintide.functions.meta import json_get
+from plaintide.functions.meta import is_json_object, json_get
 from plaintide.operators import rules as R
 from plaintide.packs import labels as lp
 from plaintide.schema import LOW_CONFIDENCE_BELOW
@@ -333,7 +333,7 @@ def model_response_parse(df: DataFrame, answer: str, whitelist: DataFrame) -> Da
     for it. Adds status, l1, l2, risk_level, confidence, keywords."""
     d = df.withColumn("_o", F.regexp_extract(F.coalesce(F.col(answer), F.lit("")), r"(?s)\{.*\}", 0))
     pick = lambda *ks: F.coalesce(*[F.nullif(text(json_get("_o", k)), F.lit("")) for k in ks], F.lit(""))
-    ok = F.col("_o").rlike(r"(?s)^\{") & F.try_parse_json("_o").isNotNull()
+    ok = is_json_object("_o")
     d = d.withColumns({"_ok": ok, "_l1": labels.try_canonicalize_l1(pick("l1", "一级标签")), "_l2": pick("l2", "二级标签"),
                        "_risk": pick("风险等级", "risk_level"), "_kw": pick("问题关键词", "keywords"),
                        "_conf": json_get("_o", "confidence").try_cast("double")})

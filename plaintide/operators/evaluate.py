@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plaintide.functions import labels
 from plaintide.functions.common import any_of, collapse, count_when, filled, pct, share, strip, text
 from plaintide.functions.dates import event_time
-from plaintide.functions.meta import materialized
+from plaintide.functions.meta import json_map, materialized
 from plaintide.operators.keyed import pick_per_key
 from plaintide.packs import audit as ap, labels as lp
 
@@ -139,7 +139,7 @@ def label_patch_rows(rows: DataFrame, stamp: str, meta: str = "v3_label_meta") -
     # A generator instead of a filter: a filter would be pushed below the projection that makes the
     # labels and repeat each label expression at every mention.
     r = rows.withColumn("kind", F.explode(F.split(F.when(l1_fix, "l1").when(l2_fix, "l2"), ",")))
-    old = F.coalesce(F.from_json(F.coalesce(F.col(meta), F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    old = json_map(meta)
     names = ("l1", "l2", "patched_at")
     kept = F.map_filter(old, lambda k, v: ~k.isin(*names))
     new = F.create_map(F.lit("l1"), F.col("replay_l1"), F.lit("l2"), F.col("replay_l2"), F.lit("patched_at"), F.lit(stamp))

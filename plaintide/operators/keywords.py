@@ -22,8 +22,8 @@ def keyword_tf(df: DataFrame, key: str = "doc_id", body: str = "text", top: int
     The rank window is per document, so its group is bounded by one text's distinct words.
     """
     counts = token_counts(df, key, body)
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
-    scored = counts.join(totals, key).withColumn("score", F.col("n") / F.col("total"))
+    total = F.sum("n").over(Window.partitionBy(key))
+    scored = counts.withColumn("score", F.col("n") / total)
     if with_idf:
         docs = df.agg(F.count_distinct(key).alias("d")).scalar()
         freq = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))

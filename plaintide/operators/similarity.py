@@ -32,8 +32,9 @@ def hashing_embedding(df: DataFrame, key: str = "doc_id", body: str = "text", di
         raise ValueError("the size must divide 256")
     t = F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), WS + "+", "")
     t = F.when(F.length(t) < ngram, F.substring(F.concat(t, F.lit("·" * ngram)), 1, ngram)).otherwise(t)
-    g = df.select(key, t.alias("_t")).select(key, "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - (ngram - 1))).alias("_i"))
-    tail = F.conv(F.right(F.md5(F.substr("_t", "_i", F.lit(ngram))), F.lit(4)), 16, 10).cast("int")
+    # A look-ahead yields every overlapping n-gram in one linear pass over the text.
+    g = df.select(key, F.explode(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ngram), F.lit(1))).alias("_g"))
+    tail = F.conv(F.right(F.md5("_g"), F.lit(4)), 16, 10).cast("int")
     s = g.select(key, tail.alias("_h")).select(
         key, F.col("_h").bitwiseAND(dim - 1).alias("dim"), F.when(F.col("_h").bitwiseAND(256) > 0, 1.0).otherwise(-1.0).alias("s"))
     cells = s.groupBy(key, "dim").agg(F.sum("s").alias("v")).filter(F.col("v") != 0)
@@ -205,10 +206,10 @@ def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.
 
     The forest is built once at the lowest threshold; a try only cuts it.
     """
-    n = vectors.count()
-    forest = similarity_forest(vectors, 0.25, key)
     checkpoint_dir(vectors.sparkSession)
-    forest = forest.checkpoint(eager=True)
+    vectors = vectors.select(key, "vector").checkpoint(eager=True)
+    n = vectors.count()
+    forest = similarity_forest(vectors, 0.25, key).checkpoint(eager=True)
     seen: dict[float, tuple[DataFrame, int, int]] = {}
     thr, reason = float(min_sim), "rounds"
     for _ in range(24):

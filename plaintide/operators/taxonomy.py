@@ -102,24 +102,36 @@ def l2_alignment(names: DataFrame, hierarchy: DataFrame) -> DataFrame:
     return d.withColumn("_b", best).select("l1", "raw_l2", F.when(F.col("_b.s") >= 0.12, F.col("_b.l2")).alias("l2"), F.round("_b.s", 4).alias("score"))
 
 
-def similar_labels(labels_df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Label pairs of one (l1, l2) whose character sets reach the Jaccard threshold, each way.
+def _char_key(c: Column) -> Column:
+    """The character set of a label as sorted text: labels with one set are alike in every respect
+    that the Jaccard measure sees."""
+    return F.array_join(F.array_sort(_chars(c)), "")
+
+
+def similar_sets(labels_df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(l1, l2, chars, other): pairs of distinct character sets that reach the Jaccard threshold,
+    each way. Labels with equal sets are folded first, so no group of likes is paired out.
 
     Exact set-similarity join by prefix filter: characters are ordered by how rare they are, and two
-    sets that reach the threshold share one of their first ``|s| - ceil(t |s|) + 1`` characters.
+    sets that reach the threshold share one of their first ``|s| - ceil(t |s|) + 1`` characters and
+    have sizes within the factor t.
     """
-    d = labels_df.select("l1", "l2", "label").distinct()
-    ch = d.select("l1", "l2", "label", F.explode(_chars(F.col("label"))).alias("ch"))
+    d = labels_df.select("l1", "l2", _char_key(F.col("label")).alias("chars")).distinct()
+    ch = d.select("l1", "l2", "chars", F.explode(_chars(F.col("chars"))).alias("ch"))
     freq = ch.groupBy("ch").agg(F.count(F.lit(1)).alias("f"))
-    order = F.array_sort(F.collect_list(F.struct("f", "ch")))
-    sets = ch.join(freq, "ch").groupBy("l1", "l2", "label").agg(order.alias("o"))
+    sets = ch.join(freq, "ch").groupBy("l1", "l2", "chars").agg(F.array_sort(F.collect_list(F.struct("f", "ch"))).alias("o"))
     n = F.size("o")
     keep = F.slice(F.col("o"), F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    pre = sets.select("l1", "l2", "label", F.transform("o", lambda x: x["ch"]).alias("cs"), F.explode(F.transform(keep, lambda x: x["ch"])).alias("ch"))
+    pre = sets.select("l1", "l2", "chars", n.alias("n"), F.transform("o", lambda x: x["ch"]).alias("cs"), F.posexplode(F.transform(keep, lambda x: x["ch"])).alias("pos", "ch"))
     a, b = pre.alias("a"), pre.alias("b")
-    j = a.join(b, (F.col("a.l1") == F.col("b.l1")) & (F.col("a.l2") == F.col("b.l2")) & (F.col("a.ch") == F.col("b.ch")) & (F.col("a.label") != F.col("b.label")))
-    sim = F.size(F.array_intersect("a.cs", "b.cs")) / F.size(F.array_union("a.cs", "b.cs"))
-    return j.filter(sim >= threshold).select("a.l1", "a.l2", F.col("a.label").alias("label"), F.col("b.label").alias("other")).distinct()
+    j = a.join(b, (F.col("a.l1") == F.col("b.l1")) & (F.col("a.l2") == F.col("b.l2")) & (F.col("a.ch") == F.col("b.ch")) & (F.col("a.chars") < F.col("b.chars"))
+               & F.col("b.n").between(F.col("a.n") * threshold, F.col("a.n") / threshold))
+    # Each pair is judged once: at its first shared prefix character.
+    first = F.size(F.array_intersect(F.slice(F.col("a.cs"), F.lit(1), F.col("a.pos")), F.slice(F.col("b.cs"), F.lit(1), F.col("b.pos")))) == 0
+    inter = F.size(F.array_intersect("a.cs", "b.cs"))
+    ok = j.filter(first).filter(inter / (F.col("a.n") + F.col("b.n") - inter) >= threshold).select(
+        F.col("a.l1").alias("l1"), F.col("a.l2").alias("l2"), F.col("a.chars").alias("chars"), F.col("b.chars").alias("other"))
+    return ok.unionByName(ok.select("l1", "l2", F.col("other").alias("chars"), F.col("chars").alias("other")))
 
 
 def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_rounds: int = 60, max_syn: int = 40, max_kw: int = 24) -> DataFrame:
@@ -131,25 +143,30 @@ def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_rounds: in
     to an earlier seed is absorbed by the earliest one. No group is handled by a single task.
     """
     checkpoint_dir(freqs.sparkSession)
-    f = freqs.filter(F.length("label") >= 2).groupBy("l1", "l2", "label").agg(F.sum("n").alias("n")).checkpoint(eager=True)
-    rank = F.struct((-F.col("n")).alias("k"), "label")
-    nodes = f.select("l1", "l2", "label", rank.alias("r"))
-    e = similar_labels(f, threshold)
-    e = e.join(nodes, ["l1", "l2", "label"]).join(nodes.select("l1", "l2", F.col("label").alias("other"), F.col("r").alias("ro")), ["l1", "l2", "other"])
-    earlier = e.filter(F.col("ro") < F.col("r")).select("l1", "l2", "label", "other", "r", "ro").checkpoint(eager=True)
+    f = freqs.filter(F.length("label") >= 2).groupBy("l1", "l2", "label").agg(F.sum("n").alias("n"))
+    f = f.withColumn("chars", _char_key(F.col("label"))).checkpoint(eager=True)
+    # A set takes the rank of its most frequent label: that label decides for all of them.
+    lead = F.min(F.struct((-F.col("n")).alias("k"), "label")).alias("r")
+    nodes = f.groupBy("l1", "l2", "chars").agg(lead)
+    e = similar_sets(f, threshold)
+    e = e.join(nodes, ["l1", "l2", "chars"]).join(nodes.select("l1", "l2", F.col("chars").alias("other"), F.col("r").alias("ro")), ["l1", "l2", "other"])
+    earlier = e.filter(F.col("ro") < F.col("r")).select("l1", "l2", "chars", "other", "ro").checkpoint(eager=True)
     state = nodes.withColumn("seed", F.lit(None).cast("boolean"))
     for _ in range(max_rounds):
-        st = state.select("l1", "l2", F.col("label").alias("other"), F.col("seed").alias("so"))
-        near = earlier.join(st, ["l1", "l2", "other"]).groupBy("l1", "l2", "label").agg(
+        st = state.select("l1", "l2", F.col("chars").alias("other"), F.col("seed").alias("so"))
+        near = earlier.join(st, ["l1", "l2", "other"]).groupBy("l1", "l2", "chars").agg(
             F.max(F.coalesce("so", F.lit(False))).alias("has_seed"), F.max(F.col("so").isNull()).alias("has_open"))
-        j = state.join(near, ["l1", "l2", "label"], "left")
+        j = state.join(near, ["l1", "l2", "chars"], "left")
         decided = (F.when(F.col("has_seed"), F.lit(False)).when(F.col("has_open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)))
-        state = j.select("l1", "l2", "label", "r", F.coalesce("seed", decided).alias("seed")).checkpoint(eager=True)
+        state = j.select("l1", "l2", "chars", "r", F.coalesce("seed", decided).alias("seed")).checkpoint(eager=True)
         if state.filter(F.col("seed").isNull()).limit(1).count() == 0:
             break
-    seeds = state.filter("seed").select("l1", "l2", F.col("label").alias("other"))
-    owner = earlier.join(seeds, ["l1", "l2", "other"], "left_semi").groupBy("l1", "l2", "label").agg(F.min_by("other", "ro").alias("seed_label"))
-    member = f.join(owner, ["l1", "l2", "label"], "left").withColumn("canonical", F.coalesce("seed_label", "label")).drop("seed_label")
+    else:
+        raise RuntimeError("label merge did not settle; raise max_rounds")
+    seeds = state.filter("seed").select("l1", "l2", F.col("chars").alias("other"))
+    owner = earlier.join(seeds, ["l1", "l2", "other"], "left_semi").groupBy("l1", "l2", "chars").agg(F.min("ro").alias("ro"))
+    canon = nodes.join(owner, ["l1", "l2", "chars"], "left").select("l1", "l2", "chars", F.coalesce("ro.label", "r.label").alias("canonical"))
+    member = f.join(canon, ["l1", "l2", "chars"]).drop("chars")
     sums = member.groupBy("l1", "l2", "canonical").agg(F.sum("n").alias("count"))
     syn = top_rows(member.filter("label <> canonical"), ["l1", "l2", "canonical"], [F.desc("n"), F.asc("label")], max_syn, salt_by=["label"])
     syn = syn.groupBy("l1", "l2", "canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]).alias("synonyms"))

@@ -116,7 +116,7 @@ def _(spark, d):
 PROF = f"""{HINTS}, l2c AS (SELECT cluster, list_sort(list(DISTINCT l2) FILTER (WHERE l2 <> '')) AS l2s, count(*) AS count, sum(CASE severity WHEN '高' THEN 3 WHEN '中' THEN 2 ELSE 1 END)::BIGINT AS severity_weighted,
    count(*) FILTER (WHERE severity = '高') AS sev_high, count(*) FILTER (WHERE severity = '中') AS sev_mid, count(*) FILTER (WHERE severity = '低') AS sev_low, count(DISTINCT CASE WHEN l3 <> '' THEN l3 END) AS l3_n FROM hm GROUP BY 1),
  l3c AS (SELECT cluster, l3 FROM (SELECT cluster, l3, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, l3) AS rn FROM hm WHERE l3 <> '' GROUP BY 1, 2) WHERE rn = 1),
- pf AS (SELECT l2c.*, l3c.l3 AS theme FROM l2c LEFT JOIN l3c USING (cluster))"""
+ pf AS (SELECT l2c.*, coalesce(l3c.l3, CASE WHEN len(l2s) = 1 THEN l2s[1] WHEN len(l2s) > 1 THEN concat('跨L2:', array_to_string(l2s[1:3], '+')) END) AS theme FROM l2c LEFT JOIN l3c USING (cluster))"""
 
 
 @query("cluster_profile", f"""
@@ -234,11 +234,12 @@ def label_freqs(spark, d):
 
 
 @query("similar_labels", f"""
-WITH tk AS (SELECT lang, unnest({tokens_sql('text')}) AS label FROM documents), f AS (SELECT lang AS l1, label, list_distinct(string_split(label, '')) AS cs FROM tk GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT a.l1, 'words' AS l2, a.label, b.label AS other FROM f a JOIN f b ON a.l1 = b.l1 AND a.label <> b.label
+WITH tk AS (SELECT lang, unnest({tokens_sql('text')}) AS label FROM documents), f AS (SELECT DISTINCT l1, array_to_string(list_sort(cs), '') AS k, cs FROM
+   (SELECT lang AS l1, list_sort(list_distinct(string_split(label, ''))) AS cs FROM tk GROUP BY lang, label HAVING count(*) >= 3))
+SELECT a.l1, 'words' AS l2, a.k AS chars, b.k AS other FROM f a JOIN f b ON a.l1 = b.l1 AND a.k <> b.k AND len(b.cs) BETWEEN 0.8 * len(a.cs) AND len(a.cs) / 0.8
 WHERE len(list_intersect(a.cs, b.cs)) / (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs)))::DOUBLE >= 0.8""", needs_opinion=False)
 def _(spark, d):
-    return tx.similar_labels(label_freqs(spark, d), 0.8)
+    return tx.similar_sets(label_freqs(spark, d), 0.8)
 
 
 @query("label_cluster_merge")

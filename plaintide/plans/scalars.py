@@ -7,7 +7,7 @@ from plaintide.functions import dates, insight, labels, meta, text as tx
 from plaintide.functions.common import WS, blank
 from plaintide.packs import labels as lp, prose, words as wp
 from plaintide.plans import duck as q
-from plaintide.plans.fixture import opinion
+from plaintide.plans.fixture import opinion, table
 from plaintide.plans.registry import query
 
 
@@ -287,7 +287,7 @@ def _(spark, d):
 SELECT doc_id, md5({q.sq('text')}) AS dedupe_key, md5(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) AS gold_key
 FROM documents""", needs_opinion=False)
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select(
+    return table(spark, d, "documents").select(
         "doc_id", tx.dedupe_key("text").alias("dedupe_key"), tx.gold_key("text").alias("gold_key"))
 
 
@@ -301,7 +301,7 @@ def tokens_sql(x: str) -> str:
 SELECT doc_id, len({tokens_sql('text')}) AS n, md5(array_to_string({tokens_sql('text')}, ' ')) AS tokens FROM documents""",
        needs_opinion=False)
 def _(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.keyword_tokens("text").alias("t"))
+    t = table(spark, d, "documents").select("doc_id", tx.keyword_tokens("text").alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.concat_ws(" ", "t")).alias("tokens"))
 
 
