@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import WS, col, first_filled, strip, text
+from plaintide.functions.common import WS, col, first_filled, text
 
 
 def report_event_day(*cols: Column | str) -> Column:

@@ -5,8 +5,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import (
-    WS, WS_CHARS, any_of, col, collapse, contains_any, first_filled, squeeze, strip, text)
+from plaintide.functions.common import WS, any_of, col, collapse, contains_any, first_filled, squeeze, strip, text
 from plaintide.functions.meta import json_get
 from plaintide.packs import labels as lp, words as wp
 

@@ -6,8 +6,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import (
-    all_of, any_of, contains_any, count_when, filled, squeeze, strip, text)
+from plaintide.functions.common import any_of, filled, squeeze, strip, text
 from plaintide.functions.meta import is_json_object, json_get
 from plaintide.operators import rules as R
 from plaintide.packs import labels as lp

@@ -4,10 +4,10 @@ from __future__ import annotations
 import datetime as dt
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import any_of, collapse, count_when, filled, pct, share, strip, text
+from plaintide.functions.common import collapse, count_when, filled, global_rank, pct, share, strip, text
 from plaintide.functions.dates import event_time
 from plaintide.functions.meta import json_map, materialized
 from plaintide.operators.keyed import pick_per_key
@@ -171,14 +171,18 @@ def weekly_period_stats(df: DataFrame, since: dt.datetime, base_reviewed: int =
 
 def accuracy_timeline(points: DataFrame) -> DataFrame:
     """One point per second (report records beat others, later beats earlier), all-zero points
-    dropped, with differences to the point before. Points are evaluation runs, a few per day."""
+    dropped, with differences to the point before."""
     rank = F.when(F.col("source").startswith("report:"), 2).otherwise(1)
     one = pick_per_key(points.withColumn("eval_time", F.date_trunc("second", "eval_time")), ["eval_time"], [rank, F.col("seq")])
     kept = one.filter((F.col("l1_accuracy_pct") != 0) | (F.col("l2_accuracy_pct") != 0))
-    w = Window.orderBy("eval_time")
-    diff = lambda c: F.col(c) - F.lag(c).over(w)
-    return kept.withColumns({"delta_l1_pp": F.round(diff("l1_accuracy_pct"), 2), "delta_l2_pp": F.round(diff("l2_accuracy_pct"), 2),
-                             "delta_reviewed": diff("cumulative_reviewed")})
+    # The point before is the one with the rank before: a join, since a global lag would be one task.
+    ranked = global_rank(kept, [F.col("eval_time")], "_r")
+    values = ("l1_accuracy_pct", "l2_accuracy_pct", "cumulative_reviewed")
+    before = ranked.select((F.col("_r") + 1).alias("_r"), *[F.col(c).alias("_p_" + c) for c in values])
+    j = ranked.join(before, "_r", "left")
+    diff = lambda c: F.col(c) - F.col("_p_" + c)
+    return j.withColumns({"delta_l1_pp": F.round(diff(values[0]), 2), "delta_l2_pp": F.round(diff(values[1]), 2),
+                          "delta_reviewed": diff(values[2])}).drop("_r", *["_p_" + c for c in values])
 
 
 def accuracy_history(history: DataFrame, new: DataFrame, keep: int = 30, threshold: float = 98.0) -> DataFrame:

@@ -2,16 +2,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import all_of, filled, text
+from plaintide.functions.common import all_of, filled
 from plaintide.functions.dates import event_time, region_bucket, report_event_day
-from plaintide.functions.meta import json_get
 from plaintide.functions.text import preview
-from plaintide.operators.keyed import pick_per_key
 from plaintide.schema import LOW_CONFIDENCE_BELOW
 
 

@@ -1,7 +1,6 @@
 """Term share per document and per class."""
 from __future__ import annotations
 
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 

@@ -6,11 +6,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import blank, count_when, filled, first_filled, pct, strip, text
-from plaintide.functions.dates import event_time, iso_day, iso_event_day, report_event_day, stats_day
+from plaintide.functions.common import count_when, filled, first_filled, pct, strip
+from plaintide.functions.dates import iso_day, iso_event_day, report_event_day, stats_day
 from plaintide.functions.meta import json_get
 from plaintide.functions.text import phrases, scrub
-from plaintide.operators.filters import pending_condition, report_window
+from plaintide.operators.filters import report_window
 from plaintide.packs import labels as lp
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import blank, filled, first_filled, strip, text
+from plaintide.functions.common import filled, first_filled, strip, text
 from plaintide.functions.meta import json_text
 from plaintide.operators.keywords import keyword_text
 from plaintide.packs import labels as lp

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import all_of, alternation, any_of
+from plaintide.functions.common import all_of, alternation
 
 TRIPLE = "struct<l1:string,l2:string,l3:string,confidence:double,match_type:string>"
 

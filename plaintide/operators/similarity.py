@@ -13,7 +13,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plaintide.functions.common import WS
 from plaintide.session import checkpoint_dir

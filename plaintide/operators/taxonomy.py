@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import collapse, filled, strip, text, top_rows
+from plaintide.functions.common import collapse, strip, text, top_rows
 from plaintide.functions.meta import json_text
 from plaintide.packs import labels as lp
 from plaintide.session import checkpoint_dir

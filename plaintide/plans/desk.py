@@ -1,12 +1,10 @@
 """Review-desk filters, windows and decisions as queries."""
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import strip, text
 from plaintide.functions.dates import event_time, previous_window
 from plaintide.operators import filters, review
 from plaintide.plans import duck as q

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import WS, collapse, dim, text
-from plaintide.operators import classify as C, match as M, rules as R
-from plaintide.packs import prose, words as wp
+from plaintide.functions.common import WS, collapse, dim
+from plaintide.operators import classify as C, match as M
+from plaintide.packs import prose
 from plaintide.plans import duck as q
 from plaintide.plans.fixture import opinion, table
-from plaintide.plans.quality import jac_sql
 from plaintide.plans.registry import query
-from plaintide.plans.scalars import insight_ctes, legacy_sql, lit_list
+from plaintide.plans.scalars import legacy_sql
 
 P, E, S, N = prose.P, prose.E, prose.S, prose.N
 PK = prose.PACK

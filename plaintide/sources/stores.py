@@ -1,10 +1,10 @@
 """Archives, exports and keyed stores."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import blank, filled, first_filled, global_rank, strip, text, top_rows
+from plaintide.functions.common import blank, filled, strip, text
 from plaintide.functions.dates import parse_time
 from plaintide.functions.meta import json_get, json_text
 from plaintide.operators.keyed import pick_per_key

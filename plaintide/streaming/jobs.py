@@ -2,19 +2,16 @@
 ``batch=<id>`` folder by overwrite, so a replay after a failure repeats nothing."""
 from __future__ import annotations
 
-import datetime as dt
-from typing import Callable, Iterator, Mapping
+from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plaintide.functions import labels, text as tx
+from plaintide.functions import text as tx
 from plaintide.functions.common import filled, text
-from plaintide.functions.dates import event_time, iso_event_day
 from plaintide.operators.keyed import pick_per_key
-from plaintide.schema import FEED_FIELDS
 from plaintide.sources import feed as fd
 
 
