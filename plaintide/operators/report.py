@@ -221,9 +221,10 @@ def nth_subtag_trend(df: DataFrame, day_from: str, day_to: str, region: str = "a
                      classes=(lp.PRODUCT, lp.SERVICE), placeholder: str = "(无二级)") -> DataFrame:
     """Per class, the month counts of its k-th most frequent L2."""
     k = max(1, min(k, 8))
-    cells = (labelled_window(df, day_from, day_to, region)
-             .filter(F.col("l1").isin(*classes) & (F.col("l2") != ""))
-             .groupBy("l1", "l2", "month_key").agg(F.count(F.lit(1)).alias("n")))
+    # Unwanted cells leave by a zero count; a filter on the derived labels would repeat them below.
+    wanted = F.col("l1").isin(*classes) & (F.col("l2") != "")
+    cells = (labelled_window(df, day_from, day_to, region).groupBy("l1", "l2", "month_key")
+             .agg(count_when(wanted).alias("n")).filter(F.col("n") > 0))
     totals = cells.groupBy("l1", "l2").agg(F.sum("n").alias("total"))
     w = Window.partitionBy("l1").orderBy(F.desc("total"), F.asc("l2"))
     ranked = totals.withColumn("rn", F.row_number().over(w)).filter(F.col("rn").isin(1, k))
@@ -239,8 +240,8 @@ def nth_subtag_trend(df: DataFrame, day_from: str, day_to: str, region: str = "a
 def top_subtag_monthly(df: DataFrame, day_from: str, day_to: str, region: str = "all", top: int = 8) -> DataFrame:
     """Month counts of the overall most frequent L2."""
     top = max(3, min(top, 20))
-    cells = (labelled_window(df, day_from, day_to, region).filter(F.col("l2") != "")
-             .groupBy("l2", "month_key").agg(F.count(F.lit(1)).alias("n")))
+    cells = (labelled_window(df, day_from, day_to, region).groupBy("l2", "month_key")
+             .agg(count_when(F.col("l2") != "").alias("n")).filter(F.col("n") > 0))
     best = cells.groupBy("l2").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), F.asc("l2")).limit(top)
     months = F.array_sort(F.collect_list("month_key"))
     spine = month_spine(df.sparkSession, day_from, day_to).agg(months.alias("m")).scalar()

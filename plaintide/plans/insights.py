@@ -170,7 +170,31 @@ def _(spark, d):
     return ins.fault_lifecycle(enriched(spark, d), 14)
 
 
-@query("insight_templates")
+def _wp(x: str) -> str:
+    return f"concat(cast(round({x} * 100, 0)::BIGINT AS VARCHAR), '%')"
+
+
+TEMPLATES = f"""{CHAIN}, {SHIFT}, {LIFE},
+ x AS (SELECT vin AS e, ets FROM en WHERE vin <> ''), xp AS (SELECT e, max(ets) AS last, count(*) AS n FROM x GROUP BY 1), xk AS (SELECT x.e, count(*) AS k FROM x JOIN xp ON x.e = xp.e WHERE ets >= last - INTERVAL 30 DAY GROUP BY 1),
+ rc AS (SELECT count(*) AS el, count(*) FILTER (WHERE CASE WHEN last IS NULL THEN n >= 2 ELSE k >= 2 END) AS rp FROM xp LEFT JOIN xk ON xp.e = xk.e), rr AS (SELECT rp, round(rp / greatest(el, 1)::DOUBLE, 4) AS rate FROM rc),
+ s5 AS (SELECT * FROM (SELECT l2, round(c, 4) AS er, round(p, 4) AS pr, round((c - p) * 100, 1) AS dp FROM sh) ORDER BY abs(dp) DESC, er DESC, l2 LIMIT 5),
+ eu AS (SELECT expected_action AS action, count(*) AS n, round(count(*) FILTER (WHERE reflow_synced < 1 OR repeat_signal) / count(*)::DOUBLE, 4) AS ur FROM en GROUP BY 1),
+ cl AS (SELECT c.l3, c.value, c.n, z.l3_n, c.n / z.l3_n::DOUBLE AS s, v.n / (SELECT count(*) FROM en WHERE car <> '')::DOUBLE AS b FROM (SELECT l3, car AS value, count(*) AS n FROM en WHERE car <> '' AND l3 <> '' GROUP BY 1, 2) c
+   JOIN (SELECT l3, count(*) AS l3_n FROM en WHERE car <> '' AND l3 <> '' GROUP BY 1 HAVING count(*) >= 5) z ON z.l3 = c.l3 JOIN (SELECT car AS value, count(*) AS n FROM en WHERE car <> '' GROUP BY 1) v ON v.value = c.value),
+ c5 AS (SELECT l3, value, round(s, 4) AS share, round(b, 4) AS base, round(s / b, 2) AS lift, n FROM cl WHERE s / b >= 1.01 AND s >= 0.1 ORDER BY lift DESC, n DESC, l3, value LIMIT 5),
+ hd AS (SELECT theme_name FROM ch ORDER BY count DESC, theme_id LIMIT 1), ws AS (SELECT l3 FROM lc GROUP BY 1 ORDER BY sum(severity_weighted) DESC, l3 LIMIT 1)"""
+
+
+@query("insight_templates", f"""
+WITH {TEMPLATES}
+SELECT 'I1' AS template_id, concat('窗口内同一实体二次反馈占比 ', {_wp('rate')}, ' （实体键=vin），首次处理未解决风险偏高') AS text, rp AS count FROM rr WHERE rate > 0.3 UNION ALL
+SELECT 'I2', concat(l2, ' 投诉升级占比从 ', {_wp('pr')}, ' 升至 ', {_wp('er')}, '（+', dp, 'pp）'), 0 FROM s5 WHERE dp >= 5 UNION ALL
+SELECT 'I3', concat(l3, ' 有 ', {_wp('share')}, ' 来自 ', value, '，而该维度仅占总量 ', {_wp('base')}, '（lift=', lift, '）'), n FROM c5 UNION ALL
+SELECT 'I4', concat('本期新发高危问题 ', l3, '（', current, ' 条），过去 4 期均值 ', avg_4p), current FROM lc WHERE trend_state = '新发' AND severity_weighted >= 6 UNION ALL
+SELECT 'I5', concat(l3, ' 呈复发态势（当期 ', current, ' / 均值 ', avg_4p, '）'), current FROM lc WHERE trend_state = '复发' UNION ALL
+SELECT 'I8', concat(l2, '/', l3, ' 已连续 ', weeks_active, ' 期维持高位，属慢性问题'), current FROM lc WHERE trend_state = '高位平台' AND weeks_active >= 4 UNION ALL
+SELECT 'I6', concat('用户最常要求 ', action, '（', n, ' 条），未满足率 ', {_wp('ur')}, '，是当前最大的期望落差'), n FROM (SELECT * FROM eu ORDER BY ur DESC, n DESC, action LIMIT 1) UNION ALL
+SELECT 'I9', concat('按严重度加权后头号问题倾向 ', l3, '，而按条数头号主题是 ', theme_name, '，建议调整资源投向'), 0 FROM ws, hd WHERE (SELECT count(*) FROM ch) >= 2 AND NOT contains(theme_name, l3)""")
 def _(spark, d):
     e = enriched(spark, d)
     cur, prev = windows(spark, d)

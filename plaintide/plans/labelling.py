@@ -246,21 +246,6 @@ def _(spark, d):
     return m.select("opinion_id", "hit.l1", "hit.l3", "hit.match_type")
 
 
-@query("batch_classify")
-def _(spark, d):
-    o = opinion(spark, d)
-    b = M.batch_classify(o, PK, taxonomy(spark), clusters(spark), whitelist(spark), M.gold_rows(o), hints(o), prose.INSIGHT)
-    return b.select("opinion_id", "v3_l1", "v3_l2", "v3_l3", "v3_confidence", "v3_match_type", "review_status", "conflict_kind", "needs_review", "intent")
-
-
-@query("batch_route_metrics")
-def _(spark, d):
-    from plaintide.operators.evaluate import route_metrics
-    o = opinion(spark, d)
-    b = M.batch_classify(o, PK, taxonomy(spark), clusters(spark), whitelist(spark), M.gold_rows(o), hints(o), prose.INSIGHT)
-    return route_metrics(b.withColumn("cache_hit", F.lit(False)), F.lit(False))
-
-
 NEAR = f"""wo AS (SELECT l1, list(l2 ORDER BY pos) AS opts FROM wl GROUP BY 1)"""
 
 
@@ -355,6 +340,53 @@ def _(spark, d):
     return C.capture_summary(opinion(spark, d), T, PK)
 
 
+def _hit(k: str) -> str:
+    return f"regexp_matches(original_text, '(?i){prose.INSIGHT[k]}')"
+
+
+INTENT = f"""CASE WHEN {_hit('praise')} AND NOT {_hit('fault')} AND NOT {_hit('escalate')} THEN '表扬' WHEN {_hit('escalate')} THEN '投诉升级' WHEN {_hit('help')} THEN '求助'
+  WHEN {_hit('suggest')} AND NOT {_hit('fault')} THEN '建议' WHEN {_hit('fault')} THEN '报障' WHEN {_hit('consult')} THEN '咨询' WHEN o1 = '{N}' THEN (CASE WHEN {_hit('inform')} THEN '告知' ELSE '咨询' END)
+  WHEN {_hit('inform')} THEN '告知' WHEN o1 = '{P}' THEN '报障' ELSE '告知' END"""
+# The cascade's triple, then the whitelist guard, the conflict check and the routing of the row.
+BATCHQ = f"""{CASC}, {WLS}, {NEAR}, {CAPQ},
+ mz AS (SELECT mm.*, CASE WHEN l3 = 'sym-a' THEN 'L2-9' WHEN l3 = 'sym-b' THEN 'L2-8' WHEN l3 = 'weak-e' THEN 'L2-7' WHEN l3 = 'weak-s' THEN 'L2-6' ELSE l2 END AS z2,
+   CASE WHEN mt = 'routed' THEN least(0.92, 0.52 + m.asc_ / 200.0) WHEN mt = 'cluster_l3' THEN m.bc WHEN mt = 'generic_l3' THEN m.ccf WHEN mt = 'scored' THEN least(0.92, 0.55 + m.dsc / 200.0) WHEN mt = 'exact' THEN 0.88 WHEN mt = 'fuzzy' THEN 0.68
+     WHEN l3 LIKE 'sym-%' THEN 0.52 WHEN l3 = 'weak-e' THEN 0.45 WHEN l3 = 'weak-s' THEN 0.40 END::DOUBLE AS zc FROM (SELECT id, h, l1, l2, l3, mt FROM mm) mm JOIN (SELECT id, asc_, bc, ccf, dsc FROM m) m ON m.id = mm.id),
+ h0 AS (SELECT c0.id, coalesce(g1, r1, mz.l1) AS l1, coalesce(g2, r2, mz.z2) AS l2, coalesce(g3, r3, mz.l3) AS l3, coalesce(CASE WHEN g1 IS NOT NULL THEN 0.99 END, rc, zc)::DOUBLE AS c,
+   CASE WHEN g1 IS NOT NULL THEN 'gold_review' WHEN c0.h IS NOT NULL THEN 'clean_l1' WHEN r1 IS NOT NULL THEN 'rule' WHEN mz.l3 = 'weak-s' THEN 'generic_l3' ELSE mz.mt END AS mt FROM c0 LEFT JOIN mz ON mz.id = c0.id),
+ h1 AS (SELECT cq.id, cq.opinion_id, cq.original_text, cq.review_status, capture, tt, CASE WHEN h0.l3 IS NULL THEN '' ELSE h0.l1 END AS l1, CASE WHEN h0.l3 IS NULL THEN '' ELSE h0.l2 END AS l2, coalesce(h0.l3, '') AS l3,
+   CASE WHEN h0.l3 IS NULL THEN 0.0 ELSE c END AS c, CASE WHEN h0.l3 IS NULL THEN 'none' ELSE mt END AS mt FROM cq JOIN h0 ON h0.id = cq.id),
+ h2 AS (SELECT h1.*, l1 = '{N}' AS isn, l1 = '{N}' OR l1 = '' OR l2 = '' AS skip, opts FROM h1 LEFT JOIN wo USING (l1)),
+ h3 AS (SELECT *, NOT skip AND opts IS NOT NULL AND NOT list_contains(opts, l2) AS rej FROM h2),
+ h4 AS (SELECT *, CASE WHEN isn THEN '' WHEN rej THEN opts[1] ELSE l2 END AS m2, CASE WHEN rej THEN least(c, 0.4) ELSE c END AS c2 FROM h3),
+ h5 AS (SELECT *, NOT skip AND m2 = 'L2-3' AND {rx('original_text', 'ment')} AS cg, NOT skip AND starts_with(capture, 'eligible') AS cap FROM h4),
+ h6 AS (SELECT *, mt = 'gold_review' AS au, CASE WHEN cg THEN {reloc_sql('original_text', 0)} ELSE l1 END AS l1b, CASE WHEN cg THEN {reloc_sql('original_text', 1)} ELSE m2 END AS l2b, CASE WHEN cg THEN least(c2, 0.45) ELSE c2 END AS c3 FROM h5),
+ h7 AS (SELECT *, CASE WHEN au THEN l1 WHEN cap THEN '{N}' ELSE l1b END AS o1, CASE WHEN au THEN l2 WHEN cap THEN '' ELSE l2b END AS o2, CASE WHEN au THEN c WHEN cap THEN greatest(c3, 0.85) ELSE c3 END AS oc, (rej OR cg) AND NOT cap AND NOT au AS nr,
+   (cap OR (rej AND NOT cap) OR (cg AND NOT cap)) AND NOT au AS guard FROM h6),
+ h8 AS (SELECT *, CASE WHEN mt NOT IN ('gold_review', 'none') AND NOT nr THEN (CASE WHEN o1 = '{N}' AND {anyw('original_text', ('eaux', 'tion'))} THEN 'C1' WHEN o1 = '{S}' AND {anyw('original_text', ('ould', 'chung', 'paier'))} THEN 'C2'
+   WHEN o1 = '{E}' AND {anyw('original_text', ('ould', 'chung', 'paier'))} THEN 'C3' WHEN o1 = '{S}' AND {anyw('original_text', ('eaux', 'tion'))} THEN 'C4' ELSE '' END) ELSE '' END AS ck FROM h7),
+ bt AS (SELECT *, CASE WHEN ck <> '' THEN least(oc, 0.40) ELSE oc END AS fc, nr OR ck <> '' AS fr FROM h8)"""
+
+
+@query("batch_classify", f"""
+WITH {BATCHQ} SELECT opinion_id, o1 AS v3_l1, o2 AS v3_l2, l3 AS v3_l3, round(fc, 6) AS v3_confidence, mt AS v3_match_type, CASE WHEN tt = '' THEN review_status WHEN review_status = 1 THEN 1 WHEN fr OR fc < 0.52 THEN 2 ELSE 0 END AS review_status,
+  ck AS conflict_kind, fr AS needs_review, {INTENT} AS intent FROM bt""")
+def _(spark, d):
+    o = opinion(spark, d)
+    b = M.batch_classify(o, PK, taxonomy(spark), clusters(spark), whitelist(spark), M.gold_rows(o), hints(o), prose.INSIGHT)
+    return b.select("opinion_id", "v3_l1", "v3_l2", "v3_l3", F.round("v3_confidence", 6).alias("v3_confidence"), "v3_match_type", "review_status", "conflict_kind", "needs_review", "intent")
+
+
+@query("batch_route_metrics", f"""
+WITH {BATCHQ}, r AS (SELECT *, CASE WHEN tt = '' THEN 'skipped_empty' WHEN mt = 'gold_review' THEN 'gold_hit' WHEN ck <> '' THEN 'conflict' WHEN mt = 'none' THEN 'failed' WHEN fr OR fc < 0.52 THEN 'rule_low_conf' ELSE 'rule_ok' END AS route FROM bt)
+SELECT route, CASE WHEN route = 'conflict' THEN ck ELSE '' END AS kind, count(*) AS n, count(*) FILTER (WHERE guard AND route IN ('rule_ok', 'rule_low_conf')) AS guard_triggered FROM r GROUP BY 1, 2""")
+def _(spark, d):
+    from plaintide.operators.evaluate import route_metrics
+    o = opinion(spark, d)
+    b = M.batch_classify(o, PK, taxonomy(spark), clusters(spark), whitelist(spark), M.gold_rows(o), hints(o), prose.INSIGHT)
+    return route_metrics(b.withColumn("cache_hit", F.lit(False)), F.lit(False))
+
+
 @query("l2_whitelist_guard", f"""
 WITH {WLS}, {NEAR}, {CAPQ}, a AS (SELECT id, opinion_id, original_text, capture, {q.canon_b('v3_l1')} AS l1, v3_l2 AS l2, v3_confidence AS c, {q.canon_b('v3_l1')} = '{N}' AS isn FROM cq),
  b AS (SELECT a.*, isn OR l1 = '' OR l2 = '' AS skip, opts FROM a LEFT JOIN wo USING (l1)),
