@@ -96,10 +96,27 @@ def all_of(conds: Sequence[Column]) -> Column:
 
 
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A dimension from driver-held rows. Broadcast is hinted only under the size bound;
-    beyond it the planner chooses a shuffle join."""
+    """A dimension from driver-held rows. Broadcast is hinted only under the size bound; beyond it the
+    planner chooses a shuffle join. The hint survives projections and aggregates, not joins."""
     df = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
+    out = F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
+    out._known_rows = len(rows)
+    return out
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table is within the broadcast bound: by its known size, else by counting no further
+    than the bound. The answer is kept on the DataFrame."""
+    known = getattr(df, "_known_rows", None)
+    if known is None:
+        known = df.limit(MAX_BROADCAST_ROWS + 1).count()
+        df._known_rows = known
+    return known <= MAX_BROADCAST_ROWS
+
+
+def hint_small(derived: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Broadcast hint for a table that has no more rows than its sources, if all of these are small."""
+    return F.broadcast(derived) if all(is_small(s) for s in sources) else derived
 
 
 def salted(df: DataFrame, keys: Sequence[str], salt_cols: Sequence[str], n: int = 16) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import count_when, filled, share, strip, text, top_rows
+from plaintide.functions.common import hint_small, count_when, filled, share, strip, text, top_rows
 from plaintide.functions.dates import event_time
 from plaintide.functions.insight import with_insight_fields
 from plaintide.functions.meta import json_get
@@ -24,7 +24,7 @@ def theme_lookup(df: DataFrame, theme_map: DataFrame, themes: DataFrame) -> Data
     """Path to theme; a miss goes to the fallback theme."""
     dims = (theme_map.join(themes, "theme_id", "left")
             .select("path", "theme_id", F.coalesce("name", "theme_id").alias("theme_name")))
-    j = df.withColumn("path", theme_path()).join(dims, "path", "left")
+    j = df.withColumn("path", theme_path()).join(hint_small(dims, theme_map), "path", "left")
     return j.withColumns({"theme_id": F.coalesce("theme_id", F.lit(FALLBACK_THEME[0])),
                           "theme_name": F.coalesce("theme_name", F.lit(FALLBACK_THEME[1]))})
 
@@ -82,13 +82,18 @@ def theme_quotes(rows: DataFrame, per_theme: int = 3, chars: int = 160) -> DataF
             .select("theme_id", "quote_no", "id", F.substring("quote", 1, chars).alias("quote")))
 
 
-def evidence_chain(rows: DataFrame, per_theme: int = 3) -> DataFrame:
-    """Per theme: totals, distinct opinions, number of paths, quotes. Opinion ids stay as rows
-    (``theme_members``); only the few quotes are gathered into an array."""
-    m = theme_members(rows).groupBy("theme_id", "theme_name").agg(
+def theme_totals(rows: DataFrame) -> DataFrame:
+    """Per theme: total, reviewed, model only, number of paths, distinct opinions."""
+    return theme_members(rows).groupBy("theme_id", "theme_name").agg(
         F.count(F.lit(1)).alias("count"), count_when(F.col("reviewed")).alias("reviewed_count"),
         count_when(~F.col("reviewed")).alias("model_only_count"), F.count_distinct("path").alias("l3_n"),
         F.count_distinct(F.nullif("opinion_id", F.lit(""))).alias("opinion_ids"))
+
+
+def evidence_chain(rows: DataFrame, per_theme: int = 3) -> DataFrame:
+    """Theme totals with quotes. Opinion ids stay as rows (``theme_members``); only the few quotes are
+    gathered into an array."""
+    m = theme_totals(rows)
     q = theme_quotes(rows, per_theme).groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("quote_no", "quote"))).alias("q"))
     out = m.join(q, "theme_id", "left").withColumn("quotes", F.transform("q", lambda x: x["quote"])).drop("q")
     return out.withColumn("reconcile_ok", (F.col("count") == F.col("opinion_ids"))

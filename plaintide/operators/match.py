@@ -11,7 +11,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import collapse, filled, strip, text, top_rows
+from plaintide.functions.common import collapse, hint_small, filled, strip, text, top_rows
 from plaintide.functions.text import gold_key
 from plaintide.operators import classify as C, rules as R
 from plaintide.operators.keyed import pick_per_key
@@ -229,7 +229,7 @@ def standard_dim(standard: DataFrame, aliases: DataFrame, excluded: DataFrame) -
                                        (F.coalesce("x", F.lit(False)) | F.coalesce("tx", F.lit(False))).alias("x")).alias("c"))
     sa = s.groupBy("l1", "l2").agg(F.collect_list("c").alias("cands"))
     aa = a.groupBy("l1", "l2").agg(F.collect_list("c").alias("phrases"))
-    return sa.join(aa, ["l1", "l2"], "left")
+    return hint_small(sa.join(aa, ["l1", "l2"], "left"), standard, aliases)
 
 
 def _best_standard(t: Column, items: Column) -> Column:

@@ -10,6 +10,7 @@ from plaintide.packs import labels as lp, prose
 from plaintide.plans import duck as q
 from plaintide.plans.fixture import opinion
 from plaintide.plans.registry import query
+from plaintide.session import materialise
 from plaintide.plans.scalars import car_sql, insight_ctes
 
 # A small theme map in the usual shape: path to theme id; one L2 is left out, so it falls back.
@@ -196,10 +197,11 @@ SELECT 'I8', concat(l2, '/', l3, ' 已连续 ', weeks_active, ' 期维持高位
 SELECT 'I6', concat('用户最常要求 ', action, '（', n, ' 条），未满足率 ', {_wp('ur')}, '，是当前最大的期望落差'), n FROM (SELECT * FROM eu ORDER BY ur DESC, n DESC, action LIMIT 1) UNION ALL
 SELECT 'I9', concat('按严重度加权后头号问题倾向 ', l3, '，而按条数头号主题是 ', theme_name, '，建议调整资源投向'), 0 FROM ws, hd WHERE (SELECT count(*) FROM ch) >= 2 AND NOT contains(theme_name, l3)""")
 def _(spark, d):
-    e = enriched(spark, d)
-    cur, prev = windows(spark, d)
+    # Seven result tables read the same enriched rows: they are computed once, without the texts.
+    e = materialise(split_windows(enriched(spark, d), 30).drop("v3_label_meta", "original_text"))
+    cur, prev = (e.filter(F.col("window") == w) for w in ("current", "previous"))
     return ins.insight_templates(ins.recurrence(e, "vin"), "vin", ins.intent_shift(cur, prev), ins.expectation_unmet(e),
-                                 ins.concentration_lift(e, min_share=0.1, min_lift=1.01), ins.fault_lifecycle(e, 14), ins.evidence_chain(e))
+                                 ins.concentration_lift(e, min_share=0.1, min_lift=1.01), ins.fault_lifecycle(e, 14), ins.theme_totals(e))
 
 
 @query("field_distribution", f"""

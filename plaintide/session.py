@@ -50,3 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialise(df):
+    """Computes a table once for several uses and cuts its lineage. A reliable checkpoint, so a lost
+    executor costs a re-read and not a recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
