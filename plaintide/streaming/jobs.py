@@ -2,12 +2,10 @@
 ``batch=<id>`` folder by overwrite, so a replay after a failure repeats nothing."""
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plaintide.functions import text as tx
 from plaintide.functions.common import filled, text
@@ -51,44 +49,37 @@ def stream_classify(rows: DataFrame, classify: Callable[[DataFrame], DataFrame],
     return _writer(rows, checkpoint, available_now).foreachBatch(write)
 
 
-PENDING_OUT = "upload_batch string, opinion_id string"
-
-
-def stream_pending_reflow(rows: DataFrame, done_after: str = "batch_size", n_shards: int = 1) -> DataFrame:
-    """Holds reviewed rows until their whole upload batch is reviewed, then releases them once.
+def stream_pending_reflow(rows: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> DataStreamWriter:
+    """Holds reviewed rows until their whole upload batch is reviewed, then releases them once, into
+    ``target/released``.
 
     Input columns: opinion_id, upload_batch, review_status, review_l1, reflow_synced, batch_size (rows
-    of the upload batch). Rows without a batch pass at once; synced rows drop. State per upload batch
-    is the set of reviewed ids and of held ids.
+    of the upload batch). Rows without a batch pass at once; synced rows drop. The held rows are a log
+    and not keyed state: one upload batch may hold a large share of all rows, and counting distinct
+    ids of the log pre-aggregates on the map side, while state of one key would sit in one task.
     """
-    clean = rows.select(text("opinion_id").alias("opinion_id"), text("upload_batch").alias("upload_batch"), F.coalesce("review_status", F.lit(0)).alias("review_status"),
-                        (filled("review_l1") & (F.coalesce("reflow_synced", F.lit(0)) < 1)).alias("due"), F.col(done_after).cast("long").alias("batch_size"))
-    # Rows without a batch share no state: their own id is their key, and one reviewed row completes it.
-    keyed = clean.withColumns({"_key": F.when(F.col("upload_batch") == "", F.concat(F.lit("#"), "opinion_id")).otherwise(F.col("upload_batch")),
-                               "batch_size": F.when(F.col("upload_batch") == "", F.lit(1)).otherwise(F.col("batch_size"))})
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reviewed, held, released = ({}, {}, {}) if not state.exists else (
-            {k: 1 for k in state.get[0]}, {k: 1 for k in state.get[1]}, {k: 1 for k in state.get[2]})
-        size = 0
-        for f in frames:
-            size = max(size, int(f["batch_size"].max() or 0))
-            for oid, status, due in zip(f["opinion_id"], f["review_status"], f["due"]):
-                if status == 1:
-                    reviewed[oid] = 1
-                    if due and oid not in released:
-                        held[oid] = 1
-        out: list[str] = []
-        if size and len(reviewed) >= size:
-            out = sorted(held)
-            released.update(held)
-            held = {}
-        state.update((list(reviewed), list(held), list(released)))
-        ub = "" if key[0].startswith("#") else key[0]
-        yield pd.DataFrame({"upload_batch": [ub] * len(out), "opinion_id": out})
-
-    return keyed.groupBy("_key").applyInPandasWithState(
-        step, PENDING_OUT, "reviewed array<string>, held array<string>, released array<string>", "append", GroupStateTimeout.NoTimeout)
+    spark = rows.sparkSession
+    reviewed, released = f"{target}/reviewed", f"{target}/released"
+    out = T.StructType([T.StructField("upload_batch", T.StringType()), T.StructField("opinion_id", T.StringType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        clean = batch.filter(F.col("review_status") == 1).select(
+            text("upload_batch").alias("upload_batch"), text("opinion_id").alias("opinion_id"), F.col("batch_size").cast("long").alias("size"),
+            (filled("review_l1") & (F.coalesce("reflow_synced", F.lit(0)) < 1)).alias("due"))
+        clean.write.mode("overwrite").parquet(f"{reviewed}/batch={batch_id}")
+        new = spark.read.parquet(f"{reviewed}/batch={batch_id}")
+        named = F.col("upload_batch") != ""
+        touched = new.filter(named).select("upload_batch").distinct()
+        grouped = spark.read.parquet(reviewed).filter(named & (F.col("batch") <= batch_id)).join(touched, "upload_batch", "left_semi").drop("batch")
+        full = (grouped.groupBy("upload_batch").agg(F.count_distinct("opinion_id").alias("n"), F.max("size").alias("size"))
+                .filter((F.col("size") > 0) & (F.col("n") >= F.col("size"))).select("upload_batch"))
+        due = grouped.filter("due").join(full, "upload_batch", "left_semi").unionByName(new.filter(~named).filter("due"))
+        # A replay of this micro-batch must not see its own earlier output.
+        before = spark.read.schema(T.StructType([*out, T.StructField("batch", T.LongType())])).parquet(released).filter(F.col("batch") < batch_id)
+        (due.select("upload_batch", "opinion_id").distinct().join(before.select("upload_batch", "opinion_id"), ["upload_batch", "opinion_id"], "left_anti")
+         .write.mode("overwrite").parquet(f"{released}/batch={batch_id}"))
+    spark.createDataFrame([], out).write.mode("overwrite").parquet(f"{released}/batch=-1")
+    return _writer(rows, checkpoint, available_now).foreachBatch(write)
 
 
 def stream_daily_counts(rows: DataFrame, ts: str = "ts", key: str = "l2", lateness: str = "2 days") -> DataFrame:
