@@ -172,8 +172,9 @@ def similarity_forest(vectors: DataFrame, floor: float, key: str = "id") -> Data
     return edges.unionByName(copies)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(id, component): smallest id of each component, by alternating large-star and small-star steps.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component): smallest id of each component, by alternating large-star and small-star steps up to
+    the fixed point, whatever number of rounds that takes.
 
     Every step is one aggregate and one join on the node, so a node with very many neighbours only
     meets a one-row minimum. Lineage is cut by a checkpoint each round.
@@ -182,7 +183,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint(eager=True)
     nodes = e.select(F.col("u").alias("id")).union(e.select(F.col("v").alias("id"))).distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
