@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 from plaintide.llm.boosted import op10_boosted_rules
+from plaintide.llm.langid import op5_language
 from plaintide.llm.rulefit import op1_rule_quality
+from plaintide.llm.simhash import op8_ball_simhash
 from plaintide.llm.urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op1_rule_quality": op1_rule_quality,
+    "op5_language": op5_language,
     "op7_url_rules": op7_url_rules,
+    "op8_ball_simhash": op8_ball_simhash,
     "op10_boosted_rules": op10_boosted_rules,
 }
 ORACLES = {"op7_url_rules": OP7_SQL.strip()}
