@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from plaintide.llm.boosted import op10_boosted_rules
 from plaintide.llm.langid import op5_language
+from plaintide.llm.mixing import op4_mix
+from plaintide.llm.packing import op6_pack
 from plaintide.llm.rulefit import op1_rule_quality
 from plaintide.llm.simhash import op8_ball_simhash
 from plaintide.llm.urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op1_rule_quality": op1_rule_quality,
+    "op4_mix": op4_mix,
     "op5_language": op5_language,
+    "op6_pack": op6_pack,
     "op7_url_rules": op7_url_rules,
     "op8_ball_simhash": op8_ball_simhash,
     "op10_boosted_rules": op10_boosted_rules,
