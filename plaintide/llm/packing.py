@@ -141,15 +141,31 @@ def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), count
 
 
-def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 2e-3, max_columns: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, uses): least total use of patterns that covers the counts, by the revised simplex method. The basis
-    starts with one pattern per length; a priced pattern enters while it saves more than ``tolerance`` and the sequences are
-    not yet as full as that. ``max_columns`` only bounds the refinement: the basis covers all counts at every step."""
-    m, least = len(lengths), float(lengths @ counts) / capacity
-    basis = np.zeros((m, m))
-    basis[np.arange(m), np.arange(m)] = capacity // lengths
-    inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ counts.astype(np.float64)
+def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis with its uses: again and again the fullest pattern of the lengths that are left, used (in
+    fractions) until one of them is exhausted. Later patterns lack that length, so the columns are triangular."""
+    m = len(lengths)
+    basis, x, left = np.zeros((m, m)), np.zeros(m), counts.astype(np.float64)
+    while left.any():
+        column = fullest(lengths, np.where(left > 0, capacity // lengths, 0), capacity)
+        use = np.where(column > 0, left / np.maximum(column, 1), np.inf)
+        i = int(use.argmin())
+        basis[:, i], x[i] = column, use[i]
+        left = left - column * use[i]
+        left[i] = 0.0
+        left[left < 1e-9 * counts] = 0.0
+    for i in np.flatnonzero(basis.diagonal() == 0):  # exhausted together with another length
+        basis[i, i] = capacity // lengths[i]
+    return basis, x
+
+
+def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 1e-3, max_columns: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, uses): least total use of patterns that covers the counts, by the revised simplex method from a full
+    basis. A priced pattern enters while it saves more than ``tolerance`` and the sequences are not yet as full as
+    that. ``max_columns`` only bounds the refinement: the basis covers all counts at every step."""
+    least = float(lengths @ counts) / capacity
+    basis, x = first_basis(lengths, counts, capacity)
+    inverse = np.linalg.inv(basis)
     for step in range(max_columns):
         if x.sum() <= least * (1 + tolerance):
             break
@@ -163,7 +179,7 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, to
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
-        if step % 200 == 199:
+        if step % 50 == 49:
             inverse = np.linalg.inv(basis)
         else:
             pivot = inverse[out] / d[out]
