@@ -218,11 +218,13 @@ def learn(sample: DataFrame, margin: float = 6.0, spare: float = 0.35) -> Langua
 
 
 def learning_sample(docs: DataFrame, admitted: Column, max_docs: int, key: str = "doc_id", body: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text): at most ``max_docs`` admitted rows of each language, drawn by a hash of the id. Ids are
-    chosen first, a language in parts, so that a language of any size is never sorted in one task."""
+    """(lang, text): at most ``max_docs`` admitted rows of each language, those of the smallest hashes of the id. Rows are
+    first cut by a hash bound from their number, so that a language of any size is never sorted whole."""
     pool = docs.filter(admitted & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("lang"))
-    pool = pool.withColumn("h", F.xxhash64("id")).withColumn("part", F.spark_partition_id())
-    first = pool.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "id"))).filter(F.col("r") <= max_docs)
+    pool = pool.withColumn("h", F.xxhash64("id"))
+    n = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
+    cut = F.lit(2.0 ** 63) * (F.lit(2.0) * (F.lit(1.5 * max_docs + 50) / F.col("n")) - 1)
+    first = pool.join(F.broadcast(n), "lang").filter(F.col("h") <= cut)  # hashes below what about 1.5 max_docs rows have
     chosen = (first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= max_docs)
               .select("id").distinct())
     thin = docs.filter(admitted).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(body).alias("text"))

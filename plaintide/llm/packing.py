@@ -141,51 +141,58 @@ def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), count
 
 
-def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis with its uses: again and again the fullest pattern of the lengths that are left, used (in
-    fractions) until one of them is exhausted. Later patterns lack that length, so the columns are triangular."""
+def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible basis, its inverse and its uses: again and again the fullest pattern of the lengths that are left,
+    used (in fractions) until one of them is exhausted. Later patterns lack that length, so the columns are
+    triangular in this order and elimination touches only the few lengths of each pattern."""
     m = len(lengths)
-    basis, x, left = np.zeros((m, m)), np.zeros(m), counts.astype(np.float64)
+    basis, x, left, order = np.zeros((m, m)), np.zeros(m), counts.astype(np.float64), []
     while left.any():
         column = fullest(lengths, np.where(left > 0, capacity // lengths, 0), capacity)
         use = np.where(column > 0, left / np.maximum(column, 1), np.inf)
         i = int(use.argmin())
         basis[:, i], x[i] = column, use[i]
+        order.append(i)
         left = left - column * use[i]
         left[i] = 0.0
         left[left < 1e-9 * counts] = 0.0
     for i in np.flatnonzero(basis.diagonal() == 0):  # exhausted together with another length
         basis[i, i] = capacity // lengths[i]
-    return basis, x
+        order.append(int(i))
+    inverse = np.eye(m)
+    for i in order:
+        inverse[i] /= basis[i, i]
+        for r in np.flatnonzero(basis[:, i]):
+            if r != i:
+                inverse[r] -= basis[r, i] * inverse[i]
+    return basis, inverse, x
 
 
 def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 1e-3, max_columns: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, uses): least total use of patterns that covers the counts, by the revised simplex method from a full
     basis. A priced pattern enters while it saves more than ``tolerance`` and the sequences are not yet as full as
     that. ``max_columns`` only bounds the refinement: the basis covers all counts at every step."""
-    least = float(lengths @ counts) / capacity
-    basis, x = first_basis(lengths, counts, capacity)
-    inverse = np.linalg.inv(basis)
-    for step in range(max_columns):
+    least = float((lengths * counts).sum()) / capacity
+    basis, inverse, x = first_basis(lengths, counts, capacity)
+    for _ in range(max_columns):
         if x.sum() <= least * (1 + tolerance):
             break
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
         value, column = _price(np.maximum(dual, 0.0), lengths, capacity)
         if value <= 1 + tolerance:
             break
-        d = inverse @ column
+        some = np.flatnonzero(column)
+        d = (inverse[:, some] * column[some]).sum(axis=1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1.0), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
+        x = np.maximum(x - ratio[out] * d, 0.0)
+        x[out] = ratio[out]
         basis[:, out] = column
-        if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        else:
-            pivot = inverse[out] / d[out]
-            inverse -= np.outer(d, pivot)
-            inverse[out] = pivot
-        x = np.maximum(inverse @ counts, 0.0)
+        pivot = inverse[out] / d[out]
+        inverse -= np.outer(d, pivot)
+        inverse[out] = pivot
     return basis.T.astype(np.int64), x
 
 
