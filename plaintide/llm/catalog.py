@@ -8,6 +8,7 @@ from plaintide.llm.multiindex import op3_multi_index
 from plaintide.llm.packing import op6_pack
 from plaintide.llm.rulefit import op1_rule_quality
 from plaintide.llm.simhash import op8_ball_simhash
+from plaintide.llm.suffixes import op9_suffix_dedup
 from plaintide.llm.urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_url_rules": op7_url_rules,
     "op8_ball_simhash": op8_ball_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_boosted_rules": op10_boosted_rules,
 }
 ORACLES = {"op7_url_rules": OP7_SQL.strip()}

@@ -34,7 +34,8 @@ from plaintide.session import materialise
 WINDOW = 200
 GRAM = 64
 PIECE = 1 << 19  # window starts worked on at once
-COLLECTION = 4096  # segments in one transform, about
+DEAL = 8192  # segments in one group, about
+COLLECTION = 256  # segments in one transform, about
 CROWDED = 8192  # different segments of one anchor from which it is cut into windows
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -165,12 +166,18 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare(pieces: DataFrame, n_pieces: int, window: int) -> DataFrame:
     """(id, mark, a, b): runs of window starts that repeat, of the segments that occur once. Anchors are dealt whole."""
     kind = pieces.schema["id"].dataType.simpleString()
-    n = max(1, -(-n_pieces // COLLECTION))
+    n = max(1, -(-n_pieces // DEAL))
 
     def run(t: pa.Table) -> pa.Table:
-        raw = t.column("raw").to_pylist()
+        t = t.sort_by("h")
+        raw, h = t.column("raw").to_pylist(), t.column("h").to_numpy()
         once = np.flatnonzero(t.column("times").to_numpy() == 1)
-        flags = bcr.repeated(raw, window)
+        new = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        flags, at = [], 0
+        while at < len(h):  # whole anchors, until a collection is full
+            stop = int(new[np.searchsorted(new, min(at + COLLECTION, len(h)))])
+            flags += bcr.repeated(raw[at:stop], window)
+            at = stop
         start = t.column("s").to_numpy()
         row, lo, hi = [], [], []
         for i in once:
