@@ -5,6 +5,7 @@ from plaintide.llm.boosted import op10_boosted_rules
 from plaintide.llm.langid import op5_language
 from plaintide.llm.mixing import op4_mix
 from plaintide.llm.multiindex import op3_multi_index
+from plaintide.llm.ngram import op2_trie_lm
 from plaintide.llm.packing import op6_pack
 from plaintide.llm.rulefit import op1_rule_quality
 from plaintide.llm.simhash import op8_ball_simhash
@@ -13,6 +14,7 @@ from plaintide.llm.urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op1_rule_quality": op1_rule_quality,
+    "op2_trie_lm": op2_trie_lm,
     "op3_multi_index": op3_multi_index,
     "op4_mix": op4_mix,
     "op5_language": op5_language,
