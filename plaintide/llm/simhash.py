@@ -208,10 +208,12 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", body: str = "text", **ho
     smallest id; of repeated rows with that id, one. Rows without an id cannot be told apart and all stay."""
     groups = near_groups(docs, key, body, **how)
     keep = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep_id")).distinct()
-    order = Window.partitionBy("_keep_id").orderBy(F.xxhash64(F.col(f"d.{body}")))
-    kept = docs.alias("d").join(keep, F.col(f"d.{key}") == F.col("_keep_id"))
-    kept = kept.select("d.*", F.row_number().over(order).alias("_keep_rank")).filter("_keep_rank = 1").drop("_keep_rank")
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the input meets one used here
+    k, t = plain[f"c{names.index(key)}"], plain[f"c{names.index(body)}"]
+    order = Window.partitionBy("_keep_id").orderBy(F.xxhash64(t))
+    kept = plain.join(keep, k == keep["_keep_id"]).withColumn("_keep_rank", F.row_number().over(order)).filter("_keep_rank = 1")
+    return kept.select(*plain.columns).toDF(*names).unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op8_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
