@@ -196,7 +196,8 @@ def repeats(documents: DataFrame, key: str = "doc_id", body: str = "text", windo
     another start as well. ``mark`` is xxhash64 of the text."""
     docs = _bodies(documents, key, body)
     found = materialise(_segment_rows(docs.filter(F.octet_length("body") >= window), window))
-    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), (F.min("c") != F.max("c")).alias("mixed")).filter("times > 1")
+    # Written before it is joined: the join then deals both sides itself and a crowded anchor can be split.
+    anchors = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), (F.min("c") != F.max("c")).alias("mixed")).filter("times > 1"))
     again = materialise(found.join(anchors.select("h", "mixed"), "h"))
     alike = again.filter("NOT mixed").select("id", "mark", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
