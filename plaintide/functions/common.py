@@ -105,13 +105,10 @@ def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a table is within the broadcast bound: by its known size, else by counting no further
-    than the bound. The answer is kept on the DataFrame."""
+    """Whether the driver itself built the table and it is within the broadcast bound. Of all other tables the
+    planner decides by their measured bytes; no job runs while a plan is built."""
     known = getattr(df, "_known_rows", None)
-    if known is None:
-        known = df.limit(MAX_BROADCAST_ROWS + 1).count()
-        df._known_rows = known
-    return known <= MAX_BROADCAST_ROWS
+    return known is not None and known <= MAX_BROADCAST_ROWS
 
 
 def hint_small(derived: DataFrame, *sources: DataFrame) -> DataFrame:

@@ -111,9 +111,10 @@ def mail_field(c: Column | str, prefixes=wp.REPLY_PREFIXES) -> Column:
     return F.substring(F.regexp_replace(t, rf"^({'|'.join(prefixes)})\s*[:,：\[\s-]+", ""), 1, 800)
 
 
-def email_headers(c: Column | str) -> tuple[Column, Column]:
-    """Subject and sender found in the first 4200 characters."""
-    lines = F.transform(F.split(F.substring(F.coalesce(col(c), F.lit("")), 1, 4200), r"\r\n|\n|\r"), strip)
+def email_headers(c: Column | str, window: int | None = None) -> tuple[Column, Column]:
+    """Subject and sender found in the text, or in its first ``window`` characters."""
+    body = F.coalesce(col(c), F.lit(""))
+    lines = F.transform(F.split(body if window is None else F.substring(body, 1, window), r"\r\n|\n|\r"), strip)
 
     def found(rx: str, last: bool) -> Column:
         hits = F.filter(lines, lambda x: x.rlike(rx))

@@ -86,7 +86,7 @@ def review_rows(df: DataFrame, ids: DataFrame | None = None, **conditions) -> Da
 def review_list(df: DataFrame, page: int = 1, size: int = 20, preview_chars: int = 420,
                 ids: DataFrame | None = None, **conditions) -> DataFrame:
     """One page, newest first, with the total over all pages on each row."""
-    page, size = max(1, page), min(20, max(1, size))
+    page, size = max(1, page), max(1, size)
     rows = review_rows(df, ids, **conditions)
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     short, cut = preview("original_text", preview_chars)
@@ -134,7 +134,7 @@ def sample_priority_rows(df: DataFrame, n: int = 3000) -> DataFrame:
     named = meta.contains('"l3":') & ~meta.contains('"l3": ""') & ~meta.contains('"l3":""')
     rank = F.when(filled("v3_l3") | filled("review_l3"), 0).when(named, 1).otherwise(2)
     return df.filter(filled("original_text")).withColumn("sample_rank", rank).orderBy(
-        "sample_rank", F.desc("id")).limit(max(100, min(n, 8000)))
+        "sample_rank", F.desc("id")).limit(n)
 
 
 def drop_batch_duplicates(df: DataFrame, batch: str) -> DataFrame:

@@ -343,9 +343,11 @@ def batch_classify(df: DataFrame, pack: Mapping, taxonomy: DataFrame, clusters:
 
 
 def fewshot_examples(queries: DataFrame, reviewed: DataFrame, key: str = "qid", body: str = "text", newest: int = 24, top: int = 4,
-                     fallback: int = 20, n_salt: int = 16) -> DataFrame:
-    """For each text: the reviewed rows that contain any of its first six words, the newest 24 of
-    them, the four that share the most characters; the newest 20 rows if none contains any.
+                     fallback: int = 20, n_salt: int = 16, n_words: int | None = 6, word_chars: int | None = None, shared_chars: int | None = None,
+                     shown_chars: int | None = None) -> DataFrame:
+    """For each text: the reviewed rows that contain any of its first ``n_words`` different words, the ``newest`` of
+    them, the ``top`` that share the most characters; the newest ``fallback`` rows if none contains any. Words and
+    characters are taken from whole texts, or from their first ``word_chars`` and ``shared_chars``.
 
     No text meets a text. Words of the reviewed rows are reduced to a vocabulary with the newest 24
     rows of each word; a query word is found inside vocabulary words through its rarest two-letter
@@ -354,8 +356,11 @@ def fewshot_examples(queries: DataFrame, reviewed: DataFrame, key: str = "qid",
     """
     lo = lambda c: F.lower(c)
     runs = lambda c: F.array_distinct(F.regexp_extract_all(lo(c), F.lit("([\\u4e00-\\u9fff]{2,}|[a-z]{2,})"), F.lit(1)))
+    first = lambda c, n: c if n is None else F.substring(c, 1, n)
     q = queries.select(key, F.col(body).alias("_q"))
-    qt = q.select(key, F.explode(F.slice(runs(F.substring("_q", 1, 240)), 1, 6)).alias("tok"))
+    # Words are told apart as they are written, then lower-cased.
+    written = F.array_distinct(F.regexp_extract_all(first(F.col("_q"), word_chars), F.lit("([\\u4e00-\\u9fff]{2,}|[A-Za-z]{2,})"), F.lit(1)))
+    qt = q.select(key, F.explode(F.array_distinct(F.transform(written if n_words is None else F.slice(written, 1, n_words), lo))).alias("tok"))
     when = F.coalesce(F.nullif("reviewed_at", F.lit("")), F.col("create_time"), F.lit(""))
     rev = reviewed.filter(labels.is_reviewed() & filled("review_l1") & filled("review_l2")).select(
         "id", when.alias("ts"), F.col("original_text").alias("sample"), labels.canonicalize_l1("review_l1").alias("l1"), text("review_l2").alias("l2"))
@@ -379,12 +384,12 @@ def fewshot_examples(queries: DataFrame, reviewed: DataFrame, key: str = "qid",
     lone = q.select(key).join(cand.select(key).distinct(), key, "left_anti").withColumn("_r", F.explode(listed))
     lone = lone.select(key, F.col("_r.id").alias("id"), F.col("_r.ts").alias("ts"))
     allc = cand.select(key, "id", "ts").unionByName(lone)
-    chars = lambda c: F.array_distinct(F.split(F.substring(c, 1, 200), ""))
+    chars = lambda c: F.array_distinct(F.split(first(c, shared_chars), ""))
     full = allc.join(rev.drop("ts"), "id").join(q, key)
     full = full.withColumn("shared", F.size(F.filter(F.array_intersect(chars(F.col("_q")), chars(F.col("sample"))), lambda x: x != "")))
     w2 = Window.partitionBy(key).orderBy(F.desc("shared"), F.desc("ts"), F.desc("id"))
     return (full.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top)
-            .select(key, "rank", "id", "shared", F.substring("sample", 1, 180).alias("text"), "l1", "l2"))
+            .select(key, "rank", "id", "shared", first(F.col("sample"), shown_chars).alias("text"), "l1", "l2"))
 
 
 def label_audit_import(sheet: DataFrame, table: DataFrame, whitelist: DataFrame, aliases: Mapping[str, str]) -> DataFrame:

@@ -73,7 +73,7 @@ def month_spine(spark: SparkSession, day_from: str, day_to: str) -> DataFrame:
 
 def daily_accuracy_trend(df: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
     """Accuracy and reviewed count per day over a dense axis."""
-    days = max(1, min(days, 30))
+    days = max(1, days)
     first = as_of - dt.timedelta(days=days - 1)
     per_day = (df.filter(_both_l1()).withColumn("day", iso_event_day())
                .filter(F.col("day").between(F.lit(first), F.lit(as_of)))
@@ -220,7 +220,7 @@ def report_cube(df: DataFrame, day_from: str, day_to: str, region: str = "all")
 def nth_subtag_trend(df: DataFrame, day_from: str, day_to: str, region: str = "all", k: int = 1,
                      classes=(lp.PRODUCT, lp.SERVICE), placeholder: str = "(无二级)") -> DataFrame:
     """Per class, the month counts of its k-th most frequent L2."""
-    k = max(1, min(k, 8))
+    k = max(1, k)
     # Unwanted cells leave by a zero count; a filter on the derived labels would repeat them below.
     wanted = F.col("l1").isin(*classes) & (F.col("l2") != "")
     cells = (labelled_window(df, day_from, day_to, region).groupBy("l1", "l2", "month_key")
@@ -239,7 +239,7 @@ def nth_subtag_trend(df: DataFrame, day_from: str, day_to: str, region: str = "a
 
 def top_subtag_monthly(df: DataFrame, day_from: str, day_to: str, region: str = "all", top: int = 8) -> DataFrame:
     """Month counts of the overall most frequent L2."""
-    top = max(3, min(top, 20))
+    top = max(1, top)
     cells = (labelled_window(df, day_from, day_to, region).groupBy("l2", "month_key")
              .agg(count_when(F.col("l2") != "").alias("n")).filter(F.col("n") > 0))
     best = cells.groupBy("l2").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), F.asc("l2")).limit(top)

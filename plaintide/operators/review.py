@@ -119,9 +119,10 @@ def archive_batch(df: DataFrame, batch: str) -> DataFrame:
                            "reflow_synced": F.when(hit, F.lit(2)).otherwise(F.col("reflow_synced"))})
 
 
-def mark_reflow_failures(df: DataFrame, failures: DataFrame) -> DataFrame:
-    """Failed ids get the failed state and a reason of at most 500 characters."""
-    f = failures.groupBy("opinion_id").agg(F.max(F.substring(F.coalesce(F.nullif("reason", F.lit("")), F.lit("unknown")), 1, 500)).alias("_why"))
+def mark_reflow_failures(df: DataFrame, failures: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Failed ids get the failed state and a reason, shortened to ``max_chars`` if given."""
+    why = F.coalesce(F.nullif("reason", F.lit("")), F.lit("unknown"))
+    f = failures.groupBy("opinion_id").agg(F.max(why if max_chars is None else F.substring(why, 1, max_chars)).alias("_why"))
     j = df.join(f, "opinion_id", "left")
     hit = F.col("_why").isNotNull()
     old = F.col("reflow_sync_reason") if "reflow_sync_reason" in df.columns else F.lit(None).cast("string")
@@ -129,13 +130,13 @@ def mark_reflow_failures(df: DataFrame, failures: DataFrame) -> DataFrame:
                           "reflow_synced": F.when(hit, F.lit(-1)).otherwise(F.col("reflow_synced"))}).drop("_why")
 
 
-def correction_log(df: DataFrame, reviews: DataFrame, keep: int = 10_000) -> DataFrame:
-    """Original class against the corrected one, newest first."""
+def correction_log(df: DataFrame, reviews: DataFrame, keep: int | None = None) -> DataFrame:
+    """Original class against the corrected one; with ``keep`` only the newest so many, newest first."""
     r = reviews.select("opinion_id", F.coalesce("review_note", F.lit("")).alias("corrected_class"),
                        F.col("review_status").alias("_st"), F.col("reviewed_at").alias("timestamp"))
     j = r.join(df.select("opinion_id", F.coalesce("model_class", F.lit("")).alias("original_class")), "opinion_id")
-    return (j.withColumn("is_corrected", (F.col("original_class") != F.col("corrected_class")) & (F.col("_st") == 1))
-            .drop("_st").orderBy(F.desc("timestamp"), F.desc("opinion_id")).limit(keep))
+    out = j.withColumn("is_corrected", (F.col("original_class") != F.col("corrected_class")) & (F.col("_st") == 1)).drop("_st")
+    return out if keep is None else out.orderBy(F.desc("timestamp"), F.desc("opinion_id")).limit(keep)
 
 
 def confirm_as_correct(df: DataFrame, model_l1: Column, model_l2: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plaintide.functions.common import WS
 from plaintide.session import checkpoint_dir
@@ -25,21 +25,27 @@ MAX_BLOCKS = 4096
 def hashing_embedding(df: DataFrame, key: str = "doc_id", body: str = "text", dim: int = 256, ngram: int = 3) -> DataFrame:
     """Sparse (key, dim, value): signed counts of hashed character n-grams, scaled to unit length.
 
-    The index is the digest modulo the size, the sign is bit 8 of the digest; both sit in its last
-    four hex digits.
+    The index is the 128-bit digest modulo the size, the sign is bit 8 of the digest. Texts are dealt by key once; the
+    counts of n-grams, the cells and their length all stay in that dealing, and an n-gram is hashed once per key.
     """
-    if dim > 256 or 256 % dim:
-        raise ValueError("the size must divide 256")
+    if not 0 < dim < 1 << 31:
+        raise ValueError("the size must be positive and below 2^31")
     t = F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), WS + "+", "")
     t = F.when(F.length(t) < ngram, F.substring(F.concat(t, F.lit("·" * ngram)), 1, ngram)).otherwise(t)
     # A look-ahead yields every overlapping n-gram in one linear pass over the text.
-    g = df.select(key, F.explode(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ngram), F.lit(1))).alias("_g"))
-    tail = F.conv(F.right(F.md5("_g"), F.lit(4)), 16, 10).cast("int")
-    s = g.select(key, tail.alias("_h")).select(
-        key, F.col("_h").bitwiseAND(dim - 1).alias("dim"), F.when(F.col("_h").bitwiseAND(256) > 0, 1.0).otherwise(-1.0).alias("s"))
-    cells = s.groupBy(key, "dim").agg(F.sum("s").alias("v")).filter(F.col("v") != 0)
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return cells.join(norms, key).select(key, "dim", (F.col("v") / F.col("n")).alias("value"))
+    g = df.select(key, body).repartition(key).select(key, F.explode(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ngram), F.lit(1))).alias("_g"))
+    g = g.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", F.md5("_g"))
+    tail = F.conv(F.right("_d", F.lit(4)), 16, 10).cast("long")
+    if 65_536 % dim == 0:
+        place = tail % dim
+    else:  # the digest modulo the size, eight hex digits at a time
+        place = F.lit(0).cast("long")
+        for i in range(4):
+            place = (place * F.lit(1 << 32) + F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("long")) % dim
+    sign = F.when(tail.bitwiseAND(256) > 0, F.col("_n")).otherwise(-F.col("_n"))
+    cells = g.select(key, place.cast("int").alias("dim"), sign.alias("s")).groupBy(key, "dim").agg(F.sum("s").cast("double").alias("v")).filter(F.col("v") != 0)
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return cells.select(key, "dim", (F.col("v") / norm).alias("value"))
 
 
 def dense_vectors(cells: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:
@@ -200,10 +206,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.55, max_clusters: int = 15,
-                        min_size: int = 3, max_frac: float = 0.35) -> DataFrame:
+                        min_size: int = 3, max_frac: float = 0.35, keep: int | None = None, tries: int = 24) -> DataFrame:
     """(id, cluster, size, threshold, reason): components at a threshold that is searched as follows.
     None left: 0.04 lower, not under 0.25. Largest too large: 0.03 higher, not over 0.95. Too many:
-    0.02 lower, not under the start. At most 24 tries; the last one stands.
+    0.02 lower, not under the start. At most ``tries``; the last one stands. ``max_clusters`` steers the search only;
+    all clusters of the threshold it ends at are returned, or the ``keep`` largest.
 
     The forest is built once at the lowest threshold; a try only cuts it.
     """
@@ -213,7 +220,7 @@ def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.
     forest = similarity_forest(vectors, 0.25, key).checkpoint(eager=True)
     seen: dict[float, tuple[DataFrame, int, int]] = {}
     thr, reason = float(min_sim), "rounds"
-    for _ in range(24):
+    for _ in range(tries):
         k = round(thr, 6)
         if k not in seen:
             comp = connected_components(forest.filter(F.col("sim") >= k))
@@ -235,6 +242,8 @@ def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.
             break
     used = k
     members = seen[used][0]
-    top = members.select("component", "size").distinct().orderBy(F.desc("size"), F.asc("component")).limit(max_clusters)
-    return members.drop("size").join(top, "component").select(
+    if keep is not None:
+        top = members.select("component", "size").distinct().orderBy(F.desc("size"), F.asc("component")).limit(keep)
+        members = members.drop("size").join(top, "component")
+    return members.select(
         "id", F.col("component").alias("cluster"), "size", F.lit(used).alias("threshold"), F.lit(reason).alias("reason"))

@@ -134,13 +134,23 @@ def similar_sets(labels_df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return ok.unionByName(ok.select("l1", "l2", F.col("other").alias("chars"), F.col("chars").alias("other")))
 
 
-def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_rounds: int = 60, max_syn: int = 40, max_kw: int = 24) -> DataFrame:
+def _first_names(rows: DataFrame, order: list[Column], sort: list[Column], name: str, most: int | None, alias: str) -> DataFrame:
+    """The names of each canonical label in order, as an array. With ``most`` only the first so many are gathered."""
+    group = ["l1", "l2", "canonical"]
+    if most is not None:
+        rows = top_rows(rows, group, order, most, salt_by=[name])
+    keyed = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort)], F.col(name).alias("name"))
+    return rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["name"]).alias(alias))
+
+
+def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_syn: int | None = None, max_kw: int | None = None) -> DataFrame:
     """Greedy merge of labels (l1, l2, label, n) by frequency: the most frequent unused label is a
     seed and absorbs every unused similar label.
 
     That is the first maximal independent set in frequency order, which is found in parallel rounds:
     a label becomes a seed once no earlier label that could still absorb it is left, and a label next
-    to an earlier seed is absorbed by the earliest one. No group is handled by a single task.
+    to an earlier seed is absorbed by the earliest one, until none is open. No group is handled by a single task.
+    ``max_syn`` and ``max_kw`` keep the first so many synonyms and keywords of each label; all by default.
     """
     checkpoint_dir(freqs.sparkSession)
     f = freqs.filter(F.length("label") >= 2).groupBy("l1", "l2", "label").agg(F.sum("n").alias("n"))
@@ -152,7 +162,7 @@ def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_rounds: in
     e = e.join(nodes, ["l1", "l2", "chars"]).join(nodes.select("l1", "l2", F.col("chars").alias("other"), F.col("r").alias("ro")), ["l1", "l2", "other"])
     earlier = e.filter(F.col("ro") < F.col("r")).select("l1", "l2", "chars", "other", "ro").checkpoint(eager=True)
     state = nodes.withColumn("seed", F.lit(None).cast("boolean"))
-    for _ in range(max_rounds):
+    while True:
         st = state.select("l1", "l2", F.col("chars").alias("other"), F.col("seed").alias("so"))
         near = earlier.join(st, ["l1", "l2", "other"]).groupBy("l1", "l2", "chars").agg(
             F.max(F.coalesce("so", F.lit(False))).alias("has_seed"), F.max(F.col("so").isNull()).alias("has_open"))
@@ -161,23 +171,20 @@ def label_cluster_merge(freqs: DataFrame, threshold: float = 0.5, max_rounds: in
         state = j.select("l1", "l2", "chars", "r", F.coalesce("seed", decided).alias("seed")).checkpoint(eager=True)
         if state.filter(F.col("seed").isNull()).limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("label merge did not settle; raise max_rounds")
     seeds = state.filter("seed").select("l1", "l2", F.col("chars").alias("other"))
     owner = earlier.join(seeds, ["l1", "l2", "other"], "left_semi").groupBy("l1", "l2", "chars").agg(F.min("ro").alias("ro"))
     canon = nodes.join(owner, ["l1", "l2", "chars"], "left").select("l1", "l2", "chars", F.coalesce("ro.label", "r.label").alias("canonical"))
     member = f.join(canon, ["l1", "l2", "chars"]).drop("chars")
     sums = member.groupBy("l1", "l2", "canonical").agg(F.sum("n").alias("count"))
-    syn = top_rows(member.filter("label <> canonical"), ["l1", "l2", "canonical"], [F.desc("n"), F.asc("label")], max_syn, salt_by=["label"])
-    syn = syn.groupBy("l1", "l2", "canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]).alias("synonyms"))
+    syn = _first_names(member.filter("label <> canonical"), [F.desc("n"), F.asc("label")], [-F.col("n"), F.col("label")], "label", max_syn, "synonyms")
 
     def grams(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("label") - (size - 1), F.lit(1)))
         return F.when(F.length("label") >= size, F.transform(starts, lambda i: F.substr("label", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
     kw = member.select("l1", "l2", "canonical", F.explode(F.concat(grams(4), grams(3), grams(2))).alias("w")).distinct()
     kw = kw.join(f.select("l1", "l2", F.col("label").alias("w"), "n"), ["l1", "l2", "w"], "left").withColumn("len", F.length("w"))
-    kw = top_rows(kw, ["l1", "l2", "canonical"], [F.desc("len"), F.desc(F.coalesce("n", F.lit(0))), F.asc("w")], max_kw, salt_by=["w"])
-    kw = kw.groupBy("l1", "l2", "canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "w"))), lambda x: x["w"]).alias("keywords"))
+    seen = F.coalesce("n", F.lit(0))
+    kw = _first_names(kw, [F.desc("len"), F.desc(seen), F.asc("w")], [-F.col("len"), -seen, F.col("w")], "w", max_kw, "keywords")
     empty = F.array().cast("array<string>")
     return (sums.join(syn, ["l1", "l2", "canonical"], "left").join(kw, ["l1", "l2", "canonical"], "left")
             .withColumns({"synonyms": F.coalesce("synonyms", empty), "keywords": F.coalesce("keywords", empty)}))

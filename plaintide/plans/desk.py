@@ -238,7 +238,7 @@ def _(spark, d):
 @query("correction_log", """
 WITH r AS (SELECT opinion_id, CASE WHEN id % 3 = 0 THEN '非问题' ELSE model_class END AS c, review_status AS st, reviewed_at AS timestamp, model_class FROM opinion WHERE review_status = 1)
 SELECT opinion_id, c AS corrected_class, timestamp, model_class AS original_class, model_class <> c AND st = 1 AS is_corrected
-FROM r ORDER BY timestamp DESC, opinion_id DESC LIMIT 10000""")
+FROM r""")
 def _(spark, d):
     o = opinion(spark, d)
     r = o.filter(labels.is_reviewed()).withColumn("review_note", F.when(F.col("id") % 3 == 0, "非问题").otherwise(F.col("model_class")))

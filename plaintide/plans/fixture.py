@@ -65,12 +65,8 @@ FROM t
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table scan. Long texts that arrive in fewer splits than there are cores are spread once, so
-    that per-text work is not left to one task; a large table has splits enough and is not shuffled."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents" and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return df
+    """A table scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def opinion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def _(spark, d):
 
 
 @query("training_jsonl", f"""
-SELECT opinion_id, md5(concat('分类：', substr({q.s('original_text')}, 1, 2000))) AS prompt,
+SELECT opinion_id, md5(concat('分类：', {q.s('original_text')})) AS prompt,
   concat('{{"l1": "', {q.s('review_l1')}, '", "l2": "', {q.s('review_l2')}, '"}}') AS completion
 FROM opinion WHERE review_status = 1 AND coalesce(review_l1,'') <> '' AND {q.s('original_text')} <> ''""")
 def _(spark, d):

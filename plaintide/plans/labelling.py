@@ -566,11 +566,11 @@ def _(spark, d):
 
 
 @query("fewshot_examples", f"""
-WITH qs AS (SELECT item_id AS qid, text FROM benchmark), tk AS (SELECT qid, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 6)) AS tok FROM (SELECT qid, regexp_extract_all(lower(substr(text, 1, 240)), '[一-鿿]{{2,}}|[a-z]{{2,}}') AS l FROM qs)),
+WITH qs AS (SELECT item_id AS qid, text FROM benchmark), tk AS (SELECT DISTINCT qid, lower(unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 6))) AS tok FROM (SELECT qid, regexp_extract_all(text, '[一-鿿]{{2,}}|[A-Za-z]{{2,}}') AS l FROM qs)),
  rv AS (SELECT id, coalesce(nullif(reviewed_at,''), create_time, '') AS ts, original_text AS sm FROM opinion WHERE review_status = 1 AND {q.s('review_l1')} <> '' AND {q.s('review_l2')} <> ''),
  cd AS (SELECT DISTINCT qid, rv.id, ts FROM tk JOIN rv ON contains(lower(sm), tok)), c24 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ts DESC, id DESC) AS rn FROM cd) WHERE rn <= 24),
  fb AS (SELECT id, ts FROM rv ORDER BY ts DESC, id DESC LIMIT 20), al AS (SELECT qid, id, ts FROM c24 UNION ALL SELECT qid, fb.id, fb.ts FROM qs, fb WHERE qid NOT IN (SELECT qid FROM c24)),
- sh AS (SELECT al.*, len(list_intersect(list_distinct(string_split(substr(qs.text, 1, 200), '')), list_distinct(string_split(substr(rv.sm, 1, 200), '')))) AS shared FROM al JOIN qs USING (qid) JOIN rv ON rv.id = al.id)
+ sh AS (SELECT al.*, len(list_intersect(list_distinct(string_split(qs.text, '')), list_distinct(string_split(rv.sm, '')))) AS shared FROM al JOIN qs USING (qid) JOIN rv ON rv.id = al.id)
 SELECT qid, rank::INT AS rank, id, shared::INT AS shared FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY shared DESC, ts DESC, id DESC) AS rank FROM sh) WHERE rank <= 4""")
 def _(spark, d):
     qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")

@@ -60,11 +60,11 @@ def _rank_rounds(n: int) -> str:
 @query("cooccur_rank", f"""
 WITH tk AS (SELECT doc_id, lang, {tokens_sql('text')} AS t FROM documents), px AS (SELECT doc_id, lang, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS p FROM tk),
  pr AS (SELECT DISTINCT x.lang, least(x.tok, y.tok) AS a, greatest(x.tok, y.tok) AS b FROM px x JOIN px y ON x.doc_id = y.doc_id AND y.p IN (x.p + 1, x.p + 2, x.p + 3) AND x.tok <> y.tok),
- sy AS (SELECT lang, a, b FROM pr UNION ALL SELECT lang, b, a FROM pr), dg AS (SELECT lang, a, count(*) AS deg FROM sy GROUP BY 1, 2), {_rank_rounds(5)},
- k AS (SELECT lang, a AS word, round(s, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY round(s, 6) DESC, a) AS rank FROM r5)
+ sy AS (SELECT lang, a, b FROM pr UNION ALL SELECT lang, b, a FROM pr), dg AS (SELECT lang, a, count(*) AS deg FROM sy GROUP BY 1, 2), {_rank_rounds(10)},
+ k AS (SELECT lang, a AS word, round(s, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY round(s, 6) DESC, a) AS rank FROM r10)
 SELECT lang, word, round(score, 4) AS score FROM k WHERE rank <= 20""", needs_opinion=False)
 def _(spark, d):
-    return mn.cooccur_rank(docs(spark, d), rounds=5).select("lang", "word", F.round("score", 4).alias("score"))
+    return mn.cooccur_rank(docs(spark, d)).select("lang", "word", F.round("score", 4).alias("score"))
 
 
 @query("hashing_embedding", f"""
@@ -100,11 +100,11 @@ def _(spark, d):
 @query("text_clusters")
 def _(spark, d):
     v = sim.dense_vectors(sim.hashing_embedding(docs(spark, d)), "doc_id").withColumnRenamed("doc_id", "id")
-    return sim.similarity_clusters(v, min_sim=0.9)
+    return sim.similarity_clusters(v)
 
 
 HINTS = f"""{ENR}, hc AS (SELECT *, concat('kw:', substr({q.sq("coalesce(nullif(trim(root_cause_hint),''), nullif(trim(l3),''), nullif(substr(original_text,1,40),''), '未标注')")}, 1, 8)) AS cluster FROM en),
- hs AS (SELECT cluster, count(*) AS size FROM hc GROUP BY 1 HAVING count(*) >= 3 ORDER BY size DESC, cluster LIMIT 15), hm AS (SELECT hc.*, size FROM hc JOIN hs USING (cluster))"""
+ hs AS (SELECT cluster, count(*) AS size FROM hc GROUP BY 1 HAVING count(*) >= 3), hm AS (SELECT hc.*, size FROM hc JOIN hs USING (cluster))"""
 
 
 @query("hint_clusters", f"WITH {HINTS} SELECT id, cluster, size FROM hm")
@@ -120,7 +120,7 @@ PROF = f"""{HINTS}, l2c AS (SELECT cluster, list_sort(list(DISTINCT l2) FILTER (
 
 @query("cluster_profile", f"""
 WITH {PROF} SELECT cluster, array_to_string(l2s, '|') AS l2s, count, severity_weighted, sev_high, sev_mid, sev_low, l3_n, theme, len(l2s) >= 2 AS cross_l2, len(l2s) >= 3 AS cross_l2_ge3,
-  (SELECT md5(string_agg(substr(replace({q.s('original_text')}, chr(10), ' '), 1, 160), '|' ORDER BY id)) FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS rn FROM hm WHERE {q.s('original_text')} <> '') z WHERE z.cluster = pf.cluster AND rn <= 3) AS quotes FROM pf""")
+  (SELECT md5(string_agg(replace({q.s('original_text')}, chr(10), ' '), '|' ORDER BY id)) FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS rn FROM hm WHERE {q.s('original_text')} <> '') z WHERE z.cluster = pf.cluster AND rn <= 3) AS quotes FROM pf""")
 def _(spark, d):
     p = mn.cluster_profile(mn.hint_clusters(enriched(spark, d)))
     return p.select("cluster", F.array_join("l2_list", "|").alias("l2s"), F.col("count").cast("bigint").alias("count"), "severity_weighted", "sev_high", "sev_mid", "sev_low", "l3_n", "theme",

@@ -261,7 +261,7 @@ def _(spark, d):
 @query("email_headers", r"""
 WITH t AS (SELECT opinion_id, source, concat('标题：old', chr(10), '主题: RE: ', source, '  Case ', vin, chr(10), 'From: ', phone, ' <x@y>', chr(10),
     CASE WHEN id % 3 = 0 THEN concat('发件人: FW: ', car_model, ' z', chr(10)) ELSE '' END, original_text) AS body, original_text FROM opinion),
- h AS (SELECT *, list_transform(regexp_split_to_array(substr(body, 1, 4200), '\r\n|\n|\r'), lambda x: trim(x)) AS ls FROM t),
+ h AS (SELECT *, list_transform(regexp_split_to_array(body, '\r\n|\n|\r'), lambda x: trim(x)) AS ls FROM t),
  f AS (SELECT opinion_id, source, original_text,
    regexp_extract(list_filter(ls, lambda x: regexp_matches(x, '(?i)^(?:主题|标题)\s*[：:]\s*(.+)$'))[-1], '(?i)^(?:主题|标题)\s*[：:]\s*(.+)$', 1) AS sj,
    coalesce(nullif(regexp_extract(list_filter(ls, lambda x: regexp_matches(x, '(?i)^发件人\s*[：:]\s*(.+)$'))[-1], '(?i)^发件人\s*[：:]\s*(.+)$', 1), ''),

@@ -115,8 +115,8 @@ def append_route_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def route_metrics_tail(df: DataFrame, n: int = 500, order: str = "timestamp") -> DataFrame:
-    """Newest rows first, at most 500."""
-    return df.orderBy(F.desc(order)).limit(min(n, 500))
+    """The ``n`` newest rows, newest first."""
+    return df.orderBy(F.desc(order)).limit(n)
 
 
 def monthly_archive_merge(archive: DataFrame, new: DataFrame, time: str = "create_time",
@@ -142,10 +142,11 @@ def json_quoted(c: Column | str) -> Column:
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
-def training_rows(df: DataFrame, instruction: str = "", max_chars: int = 2000) -> DataFrame:
-    """Prompt and completion; the completion is JSON with the two human labels."""
+def training_rows(df: DataFrame, instruction: str = "", max_chars: int | None = None) -> DataFrame:
+    """Prompt and completion; the completion is JSON with the two human labels. ``max_chars`` shortens the text."""
+    body = text("original_text") if max_chars is None else F.substring(text("original_text"), 1, max_chars)
     return df.filter(labels.is_reviewed() & filled("review_l1") & filled("original_text")).select(
-        "opinion_id", F.concat(F.lit(instruction), F.substring(text("original_text"), 1, max_chars)).alias("prompt"),
+        "opinion_id", F.concat(F.lit(instruction), body).alias("prompt"),
         F.concat(F.lit('{"l1": '), json_quoted(text("review_l1")), F.lit(', "l2": '), json_quoted(text("review_l2")),
                  F.lit("}")).alias("completion"))
 
