@@ -204,8 +204,12 @@ def guard_chain(df: DataFrame, pack: Mapping, body: str = "original_text", sourc
                        **{f: F.col(f) & ~c for f in ("f_consult_misclass", "f_domain_guard", "f_service_guard")}})
     # 7. Coordination, assistance and story texts are non-issue, with label exceptions.
     app = F.coalesce(F.col(source), F.lit("")).rlike("(?i)" + p["story_source"]) & g("story") & ~g("demand")
-    ctx = ~g("context_block") & ((g("coordination") & ~g("coordination_block")) | (g("assist") & g("assist_intent") & ~g("explicit_issue")) | app)
-    guarded = any_of([(F.col("l1") == a) & F.col("l2").isin(*b) for a, b in p["context_keep"].items()])
+    opt = lambda k: g(k) if k in p["signals"] else F.lit(False)  # noqa: E731  signals that a pack may leave out
+    coordination = g("coordination") & ~g("coordination_block") & ~(opt("coordination_place") & opt("coordination_push"))
+    assist = (opt("aftersales") & ~opt("aftersales_block")) | ((opt("roadside") | opt("maintenance")) & ~opt("roadside_block"))
+    ctx = ~g("context_block") & (coordination | assist | (g("assist") & g("assist_intent") & ~g("explicit_issue")) | app)
+    guarded = any_of([(F.col("l1") == a) & F.col("l2").isin(*b) for a, b in p["context_keep"].items()]
+                     + [(F.col("l1") == a) & (F.col("l2") != "" if b is None else F.col("l2").isin(*b)) & g(k) for a, b, k in p.get("context_keep_if", ())])
     same = (F.col("l1") == lp.PRODUCT) & (F.col("_dom_l2") != "") & (F.col("_dom_l2") == F.col("l2"))
     d = d.withColumn("f_context", F.coalesce(ctx & ~guarded & ~same, F.lit(False)))
     x = F.col("f_context")

@@ -156,7 +156,8 @@ CONFLICT_GROUPS = {
 NEGATIVE = (r"(故障|异常|失灵|失效|坏了|无法|不能用|不能充|充不进|充不了|黑屏|死机|卡顿|异响|抖动|漏液|漏水|漏油|断连|烧|(?<![滚])烫(?!金|印)|"
             r"投诉|不满意|抱怨|吐槽|失望|糟糕|太差|很差|服务差|态度差|售后差|售后慢|售后不靠谱|难用|诉求|维权|索赔|退款|退费|退订|退换|赔偿|"
             r"推诿|敷衍|忽悠|欺骗|被坑|被骗|被忽悠|被推诿|拖延|拖了|不理|没人理|没处理|未处理|未解决|没解决|没回复|无回复|无人处理|"
-            r"问题反馈|反馈问题|反映问题|希望解决|希望处理|希望改善|要求处理|必须解决|尽快解决|不给解决|多次反映|多次投诉|"
+            r"问题反馈|反馈问题|反映问题|希望解决|希望处理|希望改善|要求处理|"
+            r"希望尽快解决|希望尽快处理|希望尽快回复|希望尽快修好|希望尽快弄好|必须解决|尽快解决|不给解决|多次反映|多次投诉|"
             r"难受|郁闷|气愤|愤怒|无语|崩溃|心累|失望透顶|无奈|扣分|扣钱|乱收费|多收费|加价|不退|不换|不修|报警|告警|报错|bug|警告|提示错误|"
             r"售后糟|品控差|工艺差|做工差|品质瑕疵|希望官方|请尽快|强烈要求|要求退换)")
 RELOCATE = [
@@ -220,22 +221,44 @@ GUARD = {
         "domain": DOMAIN, "domain_complaint": DOMAIN_COMPLAINT, "domain_consult": DOMAIN_CONSULT, "service_issue": SERVICE_ISSUE,
         "station_inquiry": DOMAIN_L2["inquiry"], "station": DOMAIN_L2["station"], "supplier": DOMAIN_L2["supplier"],
         "vehicle_dominant": r"担心车辆|车辆问题|到售后|售后检查|充一会|停止充电|再次启动|几分钟后",
-        "context_block": r"还没人添加|还没.{0,10}添加微信|目前还没人|为其反馈催促|异响|还没解决|代步车|滴滴打车|检查\d次|上门检查\d次|之前有反馈|此前有反馈",
-        "coordination": r"联系对接|门店对接|需要对接|需要联系|需要门店|催促.{0,10}确认|是否可以|能否|协助安装|还是挺到位",
-        "coordination_block": r"投诉|不满|态度差|无人响应|无法联系|未处理|乱收费|收费不合理|保养后|故障|异常|无法启动|黑屏|失灵|质量问题|受伤|索赔|路政|胜诉",
+        "context_block": (r"还没人添加|还没.{0,10}添加微信|目前还没人|为其反馈催促|异响|还没解决|代步车|滴滴打车|检查\d次|上门检查\d次|"
+                          r"售后回访.{0,400}(?:掉线|不显示|有问题|检测|仪表|更换|额外)|提示.{0,12}保养|保养.{0,12}(?:提示|是什么情况|什么情况)|"
+                          r"弄脏|翻在|风油精|之前有反馈|此前有反馈|之前.{0,8}反馈过|烧蚀|钥匙失效|数字钥匙失效|感应不上|卡片钥匙|安排取车|取车保养"),
+        "coordination": (r"联系对接|门店对接|需要对接|需要联系|需要门店|催促.{0,10}确认|是否可以|能否|询问.{0,12}(?:积分提醒|有多少数额|大概有多少)|"
+                         r"什么时候.{0,15}(?:进店|贴膜|安装)|改到.{0,10}(?:上门|服务|星期)|需要.{0,6}(?:救援|做个保养)|协助安装|"
+                         r"(?:活动|服务活动).{0,40}(?:到位|耐心解答|耐心沟通)|还是挺到位|看一看(?:FORME|forme)|前往.{0,8}门店.{0,12}(?:清洗|补能|看看)"),
+        "coordination_block": (r"投诉|不满|态度差|无人响应|无法联系|未处理|乱收费|收费不合理|保养后|故障|异常|无法启动|黑屏|失灵|质量问题|受伤|"
+                               r"为什么还没|过了这么久|这么久|为什么还|为什么不|索赔|路政|胜诉|要求安排上门|上门处理|再次致电|移动上门|"
+                               r"三角钥匙|钥匙无法|钥匙坏|没人联系|无人联系|空号|显示空号|联系不上|被扣除|前后说法|不一致|核实下|"
+                               r"组织外部|IT安全|没人接听|无人接听|异响|还没解决|代步车|滴滴打车|还没人添加|还没.{0,10}添加微信|目前还没人"),
+        "coordination_place": r"充电站|闪充站|充电桩|换桩", "coordination_push": r"催促|上线|什么时候|联系我",
+        "roadside": r"爆胎|扎钉|补胎|瘪胎|换胎|轮胎没气|胎压|道路救援|拖车|需要救援|需要拖车",
+        "maintenance": r"预约保养|预约.{0,8}保养|需要.{0,6}保养|需要做个保养|常规保养",
+        "roadside_block": (r"投诉|不满|态度差|无人响应|无法联系|未处理|乱收费|收费不合理|维修失败|保养后|故障|异常|无法启动|黑屏|失灵|质量问题|受伤|"
+                           r"报价|定损|索赔|为什么还没|过了这么久|没人接听|无人接听|没人联系|无人联系|空号|显示空号|联系不上|三角钥匙|钥匙无法|钥匙坏|再次致电"),
+        "aftersales": r"售后.{0,12}(?:对接|支持|联系|协助)|维修需求.{0,16}(?:对接|联系|协助)|需要.{0,8}售后.{0,12}(?:支持|对接|联系|协助)",
+        "aftersales_block": r"投诉|不满|没人接听|无人接听|不接听|收费不合理|无人响应",
+        "unanswered": r"没人接听|无人接听|不接听", "pickup": r"人过来取车|上门取车|取车吗|取送车|安排取车|取车保养",
+        "station_words": r"充电桩|充电站|闪充站|换桩|什么时候", "release_words": r"【\d+\.\d+|OTA|哨兵模式|时光引擎|车道级导航",
         "assist": (r"爆胎|扎钉|补胎|瘪胎|换胎|轮胎没气|胎压|交通事故|发生事故|道路救援|拖车|保养|到店检测|到店检查|预约检测|预约检查|有什么问题|怎么回事|"
                    r"积分|贴膜|车膜|ETC|代驾|清洗|补能|客档|权益|商城|赠品|邮寄|维修单|移动上门|对接|活动|看一看"),
         "assist_intent": (r"咨询|询问|需要预约|需要协助|需要安排|需要移动|需要到店|需要救援|需要对接|需要联系|需要做个保养|需要拖车|需要补胎|"
                           r"协助|安排|预约|上门|如何处理|怎么办|求助|售后支持|催促|是否可以|能否|什么时候|改到"),
-        "explicit_issue": (r"投诉|不满|态度差|无人响应|无法联系|未处理|乱收费|收费不合理|维修失败|保养后|故障|异常|无法启动|黑屏|失灵|质量问题|受伤|报价|定损|剐蹭|损伤|维修|套餐|"
-                           r"没人联系|无人联系|没人接听|无人接听|空号|显示空号|联系不上|索赔|路政|胜诉|无法使用|不能用|坏了"),
+        "explicit_issue": (r"投诉|不满|态度差|无人响应|无法联系|未处理|乱收费|收费不合理|维修失败|保养后|故障|异常|无法启动|黑屏|失灵|质量问题|受伤|"
+                           r"报价|定损|剐蹭|损伤|维修|套餐|门店表示|去了门店|没人联系|无人联系|没人接听|无人接听|空号|显示空号|联系不上|"
+                           r"为什么还没|过了这么久|这么久|为什么还|为什么不|索赔|路政|胜诉|无法使用|不能用|坏了|要求安排上门|上门处理|"
+                           r"付费吗|会收费|为什么不显示|三角钥匙|钥匙无法|钥匙坏|再次致电|移动上门|被扣除|前后说法|不一致|核实下|什么情况"),
         "story": r"分享|自驾|游记|旅途|旅程|一路|风景|日常用车|提车日记|打卡",
         "demand": r"投诉|建议|希望|要求|故障|异常|无法|不能|黑屏|死机|异响|报错|失灵|维修|后备箱|收纳|储物|配件|改装|安装|套餐"},
     "service_l2": [("售后回访", "售后服务问题"), ("交付回访", "交付问题"), ("销售回访|试驾回访", "销售服务问题"), ("试驾|销售", "销售服务问题"), ("交付", "交付问题")],
     "service_l2_default": "售后服务问题",
     "product_l2": [(r"充电|[闪超]充|家充|桩|地锁|跳枪", "车端充电问题"), ("车机|座舱|屏幕|hud|抬头|中控屏", "座舱问题"), ("异响", "异响问题")],
     "product_l2_default": "故障-通用", "experience_l2_default": "OTA建议", "story_source": "app|应用",
-    "context_keep": {EXPERIENCE: ("车机智能化", "充电建议", "OTA建议", "智驾建议", "智驾系统", "智驾功能"), PRODUCT: ("LFC问题", "故障告警"), SERVICE: ("钥匙问题",)},
+    "context_keep": {EXPERIENCE: ("车机智能化", "充电建议", "OTA建议", "智驾建议", "智驾系统", "智驾功能"), PRODUCT: ("故障告警",), SERVICE: ("钥匙问题",)},
+    # (class, its L2 or any filled one, signal of the text): kept as it is.
+    "context_keep_if": ((EXPERIENCE, None, "release_words"), (PRODUCT, ("LFC问题",), "station_words"),
+                        (SERVICE, ("交付问题", "售后服务问题", "销售服务问题", "试驾体验不良"), "unanswered"),
+                        (SERVICE, ("交付问题", "售后服务问题", "销售服务问题", "试驾体验不良"), "pickup")),
 }
 FACILITIES = ("超充站", "闪充站", "充电桩", "充电枪", "充电模块", "充电站", "家充桩", "家用充电桩", "超充", "闪充", "快充", "慢充", "充电设施", "充电设备")
 TRIGGERS = ("故障", "无法", "不能", "不能用", "不工作", "坏", "损坏", "有问题", "问题", "质量差", "安装问题", "安装质量差", "无法充电", "充不进", "充不进电",

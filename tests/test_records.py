@@ -99,6 +99,18 @@ def test_default_guard_chain(spark):
     assert got["3"]["l1"] == lp.NON_ISSUE and got["3"]["f_captured"] and got["3"]["l2"] == ""
 
 
+def test_default_context_tables(spark):
+    """Whole context tables: help on the road and appointments are non-issue, unless something is still open."""
+    rows = [("roadside", "车辆扎钉了", "", 1), ("roadside_block", "车辆扎钉了，为什么还没来", "", 0), ("maintenance", "预约一下周末的保养", "", 1),
+            ("aftersales", "售后那边帮忙对接一下", "", 1), ("aftersales_block", "售后那边帮忙对接一下，没人接听", "", 0), ("coordination", "需要门店清洗", "", 1),
+            ("coordination_place", "充电站什么时候能否用", "", 0), ("context_block", "预约保养，安排取车", "", 0), ("pickup", "预约保养，上门取车", "售后服务问题", 0),
+            ("release_words", "需要联系，OTA", "别的", 0)]
+    l1 = {"pickup": lp.SERVICE, "release_words": lp.EXPERIENCE}
+    df = spark.createDataFrame([(k, t, l1.get(k, lp.PRODUCT), l2) for k, t, l2, _ in rows], "opinion_id string, original_text string, l1 string, l2 string")
+    got = {r["opinion_id"]: r for r in C.guard_chain(df.withColumn("source", F.lit("tel")), PACK | {"capture_eligible": []}).collect()}
+    assert {k: int(got[k]["f_context"]) for k, _, _, _ in rows} == {k: want for k, _, _, want in rows}
+
+
 def test_sequence_needs_order(spark):
     r = [{"parts": ("ab", "cd"), "l1": "x", "l2": "", "l3": "", "confidence": 0.5}]
     df = spark.createDataFrame([("ab..cd",), ("cd..ab",)], "t string").select(R.first_rule(F.col("t"), r)["l1"].alias("h"))

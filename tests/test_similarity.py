@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plaintide.operators import mining as mn, similarity as sim, taxonomy as tx
@@ -126,3 +127,30 @@ def test_top_rows_equals_plain_rank(spark):
     got = {(r["k"], r["rn"]): r["id"] for r in top_rows(df, ["k"], [F.desc("v"), F.asc("id")], 5, salt_by=["id"]).collect()}
     plain = {(r["k"], r["rn"]): r["id"] for r in top_rows(df, ["k"], [F.desc("v"), F.asc("id")], 5).collect()}
     assert got == plain
+
+
+def test_long_chain_and_star(spark):
+    """Components need no bound on rounds: a chain of 10,000 nodes and a star."""
+    chain = spark.range(9_999).selectExpr("id AS a", "id + 1 AS b")
+    star = spark.range(1, 3_000).selectExpr("20000L AS a", "20000 + id AS b")
+    out = sim.connected_components(chain.union(star)).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in out} == {0: 10_000, 20_000: 3_000}
+
+
+@pytest.mark.parametrize("dim", [256, 512, 100])
+def test_embedding_of_any_size(spark, dim):
+    import hashlib
+    texts = ["abc abc abd", "", "x", "Déjà Vu 你好吗 你好吗"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in sim.hashing_embedding(df, dim=dim).collect():
+        got.setdefault(r["doc_id"], {})[r["dim"]] = r["value"]
+    for i, t in enumerate(texts):
+        t = "".join(t.lower().split())
+        t = (t + "···")[:3] if len(t) < 3 else t
+        v = np.zeros(dim)
+        for j in range(len(t) - 2):
+            h = int(hashlib.md5(t[j:j + 3].encode()).hexdigest(), 16)
+            v[h % dim] += 1 if h >> 8 & 1 else -1
+        v /= np.linalg.norm(v)
+        assert got[i].keys() == set(np.flatnonzero(v).tolist()) and all(abs(got[i][k] - v[k]) < 1e-12 for k in got[i])
