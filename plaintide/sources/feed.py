@@ -10,23 +10,32 @@ from plaintide.packs import words as wp
 from plaintide.schema import FEED_FIELDS, FEED_ID
 
 
-def scan_csv(spark: SparkSession, path: str, id_column: str = FEED_ID) -> DataFrame:
-    """All columns as strings, NULL as empty, one line ordinal per row.
+def file_line() -> Column:
+    """Place of a row in a feed of several files: file time, path, split and row. Sorts as the feed was written,
+    however the files and splits were dealt to tasks."""
+    m = F.col("_metadata")
+    return F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("split"),
+                    F.monotonically_increasing_id().alias("row"))
 
-    The header is read from the first line only; no schema inference pass over the data.
+
+def scan_csv(spark: SparkSession, path: str, id_column: str = FEED_ID, multi_line: bool = False) -> DataFrame:
+    """All columns as strings, NULL as empty, one sortable ``_line`` per row.
+
+    The header is read from the first line only, without a pass over the data; a file whose header differs from it is
+    an error, not a misread. Files are split over tasks unless ``multi_line`` says that quoted fields hold line ends.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError("empty feed")
-    header = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    header = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
               .csv(path).columns if '"' in first[0][0] else first[0][0].split(","))
     names = [h.lstrip("﻿").strip() for h in header]
     if id_column not in names:
         raise ValueError(f"feed lacks the id column {id_column!r}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("enforceSchema", True).csv(path))
-    return df.na.fill("").withColumn("_line", F.monotonically_increasing_id())
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+          .option("escape", '"').option("enforceSchema", first[0][0].startswith("\ufeff")).csv(path))
+    return df.select("*", file_line().alias("_line")).na.fill("", names)
 
 
 def resolve_headers(df: DataFrame) -> DataFrame:

@@ -26,11 +26,26 @@ def test_csv_feed(spark, tmp):
 
 def test_csv_quotes_and_missing_id(spark, tmp):
     p = write(os.path.join(tmp, "q.csv"), '舆情编号,舆情中文\n7,"line1\nline2, ""q"""\n')
-    assert fd.shape_feed(fd.scan_csv(spark, p)).first()["original_text"] == 'line1\nline2, "q"'
+    assert fd.shape_feed(fd.scan_csv(spark, p, multi_line=True)).first()["original_text"] == 'line1\nline2, "q"'
     with pytest.raises(ValueError):
         fd.scan_csv(spark, write(os.path.join(tmp, "x.csv"), "a,b\n1,2\n"))
 
 
+def test_csv_feed_of_several_files(spark, tmp):
+    """The newest file's line wins whatever its name or size; a file with another header is refused."""
+    d = os.path.join(tmp, "feed")
+    os.makedirs(d)
+    late = write(os.path.join(d, "a.csv"), "舆情编号,舆情中文\n1,late\n")
+    early = write(os.path.join(d, "b.csv"), "舆情编号,舆情中文\n" + "".join(f"{i},early\n" for i in range(1, 400)))
+    os.utime(early, (1_700_000_000, 1_700_000_000))
+    os.utime(late, (1_700_000_100, 1_700_000_100))
+    rows = {r["opinion_id"]: r["original_text"] for r in fd.dedupe_last(fd.shape_feed(fd.scan_csv(spark, d))).collect()}
+    assert len(rows) == 399 and rows["1"] == "late" and rows["2"] == "early"
+    write(os.path.join(d, "c.csv"), "舆情中文,舆情编号\nx,9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        fd.scan_csv(spark, d).collect()
+
+
 def test_upsert_keeps_reviews_and_updates_every_row_of_an_id(spark):
     t = spark.createDataFrame([(1, "A", "old", 1), (2, "A", "old", 0), (3, "B", "old", 1)], "id long, opinion_id string, source string, review_status int")
     f = spark.createDataFrame([("A", "new"), ("C", "new")], "opinion_id string, source string")
