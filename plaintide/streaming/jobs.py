@@ -52,6 +52,22 @@ def stream_classify(rows: DataFrame, classify: Callable[[DataFrame], DataFrame],
     return _writer(rows, checkpoint, available_now).foreachBatch(write)
 
 
+def reviewed_rows(rows: DataFrame) -> DataFrame:
+    """(upload_batch, opinion_id, size, due) of the reviewed rows; ``due`` if a label waits to be synced."""
+    return rows.filter(F.col("review_status") == 1).select(
+        text("upload_batch").alias("upload_batch"), text("opinion_id").alias("opinion_id"), F.col("batch_size").cast("long").alias("size"),
+        (filled("review_l1") & (F.coalesce("reflow_synced", F.lit(0)) < 1)).alias("due"))
+
+
+def releasable(reviewed: DataFrame) -> DataFrame:
+    """Due rows of the upload batches that are reviewed whole, and due rows without a batch; each once."""
+    named = F.col("upload_batch") != ""
+    full = (reviewed.filter(named).groupBy("upload_batch").agg(F.count_distinct("opinion_id").alias("n"), F.max("size").alias("size"))
+            .filter((F.col("size") > 0) & (F.col("n") >= F.col("size"))).select("upload_batch"))
+    due = reviewed.filter("due").select("upload_batch", "opinion_id")
+    return due.filter(named).join(full, "upload_batch", "left_semi").unionByName(due.filter(~named)).distinct()
+
+
 def stream_pending_reflow(rows: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> DataStreamWriter:
     """Holds reviewed rows until their whole upload batch is reviewed, then releases them once, into
     ``target/released``.
@@ -66,20 +82,15 @@ def stream_pending_reflow(rows: DataFrame, target: str, checkpoint: str, availab
     out = T.StructType([T.StructField("upload_batch", T.StringType()), T.StructField("opinion_id", T.StringType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean = batch.filter(F.col("review_status") == 1).select(
-            text("upload_batch").alias("upload_batch"), text("opinion_id").alias("opinion_id"), F.col("batch_size").cast("long").alias("size"),
-            (filled("review_l1") & (F.coalesce("reflow_synced", F.lit(0)) < 1)).alias("due"))
-        clean.write.mode("overwrite").parquet(f"{reviewed}/batch={batch_id}")
+        reviewed_rows(batch).write.mode("overwrite").parquet(f"{reviewed}/batch={batch_id}")
         new = spark.read.parquet(f"{reviewed}/batch={batch_id}")
         named = F.col("upload_batch") != ""
         touched = new.filter(named).select("upload_batch").distinct()
         grouped = spark.read.parquet(reviewed).filter(named & (F.col("batch") <= batch_id)).join(touched, "upload_batch", "left_semi").drop("batch")
-        full = (grouped.groupBy("upload_batch").agg(F.count_distinct("opinion_id").alias("n"), F.max("size").alias("size"))
-                .filter((F.col("size") > 0) & (F.col("n") >= F.col("size"))).select("upload_batch"))
-        due = grouped.filter("due").join(full, "upload_batch", "left_semi").unionByName(new.filter(~named).filter("due"))
+        due = releasable(grouped.unionByName(new.filter(~named).drop("batch"), allowMissingColumns=True))
         # A replay of this micro-batch must not see its own earlier output.
         before = spark.read.schema(T.StructType([*out, T.StructField("batch", T.LongType())])).parquet(released).filter(F.col("batch") < batch_id)
-        (due.select("upload_batch", "opinion_id").distinct().join(before.select("upload_batch", "opinion_id"), ["upload_batch", "opinion_id"], "left_anti")
+        (due.join(before.select("upload_batch", "opinion_id"), ["upload_batch", "opinion_id"], "left_anti")
          .write.mode("overwrite").parquet(f"{released}/batch={batch_id}"))
     spark.createDataFrame([], out).write.mode("overwrite").parquet(f"{released}/batch=-1")
     return _writer(rows, checkpoint, available_now).foreachBatch(write)
