@@ -122,14 +122,18 @@ def salted(df: DataFrame, keys: Sequence[str], salt_cols: Sequence[str], n: int
 
 
 def top_rows(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int,
-             rank: str = "rn", salt_by: Sequence[str] | None = None, n_salt: int = 16) -> DataFrame:
+             rank: str = "rn", salt_by: Sequence[str] | None = None, n_salt: int | None = None) -> DataFrame:
     """Top ``k`` rows per partition with a hot-key-safe first stage.
 
     Stage one ranks inside (partition, salt) and keeps k rows per salt, so no task sorts a whole
-    hot group; stage two ranks at most ``k * n_salt`` survivors. The result is exact.
+    hot group; stage two ranks at most ``k * n_salt`` survivors. The result is exact. There are as many
+    salts as shuffle partitions, 16 at least, unless given.
     """
     from pyspark.sql import Window
 
+    if n_salt is None:
+        n_salt = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     first = df
     if salt_by:
         w1 = Window.partitionBy(*partition, "_salt").orderBy(*order)

@@ -343,7 +343,7 @@ def batch_classify(df: DataFrame, pack: Mapping, taxonomy: DataFrame, clusters:
 
 
 def fewshot_examples(queries: DataFrame, reviewed: DataFrame, key: str = "qid", body: str = "text", newest: int = 24, top: int = 4,
-                     fallback: int = 20, n_salt: int = 16, n_words: int | None = 6, word_chars: int | None = None, shared_chars: int | None = None,
+                     fallback: int = 20, n_salt: int | None = None, n_words: int | None = 6, word_chars: int | None = None, shared_chars: int | None = None,
                      shown_chars: int | None = None) -> DataFrame:
     """For each text: the reviewed rows that contain any of its first ``n_words`` different words, the ``newest`` of
     them, the ``top`` that share the most characters; the newest ``fallback`` rows if none contains any. Words and

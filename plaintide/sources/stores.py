@@ -126,7 +126,8 @@ def monthly_archive_merge(archive: DataFrame, new: DataFrame, time: str = "creat
     both = archive.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
     ts = parse_time(time)
     timed = both.withColumn("_ts", ts).filter(F.col("_ts").isNotNull()).withColumn("_key", F.md5(content))
-    order = [F.col("_gen"), F.col("_line")] if "_line" in both.columns else [F.col("_gen")]
+    # Generation first, then the feed's line, then the ids, so that no tie is left to chance.
+    order = [F.col(c) for c in ("_gen", "_line", "opinion_id", "id") if c in both.columns]
     return (pick_per_key(timed, ["_ts", "_key"], order)
             .withColumn("year", F.year("_ts")).withColumn("month", F.month("_ts"))
             .drop("_gen", "_ts", "_key"))
