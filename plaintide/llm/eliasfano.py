@@ -34,8 +34,10 @@ class EliasFano:
             low = v & np.uint64((1 << low_bits) - 1)
             bit = np.arange(n, dtype=np.int64) * low_bits
             spread = low << (bit & 7).astype(np.uint64)  # at most 63 bits
-            for k in range(-(-(low_bits + 7) // 8)):
-                np.bitwise_or.at(packed, (bit >> 3) + k, ((spread >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8))
+            for lo in range(0, n, 1 << 16):  # a piece at a time, so that little is held
+                part = slice(lo, lo + (1 << 16))
+                for k in range(-(-(low_bits + 7) // 8)):
+                    np.bitwise_or.at(packed, (bit[part] >> 3) + k, ((spread[part] >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8))
         bits = np.zeros(n + n_buckets, np.uint8)
         bits[high + np.arange(n)] = 1
         return struct.pack("<QQQQ", n, low_bits, n_buckets, len(packed) - 8) + packed.tobytes() + np.packbits(bits, bitorder="little").tobytes()

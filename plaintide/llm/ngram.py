@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plaintide.llm.common import held_out, mix64, shuffle_parts, table, texts
 from plaintide.llm.eliasfano import Trie
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_TOKENS = 2_000_000
+LOOKUPS = 1 << 17  # pairs looked up at once
 BLOCK_DOCS = 1 << 19
 END, BOS = np.uint64(0x5AFE), np.uint64(0xB05)  # hashes of the two marks
 SCALE, SHIFT = 2048, 12.0  # a code is round((log10 + SHIFT) * SCALE)
@@ -155,17 +156,20 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
             if len(b.hashes) < 1 << 22 and len(b.held) < 1 << 20:
                 packed = np.sort((b.token.astype(np.uint64) << np.uint64(42)) | (before.astype(np.uint64) << np.uint64(20)) | doc.astype(np.uint64))
                 first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
-                p = packed[first]
-                w, v, d = (p >> np.uint64(42)).astype(np.int64), ((p >> np.uint64(20)) & np.uint64((1 << 22) - 1)).astype(np.int64), (p & np.uint64((1 << 20) - 1)).astype(np.int64)
+                packed = packed[first]
+                w, v, d = (((packed >> np.uint64(k)) & np.uint64((1 << m) - 1)).astype(np.int32) for k, m in ((42, 22), (20, 22), (0, 20)))
+                del packed
             else:
                 order = np.lexsort((doc, before, b.token))
-                w, v, d = b.token[order].astype(np.int64), before[order].astype(np.int64), doc[order]
+                w, v, d = b.token[order], before[order], doc[order].astype(np.int32)
                 first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])]))
                 w, v, d = w[first], v[first], d[first]
-            times = np.diff(np.append(first, len(b.token)))
+            del before, doc
+            times = np.diff(np.append(first, len(b.token))).astype(np.int32)
             start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
             width = np.diff(np.append(start, len(w)))
             pw, pv = w[start], v[start]
+            del w, v, first
             mixed = mix64(b.hashes)
             split = np.isin(b.hashes, hot)
             to = np.where(split[pw], mix64(mixed[pw] ^ b.hashes[pv]), mixed[pw]) % np.uint64(n_shards)
@@ -174,6 +178,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
             at = np.concatenate([[0], np.cumsum(width)])
             take = np.repeat(start - at[:-1], width) + np.arange(at[-1])
             d, times = d[take], times[take]
+            del take
             shards, cut = np.unique(to, return_index=True)
             cut = np.append(cut, len(to))
             raws = []
@@ -193,7 +198,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
     def shard(t: pa.Table) -> pa.Table:
         raws = t.column("raw").to_pylist()
         number, n_held = t.column("block").to_pylist(), t.column("n_held").to_pylist()
-        W, V, width, doc, times, learned, sizes = [], [], [], [], [], [], []
+        W, V, width, counted, held = [], [], [], [], []
         where = [i for i, r in enumerate(raws) if r is not None]
         for i in where:
             raw, parts, at = raws[i], [], 0
@@ -203,20 +208,19 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
             w, per, low, high, wd, d, n = parts
             W.append(np.repeat(w.astype(np.uint64), per))
             V.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
-            width.append(wd.astype(np.int64))
-            doc.append(d.astype(np.int64))
-            times.append(n.astype(np.int64))
-            learned.append(d >= n_held[i])
-            sizes.append(int(d.max()) + 1)
+            first = np.cumsum(wd, dtype=np.int64) - wd
+            width.append(wd)
+            counted.append(np.add.reduceat(np.where(d >= n_held[i], n, 0).astype(np.int64), first))
+            held.append((d, n))  # views of the blob, in its own width
         out_block, out_raw = [], []
         if where:
             cat = np.concatenate
             uw, wi = np.unique(cat(W), return_inverse=True)
             uv, vi = np.unique(cat(V), return_inverse=True)
+            del W, V
             pairs, pi = np.unique((wi.astype(np.uint64) << np.uint64(32)) | vi.astype(np.uint64), return_inverse=True)
-            wd, n, lrn = cat(width), cat(times), cat(learned)
-            per_pair = np.add.reduceat(np.where(lrn, n, 0), np.cumsum(wd) - wd)
-            c_pair = np.bincount(pi, per_pair, len(pairs))
+            del wi, vi
+            c_pair = np.bincount(pi, cat(counted), len(pairs))
             pw, pv = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
             c_word = np.bincount(pw, c_pair, len(uw))
             at = np.searchsorted(hot, uw)
@@ -229,18 +233,21 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
             node = np.cumsum(c_word > 0) - 1
             trie = Trie(Trie.encode(uw[known_word], code(mu * p1[known_word]), uv, node[pw[known_pair]], pv[known_pair],
                                     code(c_pair[known_pair] + mu * p1[pw[known_pair]])))
-            n1, n2 = trie.lookup(uw[pw], uv[pv])
             value = np.full(len(pairs), int(code(np.array([mu * 0.5 / norm]))[0]))
-            value[n1 >= 0] = trie.word_code[n1[n1 >= 0]]
-            value[n2 >= 0] = trie.child_code[n2[n2 >= 0]]
+            for lo in range(0, len(pairs), LOOKUPS):
+                part = slice(lo, lo + LOOKUPS)
+                n1, n2 = trie.lookup(uw[pw[part]], uv[pv[part]])
+                some = value[part]
+                some[n1 >= 0] = trie.word_code[n1[n1 >= 0]]
+                some[n2 >= 0] = trie.child_code[n2[n2 >= 0]]
             as_context = np.where(uw == END, int(SHIFT * SCALE), np.rint((np.log10(c_word + mu) + SHIFT) * SCALE)).astype(np.int64)
             value = value - as_context[pw]
             base, known = np.log10(c_word + 0.5)[pw], (c_word > 0)[pw]
-            each = np.repeat(pi, wd)
             at = 0
-            for i, size, d in zip(where, sizes, doc):
-                e, m = each[at:at + len(d)], n[at:at + len(d)]
-                at += len(d)
+            for i, wd, (d, m) in zip(where, width, held):
+                e = np.repeat(pi[at:at + len(wd)], wd)
+                at += len(wd)
+                size = int(d.max()) + 1
                 q = np.bincount(d, value[e] * m, size).astype("<i4")
                 part = np.bincount(d, base[e] * m, size).astype("<f8")
                 g = np.bincount(d, known[e] * m, size).astype(np.int64)
