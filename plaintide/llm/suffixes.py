@@ -115,11 +115,11 @@ def _bodies(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The bytes of the wanted segments (id, mark, parts: array of (s, n, h, times)), one row each; those of crowded anchors
-    (negative n) as single windows under the hash of their bytes."""
+    """The bytes of the wanted segments (id, mark, parts: array of (s, n, h, times)), one row each. A repeated row gives
+    its segments again, which changes nothing: they occur more than once as it is."""
     kind = docs.schema["id"].dataType.simpleString()
     same = docs["id"].eqNullSafe(wanted["id"]) & (docs["mark"] == wanted["mark"])
-    joined = docs.join(wanted, same).select(docs["id"], docs["mark"], "body", "parts").dropDuplicates(["id", "mark"])
+    joined = docs.join(wanted, same).select(docs["id"], docs["mark"], "body", "parts")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
