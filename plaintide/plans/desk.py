@@ -228,7 +228,7 @@ def _(spark, d):
 
 @query("mark_reflow_failures", """
 SELECT opinion_id, CASE WHEN id % 7 = 0 THEN -1 ELSE reflow_synced END AS reflow_synced,
-  CASE WHEN id % 7 = 0 THEN substr(concat('timeout ', original_text), 1, 500) END AS reflow_sync_reason FROM opinion""")
+  CASE WHEN id % 7 = 0 THEN concat('timeout ', original_text) END AS reflow_sync_reason FROM opinion""")
 def _(spark, d):
     o = opinion(spark, d)
     fail = o.filter(F.col("id") % 7 == 0).select("opinion_id", F.concat(F.lit("timeout "), "original_text").alias("reason"))
