@@ -33,7 +33,9 @@ def hashing_embedding(df: DataFrame, key: str = "doc_id", body: str = "text", di
     t = F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), WS + "+", "")
     t = F.when(F.length(t) < ngram, F.substring(F.concat(t, F.lit("·" * ngram)), 1, ngram)).otherwise(t)
     # A look-ahead yields every overlapping n-gram in one linear pass over the text.
-    g = df.select(key, body).repartition(key).select(key, F.explode(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ngram), F.lit(1))).alias("_g"))
+    # A stated number of partitions: the texts are small beside the work on them, and would be coalesced to one task.
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    g = df.select(key, body).repartition(n, key).select(key, F.explode(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ngram), F.lit(1))).alias("_g"))
     g = g.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", F.md5("_g"))
     tail = F.conv(F.right("_d", F.lit(4)), 16, 10).cast("long")
     if 65_536 % dim == 0:
