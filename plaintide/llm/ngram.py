@@ -248,7 +248,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
                 e = np.repeat(pi[at:at + len(wd)], wd)
                 at += len(wd)
                 size = int(d.max()) + 1
-                q = np.bincount(d, value[e] * m, size).astype("<i4")
+                q = np.bincount(d, value[e] * m, size).astype("<i8")  # a term is above 2^13: 32 bits end at some 10^5 tokens
                 part = np.bincount(d, base[e] * m, size).astype("<f8")
                 g = np.bincount(d, known[e] * m, size).astype(np.int64)
                 out_block.append(number[i])
@@ -270,9 +270,9 @@ def score_texts(documents: DataFrame, key: str = "doc_id", body: str = "text", m
         for raw in raws:
             if raw is not None:
                 (m,) = struct.unpack_from("<I", raw)
-                q[:m] += np.frombuffer(raw, "<i4", m, 4)
-                s[:m] += np.frombuffer(raw, "<f8", m, 4 + 4 * m)
-                known[:m] += widen(raw, 4 + 12 * m)[0].astype(np.int64)
+                q[:m] += np.frombuffer(raw, "<i8", m, 4)
+                s[:m] += np.frombuffer(raw, "<f8", m, 4 + 8 * m)
+                known[:m] += widen(raw, 4 + 16 * m)[0].astype(np.int64)
         r = rank.astype(np.int64)
         ids = t.column("ids").combine_chunks()[head].values
         return pa.table({"id": ids, "held_out": pa.array(r < t.column("n_held")[head].as_py()), "n_tokens": pa.array(size),

@@ -124,6 +124,18 @@ def test_language_model(spark, sf, docs, monkeypatch, shard_tokens, block_tokens
     assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
 
 
+def test_long_text_of_a_repeated_unlearned_word(spark):
+    n = 700_000  # some 4,900 units a token: beyond 2^31
+    held = next(k for k in range(100) if rest(k, 5) == 1)
+    texts = {k: f"a few plain words {k}" for k in range(100, 110) if rest(k, 5) != 1} | {held: "zz " * n}
+    docs = {k: {"text": t} for k, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got, want = {r["doc_id"]: r for r in ngram.score_texts(df).collect()}, lm_truth(docs)
+    assert got[held]["held_out"] and want[held][4] * ngram.SCALE < -(1 << 31)
+    for k, (size, _, _, base, score) in want.items():
+        assert abs(got[k]["base_score"] - base) < 1e-6 * size and abs(got[k]["score"] - score) <= 1.1 * size / ngram.SCALE
+
+
 @pytest.mark.parametrize("n,bound", [(0, 10), (1, 1), (1, (1 << 64) - 1), (500, 700), (2000, 1 << 40), (3000, (1 << 64) - 1)])
 def test_elias_fano(n, bound):
     rng = np.random.default_rng(n)
