@@ -21,7 +21,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaintide.llm.common import arrow_map, table, texts
 from plaintide.operators.similarity import connected_components
@@ -65,9 +65,9 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of each whole text as a signed long."""
-    kind = df.schema[key].dataType.simpleString()
+def fingerprints(df: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = 4, seed: int = 42, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, more..., fp): the 64-bit fingerprint of each whole text as a signed long; ``more``: columns to carry along."""
+    kept = [f"id {df.schema[key].dataType.simpleString()}"] + [f"{c} {df.schema[c].dataType.simpleString()}" for c in more]
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         done, hashes, counts = [], [], []
@@ -83,8 +83,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", body: str = "text", shingle
             if len(hashes) >= CHUNK:
                 flush()
         flush()
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.concatenate(done).view(np.int64))], ["id", "fp"])
-    return arrow_map(texts(df, key, body), work, f"id {kind}, fp long")
+        return pa.RecordBatch.from_arrays([*b.drop_columns("body").columns, pa.array(np.concatenate(done).view(np.int64))], ["id", *more, "fp"])
+    return arrow_map(texts(df, key, body, *map(F.col, more)), work, ", ".join([*kept, "fp long"]))
 
 
 def flips(bits: int, most: int) -> list[np.ndarray]:
@@ -192,28 +192,38 @@ def ball_links(fps: DataFrame, radius: int = 4, prefix_bits: int | None = None)
     return fps.select("fp").mapInArrow(send, "slice long, fps binary").groupBy("slice").applyInArrow(meet, "a long, b long")
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """(key, fp, component_id) per row: the component's smallest id."""
-    fps = materialise(fingerprints(df, key, body, shingle, seed))
+def rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, root): each distinct fingerprint, its smallest id and the fingerprint that stands for its component."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     links = ball_links(distinct, radius).distinct()
     comp = connected_components(links).select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    rooted = distinct.join(comp, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    return distinct.join(comp, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """(key, fp, component_id) per row: the component's smallest id."""
+    fps = materialise(fingerprints(df, key, body, shingle, seed))
+    roots = rooted(fps, radius)
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, key: str = "doc_id", body: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` (all its columns) with one document of each near-duplicate group: the one with the
-    smallest id; of repeated rows with that id, one. Rows without an id cannot be told apart and all stay."""
-    groups = near_groups(docs, key, body, **how)
-    keep = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep_id")).distinct()
+def one_per_group(docs: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` (all its columns) with exactly one document of each near-duplicate group: the one with the
+    smallest id (NULL comes last), then the smallest hash of its text and of its whole row; of equal rows, one. A document
+    is its row and not its id, so different texts under one id stay apart. Groups are settled over ids and hashes."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the input meets one used here
-    k, t = plain[f"c{names.index(key)}"], plain[f"c{names.index(body)}"]
-    order = Window.partitionBy("_keep_id").orderBy(F.xxhash64(t))
-    kept = plain.join(keep, k == keep["_keep_id"]).withColumn("_keep_rank", F.row_number().over(order)).filter("_keep_rank = 1")
-    return kept.select(*plain.columns).toDF(*names).unionByName(docs.filter(F.col(key).isNull()))
+    k, t = f"c{names.index(key)}", f"c{names.index(body)}"
+    hashed = [f"c{i}" for i, f in enumerate(docs.schema.fields) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    marked = plain.withColumn("h", F.xxhash64(F.lit(1), t)).withColumn("row", F.xxhash64(*hashed, *[F.col(c).isNull() for c in hashed]))
+    fps = materialise(fingerprints(marked, k, t, shingle, seed, ("h", "row")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "row"))
+    of_fp = fps.groupBy("fp").agg(first.alias("least"))
+    keep = of_fp.join(rooted(fps, radius), "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.h", "least.row")
+    # Equal rows are folded before they are dealt, so that a frequent one is at most one row of each task.
+    kept = marked.dropDuplicates(["h", "row"]).join(keep, ["h", "row"], "left_semi")
+    return kept.select(*plain.columns).toDF(*names)
 
 
 def op8_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

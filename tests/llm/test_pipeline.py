@@ -1,7 +1,7 @@
 """The pipeline's stages one after the other against brute force."""
 import corpus_pipeline
-from plaintide.llm import langid, mixing
-from tests.llm.helpers import words
+from plaintide.llm import langid, mixing, simhash
+from tests.llm.helpers import DOC, words
 from tests.llm.test_operators import components, fingerprint, removal_truth
 
 import numpy as np
@@ -45,3 +45,16 @@ def test_stages_in_order(spark, sf, tmp):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() == len(rows[5])
     assert langid.ORDER == 4
+
+
+def test_one_document_of_each_group_under_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(8)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 60)) for _ in range(12)]
+    rows = [(7, text[i], "en", "s", i) for i in range(6)]  # one id on six different texts
+    rows += [(7, text[0], "en", "s", 0)] * 3 + [(3, text[1], "en", "s", 1)]  # equal rows; a copy with a smaller id
+    rows += [(None, text[i], "de", None, i) for i in (6, 6, 6, 7, 2)]  # no id: three equal rows, one alone, a copy of a row with an id
+    rows += [(9, text[8], "en", "a", 8), (9, text[8], "en", "b", 8), (None, None, None, None, None), (None, "", "fr", "s", 0)]
+    got = [tuple(r) for r in simhash.one_per_group(spark.createDataFrame(rows, DOC)).collect()]
+    assert sorted((r[1] or "") for r in got) == sorted([""] + text[:9])
+    by = {r[1] or "": r for r in got}
+    assert [by[text[i]][0] for i in range(9)] == [7, 3, 7, 7, 7, 7, None, None, 9] and all(r in rows for r in got)
