@@ -13,8 +13,10 @@ blocks is one group, which returns at most k rows per query. Cell sizes (K * K n
 pass the driver.
 
 Edge cases: NULL vectors, vectors with NULL, NaN or infinite components and zero vectors take no part, nor do vectors of
-another length than the commonest; equal distances go to the smaller id; repeated ids count as candidates of each
-other only if their rows differ in id; a table with fewer candidates returns them all; other columns are ignored.
+another length than the commonest; equal distances go to the smaller id; equal rows (id and vector) count once, as
+queries and as candidates; an id on different vectors is one query for each of them, told apart by ``query_vec``, a hash
+of the vector, and one candidate for each of them; rows are no candidates of rows with their own id; a table with fewer
+candidates returns them all; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -122,7 +124,7 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sa
     if not lengths:
         return None
     dim, n = lengths[0]["d"], lengths[0]["n"]
-    fine = fine.filter(F.size("v") == dim)
+    fine = fine.filter(F.size("v") == dim).distinct()
     rows = fine.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     x = np.array([r["v"] for r in rows])
     half = max(1, dim // 2)
@@ -147,8 +149,9 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sa
 
 
 def search(index: MultiIndex, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query (columns id, v of ``queries``), the query's own
-    id left out."""
+    """(query_id, rank, vec_id, score, query_vec): the k nearest found of each distinct query (columns id, v of ``queries``),
+    the query's own id left out. A query is known by its id and ``query_vec``, the hash of its vector."""
+    queries = queries.select("id", "v", F.xxhash64("v").alias("vec")).distinct()
     c1, c2, sizes, half = index.first, index.second, index.sizes, index.half
     k2, total = len(c2), int(sizes.sum())
     wanted = min(total, max(int(math.ceil(index.share * total)), 4 * k) + 1)
@@ -177,24 +180,24 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 10) -> DataFrame:
                         take.append(q)
                         grp.append((int(i) << 24) | e)
                         mask.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(take, pa.int64())), b.column("v").take(pa.array(take, pa.int64())),
-                                              pa.array(grp, pa.int64()), pa.array(mask, pa.binary())], ["id", "v", "grp", "mask"])
-    qb = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
-    left = queries.select("id", "v").mapInArrow(visits, f"id {kind}, v array<double>, grp long, mask binary").withColumn("qb", qb)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(take, pa.int64())) for c in b.columns],
+                                              pa.array(grp, pa.int64()), pa.array(mask, pa.binary())], ["id", "v", "vec", "grp", "mask"])
+    qb = F.pmod(F.xxhash64("id", "vec"), F.lit(query_blocks)).cast("int")
+    left = queries.mapInArrow(visits, f"id {kind}, v array<double>, vec long, grp long, mask binary").withColumn("qb", qb)
     blocks_of = F.array(*[F.lit(int(x)) for x in entry_blocks])
-    salt = F.pmod(F.xxhash64("id"), F.element_at(blocks_of, F.col("i") + 1))
+    salt = F.pmod(F.xxhash64("id", "v"), F.element_at(blocks_of, F.col("i") + 1))
     right = index.entries.select("id", "v", "cell", (F.shiftleft(F.col("i").cast("long"), 24) + salt).alias("grp"),
                                  F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
 
     def rerank(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        empty = pd.DataFrame({"query_id": [], "query_vec": [], "vec_id": [], "score": []})
         if not len(a) or not len(e):
             return empty
         e = e.sort_values("id", kind="stable")
         ids, v, cell = e["id"].to_numpy(), np.vstack(e["v"].to_numpy()), e["cell"].to_numpy() % k2
         norm = (v * v).sum(1)
-        q, c, s = [], [], []
-        for qid, qv, raw in zip(a["id"], a["v"], a["mask"]):
+        q, h, c, s = [], [], [], []
+        for qid, vec, qv, raw in zip(a["id"], a["vec"], a["v"], a["mask"]):
             seen = np.unpackbits(np.frombuffer(raw, np.uint8), count=k2).astype(bool)[cell] & (ids != qid)
             at = np.flatnonzero(seen)
             if not len(at):
@@ -207,12 +210,13 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 10) -> DataFrame:
             exact = np.sqrt(((v[at] - qv) ** 2).sum(1))
             best = np.lexsort((ids[at], exact))[:k]
             q += [qid] * len(best)
+            h += [vec] * len(best)
             c += ids[at][best].tolist()
             s += exact[best].tolist()
-        return pd.DataFrame({"query_id": q, "vec_id": c, "score": s}) if q else empty
-    found = left.groupBy("grp", "qb").cogroup(right.groupBy("grp", "qb")).applyInPandas(rerank, f"query_id {kind}, vec_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pd.DataFrame({"query_id": q, "query_vec": h, "vec_id": c, "score": s}) if q else empty
+    found = left.groupBy("grp", "qb").cogroup(right.groupBy("grp", "qb")).applyInPandas(rerank, f"query_id {kind}, query_vec long, vec_id {kind}, score double")
+    order = Window.partitionBy("query_id", "query_vec").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_vec")
 
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, **how) -> DataFrame:
@@ -220,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     index = build(vectors, key, vector, k=k, **how)
     if index is None:
         kind = vectors.schema[key].dataType.simpleString()
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double, query_vec long")
     return search(index, index.entries.filter(is_query), k)
 
 

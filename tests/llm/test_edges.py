@@ -87,3 +87,13 @@ def test_vectors(spark):
     assert [r["vec_id"] for r in got] == [1, 101, 2, 3, 4, 5, 6, 7, 8]
     assert [r["score"] for r in got] == [0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
     assert multiindex.nearest(df.limit(0), F.col("id") == 100).count() == 0
+
+
+def test_repeated_query_ids(spark):
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(1, 31)] + [(100, [1.0, 1.0, 0.0])] * 3 + [(100, [30.0, 1.0, 0.0])] + [(2, [2.0, 1.0, 0.0])] * 12
+    got = multiindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 100).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault(r["query_vec"], []).append((r["rank"], r["vec_id"], r["score"]))
+    # One list for each vector of the id, with ten different neighbours.
+    assert sorted(lists.values()) == [[(i + 1, i + 1, float(i)) for i in range(10)], [(i + 1, 30 - i, float(i)) for i in range(10)]]
