@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-A text is read as lower-case letters with one break between words. The most frequent letters of the learning
-sample are the alphabet; all other letters share one symbol. A model holds, for each order, sorted 64-bit hashes
-of its n-grams with discounted probabilities, and sorted hashes of its contexts with the interpolation weights;
-look-ups are binary searches. A text goes to the language of the lowest cross-entropy per symbol. Since an n-gram is a
-small number, a task remembers the looked-up log probabilities of each one it has met.
+A text is read as lower-case letters with one break between words. A symbol is a UTF-16 unit of a letter, so that no
+letter of any script is folded into another. A model holds, for each order, sorted 64-bit hashes of its n-grams with
+discounted probabilities, and sorted hashes of its contexts with the interpolation weights; look-ups are binary
+searches. A text goes to the language of the lowest cross-entropy per symbol. A task remembers the looked-up log
+probabilities of the n-grams it has met in a table of bounded size, where a newer n-gram takes the place of an older one.
 
 Learning takes at most ``max_docs`` documents of each language, drawn by a hash of the id; prediction reads every
 text whole.
@@ -16,6 +16,7 @@ smaller language name; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from plaintide.llm.common import arrow_map, held_out, mix64, table
 
 ORDER = 4
-BITS = 6  # a symbol: 0 is a break, 1 a letter outside the alphabet
+BITS = 16  # a symbol: 0 is a break, all others are UTF-16 units
+LEAST_SYMBOLS = 64  # the shortest order spreads its rest over so many symbols at least
+NONE = np.uint64((1 << 64) - 1)  # no n-gram: U+FFFF is no letter
 _CHUNK = 1 << 20
 
 
@@ -32,53 +35,40 @@ def letters_of(text: str) -> str:
     return text.lower()
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(letters_of(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-class Coder:
-    """Texts to symbols. ``alphabet`` maps a letter to 2..63."""
-
-    def __init__(self, alphabet: list[str]):
-        self.low = np.zeros(0x3000, dtype=np.uint8)
-        for c in range(len(self.low)):
-            self.low[c] = 1 if chr(c).isalpha() else 0
-        self.high: dict[int, int] = {}
-        for k, ch in enumerate(alphabet[: (1 << BITS) - 2]):
-            if ord(ch) < len(self.low):
-                self.low[ord(ch)] = k + 2
-            else:
-                self.high[ord(ch)] = k + 2
-
-    def symbols(self, text: str) -> np.ndarray:
-        """Symbols with one break before, between and after words; empty if there is no letter."""
-        cp = code_points(text)
-        s = self.low[np.minimum(cp, len(self.low) - 1)]
-        big = np.flatnonzero(cp >= len(self.low))
-        if len(big):
-            s = s.copy()
-            kinds, back = np.unique(cp[big], return_inverse=True)
-            s[big] = np.array([self.high.get(int(c), 1 if chr(int(c)).isalpha() else 0) for c in kinds], dtype=np.uint8)[back]
-        keep = s != 0
-        if not keep.any():
-            return s[:0]
-        keep[1:] |= s[:-1] != 0  # the first break after a letter stays
-        s = s[keep]
-        s = s if s[0] else s[1:]
-        return np.concatenate([[0], s, [0]] if s[-1] else [[0], s]).astype(np.uint8)
+@lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def symbols(text: str) -> np.ndarray:
+    """Symbols with one break before, between and after words; empty if there is no letter."""
+    s = np.frombuffer(letters_of(text).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    letter = is_letter()[s]
+    high = np.flatnonzero((s[:-1] & 0xFC00 == 0xD800) & (s[1:] & 0xFC00 == 0xDC00))
+    if len(high):  # a letter of two units
+        letter[high] = is_letter()[0x10000 + ((s[high].astype(np.int64) & 0x3FF) << 10) + (s[high + 1] & 0x3FF)]
+        letter[high + 1] = letter[high]
+    s = np.where(letter, s, np.uint16(0))
+    keep = letter
+    if not keep.any():
+        return s[:0]
+    keep[1:] |= s[:-1] != 0  # the first break after a letter stays
+    s = s[keep]
+    s = s if s[0] else s[1:]
+    return np.concatenate([[0], s, [0]] if s[-1] else [[0], s]).astype(np.uint16)
 
 
 def grams(s: np.ndarray, order: int) -> np.ndarray:
     """Packed n-grams ending at each symbol but the first; before the text stand breaks."""
-    padded = np.concatenate([np.zeros(order - 1, np.uint8), s]).astype(np.uint32)
-    out = np.zeros(len(s), dtype=np.uint32)
+    padded = np.concatenate([np.zeros(order - 1, np.uint8), s]).astype(np.uint64)
+    out = np.zeros(len(s), dtype=np.uint64)
     for j in range(order):
-        out = (out << np.uint32(BITS)) | padded[j:j + len(s)]
+        out = (out << np.uint64(BITS)) | padded[j:j + len(s)]
     return out[1:]
 
 
 def _hash(order: int, code: np.ndarray) -> np.ndarray:
-    return mix64(code.astype(np.uint64) | np.uint64(order << 58))
+    return mix64(code.astype(np.uint64)) ^ np.uint64(order)
 
 
 @dataclass
@@ -108,10 +98,10 @@ class KneserNey:
     symbols: int = 1 << BITS
 
     @classmethod
-    def fit(cls, codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> "KneserNey":
+    def fit(cls, codes: np.ndarray, counts: np.ndarray, order: int = ORDER, symbols: int = 1 << BITS) -> "KneserNey":
         """From the counted n-grams of the highest order. A lower order counts the distinct symbols before
         each of its n-grams."""
-        model, levels = cls(), {}
+        model, levels = cls(symbols=symbols), {}
         code, n = codes.astype(np.uint64), counts.astype(np.float64)
         for k in range(order, 0, -1):
             levels[k] = (code, n)
@@ -142,7 +132,6 @@ class KneserNey:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    alphabet: list[str]
     models: list[KneserNey]
     limits: np.ndarray  # cross-entropy above which a text is rejected, by language
 
@@ -152,52 +141,47 @@ _memo: dict = {}
 
 def _entropies(model: LanguageModel, token: str, parts: list[np.ndarray]) -> np.ndarray:
     """(text, language): cross-entropy per symbol, log10, of texts given as n-gram codes (none empty)."""
+    n = len(model.languages)
+    bits = max(10, 24 - (n + 1).bit_length())  # of a slot: the table stays below 100 MB
     state = _memo.get(token)
     if state is None:
         _memo.clear()
-        state = _memo[token] = (np.full(1 << (BITS * ORDER), -1, dtype=np.int32), [np.zeros((0, len(model.languages)), np.float32)])
-    index, rows = state
+        state = _memo[token] = (np.full(1 << bits, NONE), np.zeros((1 << bits, n), np.float32))
+    held, rows = state
+    slot_of = lambda c: (mix64(c) >> np.uint64(64 - bits)).astype(np.int64)
     codes = np.concatenate(parts)
     size = np.array([len(p) for p in parts])
-    new = codes[index[codes] < 0]
-    if len(new):
-        new = np.unique(new)
-        known = len(rows[0])
-        rows[0] = np.concatenate([rows[0], np.stack([m.log10(new) for m in model.models], axis=1).astype(np.float32)])
-        index[new] = np.arange(known, known + len(new), dtype=np.int32)
+    slot = slot_of(codes)
+    miss = np.flatnonzero(held[slot] != codes)
+    new, back = np.unique(codes[miss], return_inverse=True)
+    got = np.stack([m.log10(new) for m in model.models], axis=1).astype(np.float32)
     first = np.cumsum(size) - size
-    out = np.empty((len(parts), len(model.languages)))
-    which = index[codes]
-    for k in range(len(model.languages)):
-        out[:, k] = -np.add.reduceat(rows[0][which, k].astype(np.float64), first) / size
+    out = np.empty((len(parts), n))
+    for k in range(n):
+        value = rows[slot, k].astype(np.float64)
+        value[miss] = got[back, k]
+        out[:, k] = -np.add.reduceat(value, first) / size
+    to, at = np.unique(slot_of(new), return_index=True)
+    held[to], rows[to] = new[at], got[at]
     return out
 
 
 def learn(sample: DataFrame, margin: float = 6.0, spare: float = 0.35) -> LanguageModel | None:
-    """Fits the models on rows (lang, text). Letters and n-grams are counted by Spark; the counted tables, whose
+    """Fits the models on rows (lang, text). N-grams are counted by Spark; the counted tables, whose
     size the sample bounds, meet on the driver. Rejection is calibrated per language on the sample itself: a text
     is rejected above mean + ``margin`` deviations + ``spare`` of its own language's cross-entropy."""
     rows = sample.select("lang", "text").filter("text IS NOT NULL AND lang IS NOT NULL")
 
-    def chars(b: pa.RecordBatch) -> pa.RecordBatch:
-        cp = np.concatenate([code_points(x) for x in b.column("text").to_pylist()])
-        kinds, n = np.unique(cp, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))], ["cp", "n"])
-    found = arrow_map(rows, chars, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n")).collect()
-    common = sorted(((r["n"], -r["cp"]) for r in found if chr(r["cp"]).isalpha()), reverse=True)
-    alphabet = [chr(-c) for _, c in common[: (1 << BITS) - 2]]
-    coder = Coder(alphabet)
-
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         langs = np.array(b.column("lang").to_pylist())
         text = b.column("text").to_pylist()
         name, code, n = [], [], []
         for lang in np.unique(langs):
-            g = [grams(s, ORDER) for i in np.flatnonzero(langs == lang) if len(s := coder.symbols(text[i]))]
+            g = [grams(s, ORDER) for i in np.flatnonzero(langs == lang) if len(s := symbols(text[i]))]
             if g:
                 c, k = np.unique(np.concatenate(g), return_counts=True)
                 name += [str(lang)] * len(c)
-                code.append(c.astype(np.int64))
+                code.append(c.view(np.int64))
                 n.append(k.astype(np.int64))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(cat(code)), pa.array(cat(n))], ["lang", "code", "n"])
@@ -206,10 +190,12 @@ def learn(sample: DataFrame, margin: float = 6.0, spare: float = 0.35) -> Langua
     if not languages:
         return None
     models = []
+    last = counted["code"].to_numpy(np.int64).view(np.uint64) & np.uint64((1 << BITS) - 1)
+    kinds = max(LEAST_SYMBOLS, len(np.unique(last)) + 1)  # of all languages, and one for all that was not met
     for lang in languages:
         own = counted[counted["lang"] == lang].sort_values("code")
-        models.append(KneserNey.fit(own["code"].to_numpy(), own["n"].to_numpy()))
-    model = LanguageModel(list(languages), alphabet, models, np.full(len(languages), np.inf))
+        models.append(KneserNey.fit(own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(), symbols=kinds))
+    model = LanguageModel(list(languages), models, np.full(len(languages), np.inf))
     seen = identify(sample, model, "lang").filter("lang = lang_pred").groupBy("lang").agg(
         F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect()
     for r in seen:
@@ -239,7 +225,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, *keep: str, body: str
     names = np.array(model.languages if model else [], dtype=object)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder = Coder(model.alphabet if model else [])
         text = b.column("_body")
         n = b.num_rows
         pred, score = np.full(n, "und", dtype=object), np.zeros(n)
@@ -262,7 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *keep: str, body: str
         for i in range(n):
             if model is None:
                 break
-            s = coder.symbols(text[i].as_py())
+            s = symbols(text[i].as_py())
             if len(s):
                 parts.append(grams(s, ORDER))
                 rows.append(i)

@@ -275,6 +275,25 @@ def test_far_texts_are_rejected(spark):
     assert not got[1]["rejected"] and got[2]["rejected"] and got[3]["lang_pred"] == "und" and got[3]["rejected"]
 
 
+def test_languages_of_one_script_beside_others(spark):
+    rng = np.random.default_rng(6)
+    script = {"en": [chr(c) for c in range(97, 123)], "el": [chr(c) for c in range(0x3B1, 0x3C9)], "ru": [chr(c) for c in range(0x430, 0x450)],
+              "zh": [chr(0x4E00 + c) for c in range(0, 400, 2)], "ja": [chr(0x4E00 + c) for c in range(1, 400, 2)],
+              "x1": [chr(0x20000 + c) for c in range(0, 200, 2)], "x2": [chr(0x20000 + c) for c in range(1, 200, 2)],
+              "far": [chr(0x6E00 + c) for c in range(400)]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(script[lang], 3)) for _ in range(n))
+    known = [x for x in script if x != "far"]
+    sample = spark.createDataFrame([(x, text(x, 200 if x in ("en", "el", "ru") else 60)) for x in known for _ in range(20)], "lang string, text string")
+    asked = [(x, text(x, 40)) for x in script for _ in range(5)]
+    model = langid.learn(sample)
+    got = langid.identify(spark.createDataFrame(asked, "lang string, text string"), model, "lang").collect()
+    assert len(got) == len(asked) and all(r["rejected"] if r["lang"] == "far" else r["lang_pred"] == r["lang"] for r in got)
+    seen = langid.identify(sample, model, "lang").collect()
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in seen)
+
+
 # 6: packing
 def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
