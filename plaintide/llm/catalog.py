@@ -5,6 +5,7 @@ from plaintide.llm.boosted import op10_boosted_rules
 from plaintide.llm.langid import op5_language
 from plaintide.llm.mixing import op4_mix
 from plaintide.llm.multiindex import op3_multi_index
+from plaintide.llm.naming import OP13_SQL, op13_block_naming
 from plaintide.llm.ngram import op2_trie_lm
 from plaintide.llm.packing import op6_pack
 from plaintide.llm.rulefit import op1_rule_quality
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_ball_simhash": op8_ball_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_boosted_rules": op10_boosted_rules,
+    "op13_block_naming": op13_block_naming,
 }
-ORACLES = {"op7_url_rules": OP7_SQL.strip()}
+ORACLES = {"op7_url_rules": OP7_SQL.strip(), "op13_block_naming": OP13_SQL.strip()}
