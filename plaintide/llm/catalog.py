@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from plaintide.llm.boosted import op10_boosted_rules
 from plaintide.llm.langid import op5_language
+from plaintide.llm.merkle import OP11_SQL, op11_witnesses
 from plaintide.llm.mixing import op4_mix
 from plaintide.llm.multiindex import op3_multi_index
 from plaintide.llm.naming import OP13_SQL, op13_block_naming
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ball_simhash": op8_ball_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_boosted_rules": op10_boosted_rules,
+    "op11_witnesses": op11_witnesses,
     "op13_block_naming": op13_block_naming,
 }
-ORACLES = {"op7_url_rules": OP7_SQL.strip(), "op13_block_naming": OP13_SQL.strip()}
+ORACLES = {"op7_url_rules": OP7_SQL.strip(), "op11_witnesses": OP11_SQL.strip(), "op13_block_naming": OP13_SQL.strip()}
