@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL twins."""
 from __future__ import annotations
 
+from plaintide.llm.alignment import op12_alignment
 from plaintide.llm.boosted import op10_boosted_rules
 from plaintide.llm.langid import op5_language
 from plaintide.llm.merkle import OP11_SQL, op11_witnesses
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_boosted_rules": op10_boosted_rules,
     "op11_witnesses": op11_witnesses,
+    "op12_alignment": op12_alignment,
     "op13_block_naming": op13_block_naming,
 }
 ORACLES = {"op7_url_rules": OP7_SQL.strip(), "op11_witnesses": OP11_SQL.strip(), "op13_block_naming": OP13_SQL.strip()}
