@@ -144,6 +144,23 @@ def top_rows(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k
     return first.withColumn(rank, F.row_number().over(w2)).filter(F.col(rank) <= k)
 
 
+def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """``left`` with the other columns of its one row of ``right``; ``weight`` is the number of left rows of a key, ``total``
+    the sum of the weights.
+
+    Keys above a quarter of a task's fair share, at most four for each shuffle partition whatever the data, are broadcast; all
+    others meet in a shuffle where no key outweighs a task. Keys must not be NULL; ``right`` should be materialised, and
+    ``left`` cheap to read twice.
+    """
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = F.col(weight) > max(1, total // (4 * parts))
+    frequent = right.filter(heavy).drop(weight).withColumn("_met", F.lit(True))
+    near = left.join(F.broadcast(frequent), list(keys), "left")
+    others = [c for c in right.columns if c not in keys and c != weight]
+    far = near.filter(F.col("_met").isNull()).drop("_met", *others).join(right.filter(~heavy).drop(weight), list(keys))
+    return near.filter("_met").drop("_met").unionByName(far)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Row number over a total order without a single-task window.
 

@@ -1,25 +1,35 @@
 """Hashed text vectors, similar pairs and similarity clusters.
 
-All-pairs work is tiled: vectors are grouped around pivots, pivot groups are cut into blocks, and a
-block meets only the blocks that the triangle inequality on angles cannot rule out. A tile is one
-group of one Spark stage. For clustering a tile returns a maximum spanning forest, never its pairs:
-any dropped edge has a path of at least its own similarity inside the tile, so the union of the
-forests has the same components as the full graph at every threshold.
+**Pairs** come from an inverted index over the vectors' cells. Cells are ordered by how few vectors have them, and a vector is
+listed under its first cells only: as soon as the length of what is left, times the greatest length of any vector, falls
+below the threshold, the rest cannot carry a pair. Two vectors that reach the threshold share a listed cell. A list is cut into
+blocks of a constant number of vectors, dealt by the nearest of some pivots; two blocks meet in a tile, one group of one Spark
+stage, unless the triangle inequality on angles rules them out. Which blocks meet is a join of block statistics, so that no
+list of pairs or tiles exists anywhere.
+
+**Clusters.** A tile returns a maximum spanning forest, never its pairs: any dropped edge has a path of at least its own
+similarity inside the tile. Borůvka rounds make one forest of all tiles, with fewer edges than vectors and the components of
+the full graph at every threshold. Its merge tree over a grid of thresholds comes from dividing the grid: components at the
+middle are the nodes of the lower half, edges above the middle the upper half, so all thresholds cost a logarithmic number of
+component runs. The tree's cuts give the sizes at every threshold, and the search for a threshold reads nothing else.
 """
 from __future__ import annotations
 
 import math
-from typing import Iterator
+from functools import reduce
+from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plaintide.functions.common import WS
-from plaintide.session import checkpoint_dir
+from plaintide.session import checkpoint_dir, materialise
 
-BLOCK_ROWS = 2048
-MAX_BLOCKS = 4096
+BLOCK_ROWS = 256
+MAX_PIVOTS = 256
+DIGITS = 9  # similarities are rounded to so many decimals before they meet a threshold
 
 
 def hashing_embedding(df: DataFrame, key: str = "doc_id", body: str = "text", dim: int = 256, ngram: int = 3) -> DataFrame:
@@ -63,121 +73,297 @@ def representatives(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(F.col(key).alias("id"), digest.alias("_m")).join(first, "_m").select("rep", "id")
 
 
-def _blocks(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Points with their block, and the (block, partner) list. Pivots and block statistics are at
-    most MAX_BLOCKS rows, so they may pass the driver; the points never do."""
-    n = points.count()
-    n_piv = int(min(MAX_BLOCKS // 4, max(1, math.isqrt(max(1, n // BLOCK_ROWS)) * 4)))
-    if n <= BLOCK_ROWS:
-        n_piv = 1
-    pivots = points.orderBy(F.md5(F.col("id").cast("string"))).limit(n_piv).collect()
-    pv = np.array([r["vector"] for r in pivots], dtype=np.float64)
-    pv /= np.maximum(np.linalg.norm(pv, axis=1, keepdims=True), 1e-12)
-    rows_per_block = max(BLOCK_ROWS, math.ceil(n / (MAX_BLOCKS // 2)))
-
-    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            if not len(p):
-                continue
-            v = np.vstack(p["vector"].to_numpy()).astype(np.float64)
-            u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            c = np.clip(u @ pv.T, -1, 1)
-            best = c.argmax(axis=1)
-            yield pd.DataFrame({"id": p["id"], "vector": p["vector"], "pivot": best.astype("int32"),
-                                "angle": np.arccos(c[np.arange(len(best)), best]), "len": np.linalg.norm(v, axis=1)})
+def _lists(points: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
+    """(id, vector, pivot, angle, len, lists): for each vector the numbers of the cells it is listed under, in order; and the pivots.
 
+    The driver sees the cells' counts and at most ``MAX_PIVOTS`` vectors, both bounded by the vectors' size and not by their
+    number. A cell that every vector is listed under ends all lists: any two vectors meet there or before.
+    """
+    n, longest = points.agg(F.count(F.lit(1)), F.max(F.expr("sqrt(aggregate(vector, 0D, (s, x) -> s + double(x) * x))"))).first()
+    cells = points.select(F.posexplode("vector").alias("dim", "value")).filter("value <> 0").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()
+    order = np.array([c["dim"] for c in sorted(cells, key=lambda c: (c["n"], c["dim"]))], np.int64)
+    n_pivots = min(MAX_PIVOTS, max(1, 2 * math.isqrt(n // BLOCK_ROWS)))
+    pivots = np.array([r["vector"] for r in points.orderBy(F.md5(F.col("id").cast("string"))).limit(n_pivots).collect()], np.float64).reshape(-1, max(1, _width(points)))
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
     kind = points.schema["id"].dataType.simpleString()
-    placed = points.select("id", "vector").mapInPandas(assign, f"id {kind}, vector array<float>, pivot int, angle double, len double")
-    checkpoint_dir(points.sparkSession)
-    placed = placed.checkpoint(eager=True)
-    stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"), F.max("len").alias("len")).collect()
-    subs = {s["pivot"]: max(1, math.ceil(s["n"] / rows_per_block)) for s in stats}
-    base, total = {}, 0
-    for s in sorted(stats, key=lambda x: x["pivot"]):
-        base[s["pivot"]] = total
-        total += subs[s["pivot"]]
-    info = {s["pivot"]: (s["r"], s["len"]) for s in stats}
-    need = []
-    for a in sorted(base):
-        for b in sorted(base):
-            if b < a:
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
                 continue
-            reach = math.acos(max(-1.0, min(1.0, threshold / max(info[a][1] * info[b][1], 1e-12))))
-            gap = math.acos(float(np.clip(pv[a] @ pv[b], -1, 1))) - info[a][0] - info[b][0]
-            if a == b or gap <= reach + 1e-9:
-                need += [(base[a] + i, base[b] + j) for i in range(subs[a]) for j in range(subs[b]) if base[a] + i <= base[b] + j]
+            v = _matrix(batch.column("vector"))
+            length = np.linalg.norm(v, axis=1)
+            cos = np.clip(v @ pivots.T / np.maximum(length, 1e-300)[:, None], -1, 1)
+            near = cos.argmax(axis=1)
+            w = v[:, order]
+            left = np.sqrt(np.cumsum(w[:, ::-1] ** 2, axis=1)[:, ::-1])  # length of a cell and all after it
+            listed = (left * longest >= threshold - 1e-9) & (w != 0)
+            ends = np.concatenate([[0], np.cumsum(listed.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(listed)[1].astype(np.int32)))
+            angle = np.arccos(cos[np.arange(len(v)), near])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(near.astype(np.int32)), pa.array(angle), pa.array(length), lists],
+                                             ["id", "vector", "pivot", "angle", "len", "lists"])
+    placed = materialise(points.mapInArrow(run, f"id {kind}, vector array<float>, pivot int, angle double, len double, lists array<int>").filter(F.size("lists") > 0))
+    counts = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = placed.count()
+    shared = min((c["list"] for c in counts if c["n"] == n), default=None)
+    return placed if shared is None else placed.withColumn("lists", F.filter("lists", lambda x: x <= shared)), pivots
+
+
+def _width(points: DataFrame) -> int:
+    one = points.select(F.size("vector").alias("n")).first()
+    return one["n"] if one else 0
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _tiles(points: DataFrame, threshold: float, block_rows: int):
+    """The vectors of two blocks of a list, grouped: each vector goes to every tile of its block. (list, lo, hi) name a tile,
+    ``block`` the vector's own side of it."""
+    listed, pv = _lists(points, threshold)
     spark = points.sparkSession
-    tab = F.create_map(*[F.lit(x) for p in base for x in (p, base[p] * 1_000_000 + subs[p])])
-    code = F.try_element_at(tab, F.col("pivot"))
-    blocked = placed.withColumn("block", (F.floor(code / 1_000_000) + F.pmod(F.xxhash64("id"), F.pmod(code, F.lit(1_000_000)))).cast("int")).select("id", "vector", "block")
-    tiles = spark.createDataFrame([(a, f"{a}-{b}") for a, b in need] + [(b, f"{a}-{b}") for a, b in need if a != b], "block int, tile string")
-    return blocked, tiles
-
-
-def _tile_matrix(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    p = p.sort_values("id")
-    v = np.vstack(p["vector"].to_numpy()).astype(np.float64)
-    return p["id"].to_numpy(), v
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id") -> DataFrame:
-    """(a, b, sim) of all distinct vectors whose dot product reaches the threshold, a < b.
-    Copies of a vector are folded first; ``representatives`` names them."""
+    postings = listed.select("*", F.explode("lists").alias("list"))
+    groups = materialise(postings.groupBy("list", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.max("len").alias("len")))
+    groups = groups.withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int"))
+    # At most MAX_PIVOTS^2 rows.
+    turn = np.arccos(np.clip(pv @ pv.T, -1, 1))
+    turns = spark.createDataFrame([(i, j, float(turn[i, j])) for i in range(len(pv)) for j in range(len(pv))], "pivot int, partner int, turn double")
+    other = groups.select("list", F.col("pivot").alias("partner"), F.col("angle").alias("angle2"), F.col("len").alias("len2"), F.col("blocks").alias("blocks2"))
+    meets = groups.join(turns, "pivot").join(other, ["list", "partner"])
+    reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(float(threshold)) / F.greatest(F.col("len") * F.col("len2"), F.lit(1e-300)))))
+    meets = meets.filter((F.col("pivot") == F.col("partner")) | (F.col("turn") - F.col("angle") - F.col("angle2") <= reach + 1e-9)).select("list", "pivot", "partner", "blocks", "blocks2")
+    name = lambda pivot, sub: F.struct(F.col(pivot).alias("pivot"), sub.cast("int").alias("sub"))
+    sent = postings.drop("angle", "len").join(meets, ["list", "pivot"])
+    sent = sent.withColumn("block", name("pivot", F.pmod(F.xxhash64("id"), F.col("blocks")))).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    sent = sent.withColumn("met", name("partner", F.col("sub")))
+    return sent.select("list", F.least("block", "met").alias("lo"), F.greatest("block", "met").alias("hi"), (F.col("block") == F.least("block", "met")).alias("first"),
+                       (F.col("block") == F.col("met")).alias("own"), "id", "vector", "lists").groupBy("list", "lo", "hi")
+
+
+def _candidates(t: pa.Table, threshold: float) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The tile's rows by id and the places (i, j) of its pairs that reach the threshold, with their similarity. A tile of one block
+    holds its own pairs; a tile of two holds only the pairs between them."""
+    t = t.sort_by("id")
+    v, first, own = _matrix(t.column("vector")), t.column("first").to_numpy(zero_copy_only=False), bool(t.column("own")[0].as_py())
+    if own:
+        rows = cols = np.arange(len(v))
+    else:
+        rows, cols = np.flatnonzero(first), np.flatnonzero(~first)
+    s = np.round(v[rows] @ v[cols].T, DIGITS) if len(rows) and len(cols) else np.zeros((len(rows), len(cols)))
+    i, j = np.nonzero(s >= threshold)
+    keep = rows[i] < cols[j] if own else np.ones(len(i), bool)
+    i, j = i[keep], j[keep]
+    return t, rows[i], cols[j], s[i, j]
+
+
+def _edge_table(ids: pa.Array, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.Table:
+    lo, hi = np.minimum(i, j), np.maximum(i, j)  # rows are in the order of ids
+    return pa.Table.from_arrays([ids.take(pa.array(lo)), ids.take(pa.array(hi)), pa.array(s.astype(np.float64))], ["a", "b", "sim"])
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, sim) of all distinct vectors whose dot product reaches the threshold, a < b; the threshold is positive.
+    Copies of a vector are folded first; ``representatives`` names them. A pair is judged under the first cell that both
+    are listed under."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
     points = _points(vectors, key)
-    blocked, tiles = _blocks(points, threshold)
     kind = points.schema["id"].dataType.simpleString()
 
-    def pairs(p: pd.DataFrame) -> pd.DataFrame:
-        ids, v = _tile_matrix(p)
-        blk = p.sort_values("id")["block"].to_numpy()
-        # A tile of one block holds its own pairs; a tile of two holds only the pairs between them.
-        own = len(set(p["tile"].iat[0].split("-"))) == 1
-        a, b, s = [], [], []
-        for lo in range(0, len(ids), 1024):
-            m = v[lo:lo + 1024] @ v.T
-            i, j = np.nonzero(m >= threshold)
-            keep = (i + lo < j) & (own | (blk[i + lo] != blk[j]))
-            a.append(ids[i[keep] + lo]); b.append(ids[j[keep]]); s.append(m[i[keep], j[keep]])
-        cat = np.concatenate
-        return pd.DataFrame({"a": cat(a), "b": cat(b), "sim": cat(s)}) if a else pd.DataFrame({"a": [], "b": [], "sim": []})
-    return (blocked.join(tiles, "block").groupBy("tile").applyInPandas(pairs, f"a {kind}, b {kind}, sim double"))
+    def pairs(t: pa.Table) -> pa.Table:
+        t, i, j, s = _candidates(t, threshold)
+        here, lists = t.column("list")[0].as_py(), t.column("lists").to_pylist()
+        keep = np.array([min(set(lists[x]) & set(lists[y])) == here for x, y in zip(i.tolist(), j.tolist())], bool)
+        return _edge_table(t.column("id").combine_chunks(), i[keep], j[keep], s[keep])
+    return _tiles(points, threshold, block_rows).applyInArrow(pairs, f"a {kind}, b {kind}, sim double")
 
 
 def _points(vectors: DataFrame, key: str) -> DataFrame:
     reps = representatives(vectors, key).select(F.col("rep").alias(key)).distinct()
-    return vectors.join(reps, key, "left_semi").select(F.col(key).alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-
-
-def similarity_forest(vectors: DataFrame, floor: float, key: str = "id") -> DataFrame:
-    """(a, b, sim): a linear number of edges with the components of the full graph at any threshold
-    from ``floor`` up. Copies hang on their representative with similarity one."""
+    return materialise(vectors.join(reps, key, "left_semi").select(F.col(key).alias("id"), F.col("vector").cast("array<float>").alias("vector")))
+
+
+class _Sets:
+    """Union-find over row numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _heaviest(i: np.ndarray, j: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges of a maximum spanning forest, by Kruskal's rule."""
+    order, sets, keep = np.argsort(-s, kind="stable"), _Sets(n), []
+    a, b = i[order].tolist(), j[order].tolist()
+    for k, x, y in zip(order.tolist(), a, b):
+        if sets.join(x, y):
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _numbered(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct ids of edges in order, and the edges' ends as places among them."""
+    codes = pa.concat_arrays([t.column("a").combine_chunks(), t.column("b").combine_chunks()]).dictionary_encode()
+    order = pc.array_sort_indices(codes.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[codes.indices.to_numpy(zero_copy_only=False)]
+    return codes.dictionary.take(pa.array(order)), at[:t.num_rows], at[t.num_rows:]
+
+
+def _per_partition(edges: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in it if b.num_rows]
+        if batches:
+            yield from work(pa.Table.from_batches(batches)).to_batches()
+    return edges.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields))
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Each partition's own spanning forest: an edge that closes a cycle in its partition is no edge of the whole forest."""
+    def work(t: pa.Table) -> pa.Table:
+        ids, i, j = _numbered(t)
+        return t.take(pa.array(_heaviest(i, j, t.column("sim").to_numpy(), len(ids))))
+    return _per_partition(edges, work)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(part, a, b) with the components of the edges (part, a, b): each partition's nodes with the least node they reach inside it."""
+    def work(t: pa.Table) -> pa.Table:
+        ids, i, j = _numbered(t)
+        part = t.column("part").to_numpy()
+        keys, at = np.unique(np.concatenate([part, part]) * len(ids) + np.concatenate([i, j]), return_inverse=True)
+        sets = _Sets(len(keys))
+        for x, y in zip(at[:len(i)].tolist(), at[len(i):].tolist()):
+            sets.join(x, y)
+        least = np.array([sets.find(x) for x in range(len(keys))], np.int64)
+        some = np.flatnonzero(least != np.arange(len(keys)))
+        name = lambda k: ids.take(pa.array(keys[k] % len(ids)))
+        return pa.Table.from_arrays([pa.array(keys[some] // len(ids)), name(some), name(least[some])], ["part", "a", "b"])
+    return _per_partition(edges, work)
+
+
+def components(edges: DataFrame, part: str | None = None) -> DataFrame:
+    """(id, component): smallest id of each component of edges (a, b). With ``part``, an integer column, ids of different parts are
+    different nodes, and the column is returned too.
+
+    Partitions first shrink to stars; where that leaves more than one partition, the stars are joined by ``connected_components``.
+    """
+    out = ["part", "id", "component"]
+    e = edges.select((F.lit(0) if part is None else F.col(part)).cast("long").alias("part"), "a", "b").filter("a <> b").distinct()
+    stars = materialise(_stars(e))
+    if stars.rdd.getNumPartitions() > 1:
+        node = lambda c: F.struct("part", F.col(c).alias("id"))
+        got = connected_components(stars.select(node("a").alias("a"), node("b").alias("b"))).select("id.part", "id.id", F.col("component.id").alias("component"))
+    else:
+        roots = stars.select("part", "b").distinct()
+        got = stars.select("part", F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("part", F.col("b").alias("id"), F.col("b").alias("component")))
+    return got.drop("part") if part is None else got.select(*out).withColumnRenamed("part", part)
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, sim): a maximum spanning forest of any edges (a, b, sim) with a < b, in Borůvka rounds: every component takes its
+    heaviest edge, ties by the ends, until no edge joins two components. No component is gathered anywhere."""
+    best = F.max(F.struct("sim", F.col("a").alias("x"), F.col("b").alias("y")))
+    e = materialise(_thinned(edges.select("a", "b", "sim").repartition("a")).groupBy("a", "b").agg(F.max("sim").alias("sim")))
+    e = materialise(_thinned(e.withColumns({"ca": F.col("a"), "cb": F.col("b")})))
+    if e.rdd.getNumPartitions() == 1:
+        return e.select("a", "b", "sim")
+    taken = []
+    while not e.isEmpty():
+        ends = e.select(F.col("ca").alias("c"), "a", "b", "sim", "ca", "cb").unionByName(e.select(F.col("cb").alias("c"), "a", "b", "sim", "ca", "cb"))
+        heaviest = F.max(F.struct("sim", "a", "b", "ca", "cb")).alias("e")
+        chosen = materialise(ends.groupBy("c").agg(heaviest).select("e.*").distinct())
+        taken.append(chosen.select("a", "b", "sim"))
+        comp = materialise(components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        for side in ("ca", "cb"):
+            e = e.join(comp.select(F.col("id").alias(side), F.col("component").alias("_c")), side).drop(side).withColumnRenamed("_c", side)
+        # Of several edges between two components only the heaviest can be taken.
+        pair = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+        e = materialise(e.filter("ca <> cb").select("a", "b", "sim", *pair).groupBy("ca", "cb").agg(best.alias("e")).select(
+            F.col("e.x").alias("a"), F.col("e.y").alias("b"), F.col("e.sim").alias("sim"), "ca", "cb"))
+    return reduce(DataFrame.unionByName, taken) if taken else e.select("a", "b", "sim")
+
+
+def similarity_forest(vectors: DataFrame, floor: float, key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, sim): fewer edges than vectors, with the components of the full graph at any threshold from ``floor``
+    up. Copies hang on their representative with the similarity of the vector to itself, if that reaches the floor."""
+    if floor <= 0:
+        raise ValueError("the floor must be positive")
+    vectors = materialise(vectors.select(key, "vector"))
     points = _points(vectors, key)
-    blocked, tiles = _blocks(points, floor)
     kind = points.schema["id"].dataType.simpleString()
 
-    def forest(p: pd.DataFrame) -> pd.DataFrame:
-        ids, v = _tile_matrix(p)
-        n = len(ids)
-        best = np.full(n, -np.inf)
-        parent = np.full(n, -1)
-        done = np.zeros(n, dtype=bool)
-        a, b, s = [], [], []
-        for _ in range(n):
-            open_best = np.where(done, -np.inf, best)
-            i = int(open_best.argmax())
-            if not open_best[i] >= floor:
-                i = int((~done).argmax())
-            else:
-                a.append(ids[parent[i]]); b.append(ids[i]); s.append(best[i])
-            done[i] = True
-            sim = v @ v[i]
-            better = ~done & (sim > best)
-            best[better] = sim[better]
-            parent[better] = i
-        return pd.DataFrame({"a": a, "b": b, "sim": s})
-    edges = blocked.join(tiles, "block").groupBy("tile").applyInPandas(forest, f"a {kind}, b {kind}, sim double")
-    copies = representatives(vectors, key).filter(F.col("rep") != F.col("id")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    return edges.unionByName(copies)
+    def forest(t: pa.Table) -> pa.Table:
+        t, i, j, s = _candidates(t, floor)
+        keep = _heaviest(i, j, s, t.num_rows)
+        return _edge_table(t.column("id").combine_chunks(), i[keep], j[keep], s[keep])
+    edges = spanning_forest(_tiles(points, floor, block_rows).applyInArrow(forest, f"a {kind}, b {kind}, sim double"))
+    own = F.round(F.expr("aggregate(vector, 0D, (s, x) -> s + double(x) * x)"), DIGITS)
+    copies = representatives(vectors, key).filter(F.col("rep") != F.col("id")).join(points.select(F.col("id").alias("rep"), own.alias("sim")), "rep")
+    return edges.unionByName(copies.filter(F.col("sim") >= floor).select(F.col("rep").alias("a"), F.col("id").alias("b"), "sim"))
+
+
+def merge_tree(forest: DataFrame, grid: list[float]) -> DataFrame:
+    """(level, child, child_size, parent, size): how the components of a forest merge as the threshold falls along the ascending
+    ``grid``. At ``grid[level]`` the children, components of the next higher threshold named by their smallest id, become one
+    component ``parent``. A component that does not change has no row, so there are fewer than twice as many rows as ids.
+
+    The grid is halved in step for all parts: a part's edges from its middle up are the upper half over the same nodes; their
+    components are the nodes of the lower half, with the sizes of what they hold.
+    """
+    level = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= F.col("sim"))) - 1
+    e = forest.select(F.lit(0).alias("lo"), F.lit(len(grid)).alias("hi"), "a", "b", level.alias("level")).filter("level >= 0")
+    e = materialise(e)
+    w = materialise(e.select("lo", "a").unionByName(e.select("lo", F.col("b").alias("a"))).distinct().select("lo", F.col("a").alias("node"), F.lit(1).cast("long").alias("w")))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        """(lo, node, component) within each part."""
+        return materialise(components(edges, "lo").select(F.col("lo").cast("int").alias("lo"), F.col("id").alias("node"), "component"))
+    for _ in range(max(0, math.ceil(math.log2(max(1, len(grid)))))):
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        cut = e.withColumn("mid", mid)
+        upper = cut.filter("level >= mid AND hi - lo > 1")
+        comp = joined(upper.select("lo", "a", "b"))
+        up = upper.select(F.col("mid").alias("lo"), "hi", "a", "b", "level")
+        low = cut.filter("level < mid OR hi - lo = 1").select("lo", F.when(F.col("hi") - F.col("lo") > 1, F.col("mid")).otherwise(F.col("hi")).alias("hi"), "a", "b", "level")
+        for side in ("a", "b"):
+            low = low.join(comp.select("lo", F.col("node").alias(side), "component"), ["lo", side], "left").withColumn(side, F.coalesce("component", side)).drop("component")
+        up_w = comp.join(w, ["lo", "node"]).join(upper.select("lo", "mid").distinct(), "lo").select(F.col("mid").alias("lo"), "node", "w")
+        low_w = w.join(comp, ["lo", "node"], "left").groupBy("lo", F.coalesce("component", "node").alias("node")).agg(F.sum("w").alias("w"))
+        e, w = materialise(up.unionByName(low.select("lo", "hi", "a", "b", "level"))), materialise(low_w.unionByName(up_w))
+    merged = joined(e.select("lo", "a", "b")).join(w, ["lo", "node"])
+    sizes = merged.groupBy("lo", "component").agg(F.sum("w").alias("size"))
+    return merged.join(sizes, ["lo", "component"]).select(F.col("lo").alias("level"), F.col("node").alias("child"), F.col("w").alias("child_size"), F.col("component").alias("parent"), "size")
+
+
+def tree_cuts(tree: DataFrame, levels: int, min_size: int) -> list[tuple[int, int]]:
+    """(components of at least ``min_size``, size of the largest or 0) at each level of the grid: one small aggregate of the tree."""
+    merges = tree.groupBy("level", "parent").agg(F.first("size").alias("size"), F.count_if(F.col("child_size") >= min_size).alias("gone"))
+    rows = merges.groupBy("level").agg(F.sum((F.col("size") >= min_size).cast("long") - F.col("gone")).alias("n"), F.max("size").alias("largest")).collect()
+    by, out, n, largest = {r["level"]: r for r in rows}, [(0, 0)] * levels, 0, 0
+    for k in reversed(range(levels)):
+        if k in by:
+            n, largest = n + by[k]["n"], max(largest, by[k]["largest"])
+        out[k] = (n, largest if largest >= min_size else 0)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -207,43 +393,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.55, max_clusters: int = 15,
-                        min_size: int = 3, max_frac: float = 0.35, keep: int | None = None, tries: int = 24) -> DataFrame:
-    """(id, cluster, size, threshold, reason): components at a threshold that is searched as follows.
-    None left: 0.04 lower, not under 0.25. Largest too large: 0.03 higher, not over 0.95. Too many:
-    0.02 lower, not under the start. At most ``tries``; the last one stands. ``max_clusters`` steers the search only;
-    all clusters of the threshold it ends at are returned, or the ``keep`` largest.
+FLOOR, CEILING = 0.25, 0.95
 
-    The forest is built once at the lowest threshold; a try only cuts it.
-    """
-    checkpoint_dir(vectors.sparkSession)
-    vectors = vectors.select(key, "vector").checkpoint(eager=True)
-    n = vectors.count()
-    forest = similarity_forest(vectors, 0.25, key).checkpoint(eager=True)
-    seen: dict[float, tuple[DataFrame, int, int]] = {}
-    thr, reason = float(min_sim), "rounds"
+
+def _search(start: float, n: int, cuts: Callable[[float], tuple[int, int]], max_clusters: int, min_size: int, max_frac: float, tries: int) -> tuple[float, str]:
+    """The threshold at which the search ends, and why."""
+    thr, used, reason = start, start, "rounds"
     for _ in range(tries):
-        k = round(thr, 6)
-        if k not in seen:
-            comp = connected_components(forest.filter(F.col("sim") >= k))
-            sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-            c, mx = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
-            seen[k] = (comp.join(sizes, "component"), c, mx)
-        _, count, largest = seen[k]
+        used = round(thr, 6)
+        count, largest = cuts(used)
         before = thr
         if count == 0:
-            thr, reason = max(0.25, thr - 0.04), "none"
+            thr, reason = max(FLOOR, thr - 0.04), "none"
         elif largest > max(int(n * max_frac), min_size * 4):
-            thr, reason = min(0.95, thr + 0.03), "too_large"
+            thr, reason = min(CEILING, thr + 0.03), "too_large"
         elif count > max_clusters:
-            thr, reason = max(min_sim, thr - 0.02), "too_many"
+            thr, reason = max(start, thr - 0.02), "too_many"
         else:
-            reason = "ok"
-            break
+            return used, "ok"
         if round(thr, 6) == round(before, 6):
             break
-    used = k
-    members = seen[used][0]
+    return used, reason
+
+
+def similarity_clusters(vectors: DataFrame, key: str = "id", min_sim: float = 0.55, max_clusters: int = 15,
+                        min_size: int = 3, max_frac: float = 0.35, keep: int | None = None, tries: int = 24, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, cluster, size, threshold, reason): components at a threshold that is searched as follows.
+    None left: 0.04 lower, not under 0.25. Largest too large: 0.03 higher, not over 0.95. Too many:
+    0.02 lower, not under the start. At most ``tries``; the last one stands. ``max_clusters`` steers the search only;
+    all clusters of the threshold it ends at are returned, or the ``keep`` largest.
+
+    The search moves in steps of 0.01 from the start and the two limits, so these values are the grid of the merge tree, and
+    every try reads one of its cuts.
+    """
+    vectors = materialise(vectors.select(key, "vector"))
+    n, start = vectors.count(), float(min_sim)
+    forest = materialise(similarity_forest(vectors, min(FLOOR, start), key, block_rows))
+    span = [round(x + 0.01 * i, 6) for x in (start, FLOOR, CEILING) for i in range(-100, 101)]
+    grid = sorted({g for g in span if min(FLOOR, start) <= g <= max(CEILING, start)})
+    tree = merge_tree(forest, grid)
+    cuts = dict(zip(grid, tree_cuts(tree, len(grid), min_size)))
+    used, reason = _search(start, n, cuts.__getitem__, max_clusters, min_size, max_frac, tries)
+    comp = components(forest.filter(F.col("sim") >= used))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
+    members = comp.join(sizes, "component")
     if keep is not None:
         top = members.select("component", "size").distinct().orderBy(F.desc("size"), F.asc("component")).limit(keep)
         members = members.drop("size").join(top, "component")

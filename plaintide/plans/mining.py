@@ -87,17 +87,43 @@ def _(spark, d):
     return sim.similar_pairs(e, 0.4).withColumn("sim", F.round("sim", 5))
 
 
+def clusters_sql(vectors: str) -> str:
+    """The clusters of vectors e (id, v): components at all 71 thresholds from 0.25 to 0.95 by the spread of the least label, then the search
+    from 0.55 in hundredths."""
+    return f"""
+WITH RECURSIVE {vectors},
+ p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 9) >= 0.25),
+ g AS (SELECT i::INT AS t, i / 100.0::DOUBLE AS thr FROM generate_series(25, 95) x(i)),
+ o AS (SELECT t, a, b FROM p JOIN g ON sim >= thr),
+ ed AS (SELECT t, a, b FROM o UNION ALL SELECT t, b, a FROM o UNION SELECT t, a, a FROM o UNION SELECT t, b, b FROM o),
+ lab AS (SELECT 0 AS i, t, a AS id, a AS c, true AS go FROM ed WHERE a = b UNION ALL
+   SELECT i, t, id, c, bool_or(c <> old) OVER () FROM (SELECT l.i + 1 AS i, ed.t, ed.a AS id, min(l.c) AS c, max(CASE WHEN ed.b = ed.a THEN l.c END) AS old FROM lab l JOIN ed ON ed.t = l.t AND ed.b = l.id WHERE l.go GROUP BY 1, 2, 3)),
+ co AS (SELECT t, id, c FROM lab WHERE i = (SELECT max(i) FROM lab)), sz AS (SELECT t, c, count(*) AS size FROM co GROUP BY 1, 2 HAVING count(*) >= 3),
+ st AS (SELECT g.t, count(sz.c) AS n, coalesce(max(size), 0) AS largest FROM g LEFT JOIN sz ON sz.t = g.t GROUP BY 1),
+ se AS (SELECT 0 AS try, 0 AS used, 55 AS nxt, 'rounds' AS reason, false AS stop UNION ALL
+   SELECT try + 1, t, CASE reason WHEN 'none' THEN greatest(25, t - 4) WHEN 'too_large' THEN least(95, t + 3) WHEN 'too_many' THEN greatest(55, t - 2) ELSE t END, reason,
+     t = CASE reason WHEN 'none' THEN greatest(25, t - 4) WHEN 'too_large' THEN least(95, t + 3) WHEN 'too_many' THEN greatest(55, t - 2) ELSE t END
+   FROM (SELECT se.try, st.t, CASE WHEN n = 0 THEN 'none' WHEN largest > greatest(floor((SELECT count(*) FROM e) * 0.35), 12) THEN 'too_large' WHEN n > 15 THEN 'too_many' ELSE 'ok' END AS reason
+     FROM se JOIN st ON st.t = se.nxt WHERE NOT se.stop AND se.try < 24)),
+ en AS (SELECT used, reason FROM se ORDER BY try DESC LIMIT 1)
+SELECT co.id, co.c AS cluster, size, used / 100.0::DOUBLE AS threshold, reason FROM en JOIN co ON co.t = used JOIN sz ON sz.t = used AND sz.c = co.c"""
+
+
+@query("similarity_clusters", clusters_sql("e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"), needs_opinion=False)
+def _(spark, d):
+    return clustered(spark, d)
+
+
 def clustered(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return sim.similarity_clusters(e)
 
 
-@query("similarity_clusters")
-def _(spark, d):
-    return clustered(spark, d)
-
-
-@query("text_clusters")
+@query("text_clusters", clusters_sql(f"""t AS (SELECT doc_id, {q.sq('lower(text)')} AS t0 FROM documents), tp AS (SELECT doc_id, CASE WHEN length(t0) < 3 THEN substr(t0 || '···', 1, 3) ELSE t0 END AS t FROM t),
+ gr AS (SELECT doc_id, t, unnest(generate_series(1, length(t) - 2)) AS i FROM tp), h AS (SELECT doc_id, right(md5(substr(t, i, 3)), 4) AS x FROM gr),
+ ce AS (SELECT doc_id, ('0x' || right(x, 2))::INT AS dim, sum(CASE WHEN (('0x' || left(x, 2))::INT & 1) = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY 1, 2),
+ no AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM ce GROUP BY 1),
+ e AS (SELECT no.doc_id AS id, list(coalesce(v / n, 0)::FLOAT::DOUBLE ORDER BY d) AS v FROM no JOIN range(256) r(d) ON true LEFT JOIN ce ON ce.doc_id = no.doc_id AND ce.dim = d WHERE n > 0 GROUP BY 1)"""), needs_opinion=False)
 def _(spark, d):
     v = sim.dense_vectors(sim.hashing_embedding(docs(spark, d)), "doc_id").withColumnRenamed("doc_id", "id")
     return sim.similarity_clusters(v)

@@ -43,21 +43,95 @@ def test_embedding_has_unit_length_and_pads_short_text(spark):
     assert len(d[1]) == 256 and d[1] == d[4] and d[1] != d[2]
 
 
-def test_pairs_and_forest_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(sim, "BLOCK_ROWS", 40)
+def test_pairs_and_forest_over_many_blocks(spark):
     arr = unit(300, 6, 3)
     arr[10] = arr[20] = arr[30]
     v = vectors(spark, arr)
     folded = [i for i in range(300) if i not in (20, 30)]
     want = {(i, j) for i in folded for j in folded if i < j and float(np.dot(arr[i], arr[j])) >= 0.8}
-    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in sim.similar_pairs(v, 0.8).collect()}
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in sim.similar_pairs(v, 0.8, block_rows=40).collect()}
     assert len(want ^ got) <= 1  # a pair at the threshold may fall either way in single precision
     for thr in (0.8, 0.9, 0.97):
-        forest = sim.similarity_forest(v, 0.8)
+        forest = sim.similarity_forest(v, 0.8, block_rows=40)
         comp = {r["id"]: r["component"] for r in sim.connected_components(forest.filter(F.col("sim") >= thr)).collect()}
         brute = brute_components(arr, thr)
         assert [comp.get(i, i) for i in range(300)] == brute
-    assert sim.similarity_forest(v, 0.8).count() < 300 * 40
+    assert sim.similarity_forest(v, 0.8, block_rows=40).count() < 300
+
+
+def test_pairs_of_sparse_vectors(spark):
+    """Lists of rare cells: few vectors meet, and every pair is found once."""
+    rs = np.random.RandomState(2)
+    arr = np.zeros((400, 120), dtype="float32")
+    for i in range(400):
+        arr[i, rs.choice(120, 6, replace=False)] = rs.randn(6)
+    arr[5], arr[6] = arr[4] * 0.9, 0
+    arr[50:60, 3] += 2
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if round(float(arr[i].astype(float) @ arr[j].astype(float)), 9) >= 1.5}
+    got = sim.similar_pairs(vectors(spark, arr), 1.5, block_rows=30).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 20
+    listed, _ = sim._lists(sim._points(vectors(spark, arr), "id"), 1.5)
+    # Cells that cannot carry a pair are not listed.
+    assert listed.selectExpr("sum(size(lists)) AS m").first()["m"] < 0.6 * np.count_nonzero(arr)
+    with pytest.raises(ValueError):
+        sim.similar_pairs(vectors(spark, arr), 0.0)
+
+
+def test_dense_vectors_meet_under_one_cell(spark):
+    listed, _ = sim._lists(sim._points(vectors(spark, unit(200, 16, 1)), "id"), 0.3)
+    assert listed.selectExpr("max(size(lists)) AS m", "count(*) AS n").first().asDict() == {"m": 1, "n": 200}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_spanning_forest_of_any_edges(spark, parts):
+    rs = np.random.RandomState(4)
+    edges = {(int(min(x)), int(max(x))): round(float(rs.rand()), 2) for x in rs.randint(0, 300, (900, 2)) if x[0] != x[1]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false" if parts > 1 else "true")
+    try:
+        e = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a long, b long, sim double")
+        forest = [tuple(r) for r in sim.spanning_forest(e).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sets, weight, size = sim._Sets(300), 0.0, 0
+    for (a, b), s in sorted(edges.items(), key=lambda x: -x[1]):
+        if sets.join(a, b):
+            weight, size = weight + s, size + 1
+    assert len(forest) == size and abs(sum(s for *_, s in forest) - weight) < 1e-9
+    mine = sim._Sets(300)
+    assert all(mine.join(a, b) for a, b, _ in forest)  # no cycle
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_cuts_of_the_merge_tree(spark, parts):
+    rs = np.random.RandomState(7)
+    edges = [(i, int(rs.randint(0, i)), float(rs.randint(0, 100)) / 100) for i in range(1, 150)]
+    e = spark.createDataFrame([(b, a, s) for a, b, s in edges], "a long, b long, sim double")
+    grid = [0.25, 0.3, 0.31, 0.5, 0.62, 0.8, 0.95]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false" if parts > 1 else "true")
+    try:
+        tree = sim.merge_tree(e, grid)
+        cuts, rows = sim.tree_cuts(tree, len(grid), 3), tree.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    below = None
+    for k in reversed(range(len(grid))):
+        sets = sim._Sets(150)
+        for a, b, s in edges:
+            if s >= grid[k]:
+                sets.join(a, b)
+        size = {}
+        for x in range(150):
+            size.setdefault(sets.find(x), []).append(x)
+        big = [len(m) for m in size.values() if len(m) >= 3]
+        assert cuts[k] == (len(big), max(big, default=0))
+        want = set()
+        if below is not None:
+            for root, m in size.items():
+                children = {below[x] for x in m}
+                if len(children) > 1:
+                    want |= {(k, c, sum(below[x] == c for x in m), root, len(m)) for c in children}
+            assert {tuple(r) for r in rows if r["level"] == k} == want
+        below = {x: sets.find(x) for x in range(150)}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
