@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plaintide.functions.common import look_up  # noqa: F401
+
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -31,22 +33,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def look_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """``left`` with the other columns of its one row of ``right``; ``weight`` is the number of left rows of a key, ``total``
-    the sum of the weights.
-
-    Keys above a quarter of a task's fair share, at most four for each shuffle partition whatever the data, are broadcast; all
-    others meet in a shuffle where no key outweighs a task. Keys must not be NULL; ``right`` should be materialised.
-    """
-    parts = shuffle_parts(left.sparkSession)
-    heavy = F.col(weight) > max(1, total // (4 * parts))
-    frequent = right.filter(heavy).drop(weight).withColumn("_met", F.lit(True))
-    near = left.join(F.broadcast(frequent), keys, "left")
-    others = [c for c in right.columns if c not in keys and c != weight]
-    far = near.filter(F.col("_met").isNull()).drop("_met", *others).join(right.filter(~heavy).drop(weight), keys)
-    return near.filter("_met").drop("_met").unionByName(far)
-
-
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each input batch; empty batches give nothing."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

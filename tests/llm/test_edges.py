@@ -2,7 +2,7 @@
 import pytest
 
 import corpus_pipeline
-from plaintide.llm import boosted, langid, mixing, multiindex, ngram, packing, rulefit, simhash, suffixes, urlrules
+from plaintide.llm import alignment, boosted, langid, merkle, mixing, multiindex, naming, ngram, packing, rulefit, simhash, suffixes, urlrules
 from tests.llm.helpers import CLASHING, LABEL, edge_documents, no_documents
 from pyspark.sql import functions as F
 
@@ -20,6 +20,9 @@ OPERATORS = {
     "simhash": lambda s, d: simhash.near_groups(d),
     "suffixes": lambda s, d: suffixes.removal(d),
     "boosted": lambda s, d: boosted.judge(d, labels(s)),
+    "witnesses": lambda s, d: merkle.manifest(d, levels=1),
+    "alignment": lambda s, d: alignment.link_counts(d, block_tokens=200),
+    "naming": lambda s, d: naming.exact_groups(d, block_bytes=16),
 }
 
 
