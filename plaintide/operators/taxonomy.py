@@ -108,29 +108,59 @@ def _char_key(c: Column) -> Column:
     return F.array_join(F.array_sort(_chars(c)), "")
 
 
+MOST_KEYS = 32  # signatures of one label for one partner size, unless single characters already make more
+
+
+def _choices(cs: Column, k: int) -> Column:
+    """All ordered selections of ``k`` (1 to 3) elements of an array, as arrays."""
+    if k == 1:
+        return F.transform(cs, lambda x: F.array(x))
+    rest = lambda i: F.slice(cs, i + 2, F.greatest(F.size(cs) - i - 1, F.lit(0)))
+    if k == 2:
+        return F.flatten(F.transform(cs, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
+    return F.flatten(F.transform(cs, lambda x, i: F.transform(_choices(rest(i), 2), lambda p: F.concat(F.array(x), p))))
+
+
+def set_signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """(l1, l2, chars, n, o, small, large, width, prefix, sig) for sets (l1, l2, chars, o) with elements ``o`` in the order of rarity.
+
+    A set of n elements meets partners of each size m within the factor t under keys of their own. Two sets of sizes n and m that
+    reach the threshold share at least ``s = ceil(t (n + m) / (1 + t))`` elements, hence at least ``k`` of the first ``n - s + k`` and
+    ``m - s + k`` ones. A key is a selection of k of these; k is the largest up to three that makes at most ``MOST_KEYS`` of them.
+    """
+    t, near = float(threshold), 1e-9
+    n = F.size("o")
+    x = sets.withColumn("n", n).withColumn("m", F.explode(F.sequence(F.ceil(n * t - near).cast("int"), F.floor(n / t + near).cast("int"))))
+    x = x.withColumns({"small": F.least("n", "m"), "large": F.greatest("n", "m"), "shared": F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)) - near).cast("int")})
+    spare = F.col("large") - F.col("shared")
+    fits = {3: (spare + 3) * (spare + 2) * (spare + 1) / 6 <= MOST_KEYS, 2: (spare + 2) * (spare + 1) / 2 <= MOST_KEYS}
+    width = F.when((F.col("shared") >= 3) & fits[3], 3).when((F.col("shared") >= 2) & fits[2], 2).otherwise(1)
+    x = x.withColumn("width", width).withColumn("prefix", F.slice("o", F.lit(1), F.least(F.col("n"), F.col("n") - F.col("shared") + F.col("width"))))
+    sigs = F.when(F.col("width") == 3, _choices(F.col("prefix"), 3)).when(F.col("width") == 2, _choices(F.col("prefix"), 2)).otherwise(_choices(F.col("prefix"), 1))
+    return x.withColumn("sig", F.explode(sigs)).drop("m", "shared")
+
+
 def similar_sets(labels_df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(l1, l2, chars, other): pairs of distinct character sets that reach the Jaccard threshold,
     each way. Labels with equal sets are folded first, so no group of likes is paired out.
 
-    Exact set-similarity join by prefix filter: characters are ordered by how rare they are, and two
-    sets that reach the threshold share one of their first ``|s| - ceil(t |s|) + 1`` characters and
-    have sizes within the factor t.
+    An exact join on the signatures of ``set_signatures``: composite keys of the rarest characters, apart for each pair of
+    sizes. A pair is judged once, at the first key that both have.
     """
     d = labels_df.select("l1", "l2", _char_key(F.col("label")).alias("chars")).distinct()
     ch = d.select("l1", "l2", "chars", F.explode(_chars(F.col("chars"))).alias("ch"))
     freq = ch.groupBy("ch").agg(F.count(F.lit(1)).alias("f"))
     sets = ch.join(freq, "ch").groupBy("l1", "l2", "chars").agg(F.array_sort(F.collect_list(F.struct("f", "ch"))).alias("o"))
-    n = F.size("o")
-    keep = F.slice(F.col("o"), F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    pre = sets.select("l1", "l2", "chars", n.alias("n"), F.transform("o", lambda x: x["ch"]).alias("cs"), F.posexplode(F.transform(keep, lambda x: x["ch"])).alias("pos", "ch"))
-    a, b = pre.alias("a"), pre.alias("b")
-    j = a.join(b, (F.col("a.l1") == F.col("b.l1")) & (F.col("a.l2") == F.col("b.l2")) & (F.col("a.ch") == F.col("b.ch")) & (F.col("a.chars") < F.col("b.chars"))
-               & F.col("b.n").between(F.col("a.n") * threshold, F.col("a.n") / threshold))
-    # Each pair is judged once: at its first shared prefix character.
-    first = F.size(F.array_intersect(F.slice(F.col("a.cs"), F.lit(1), F.col("a.pos")), F.slice(F.col("b.cs"), F.lit(1), F.col("b.pos")))) == 0
-    inter = F.size(F.array_intersect("a.cs", "b.cs"))
-    ok = j.filter(first).filter(inter / (F.col("a.n") + F.col("b.n") - inter) >= threshold).select(
-        F.col("a.l1").alias("l1"), F.col("a.l2").alias("l2"), F.col("a.chars").alias("chars"), F.col("b.chars").alias("other"))
+    sets = sets.withColumn("o", F.transform("o", lambda x: x["ch"]))
+    keys = ["l1", "l2", "small", "large", "sig"]
+    p = set_signatures(sets, threshold)
+    a = p.select(*keys, "width", *[F.col(c).alias(f"{c}1") for c in ("chars", "n", "o", "prefix")])
+    b = p.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("chars", "n", "o", "prefix")])
+    # Of two sizes the smaller set stands left; of one size the set that is first by name.
+    j = a.join(b, keys).filter((F.col("n1") == F.col("small")) & (F.col("n2") == F.col("large")) & ((F.col("n1") < F.col("n2")) | (F.col("chars1") < F.col("chars2"))))
+    j = j.filter(F.slice(F.array_intersect("prefix1", "prefix2"), F.lit(1), F.col("width")) == F.col("sig"))
+    inter = F.size(F.array_intersect("o1", "o2"))
+    ok = j.filter(inter / (F.col("n1") + F.col("n2") - inter) >= threshold).select("l1", "l2", F.col("chars1").alias("chars"), F.col("chars2").alias("other"))
     return ok.unionByName(ok.select("l1", "l2", F.col("other").alias("chars"), F.col("chars").alias("other")))
 
 

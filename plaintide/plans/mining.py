@@ -267,7 +267,19 @@ def _(spark, d):
     return tx.similar_sets(label_freqs(spark, d), 0.8)
 
 
-@query("label_cluster_merge")
+@query("label_cluster_merge", f"""
+WITH RECURSIVE tk AS (SELECT lang AS l1, unnest({tokens_sql('text')}) AS label FROM documents), fr AS (SELECT l1, label, count(*) AS n FROM tk WHERE length(label) >= 2 GROUP BY 1, 2 HAVING count(*) >= 3),
+ al AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS bit FROM (SELECT DISTINCT unnest(string_split(label, '')) AS ch FROM fr)),
+ mk AS (SELECT l1, label, any_value(n) AS n, bit_or(1::HUGEINT << bit::INT) AS mask FROM (SELECT *, unnest(string_split(label, '')) AS ch FROM fr) JOIN al USING (ch) GROUP BY 1, 2),
+ w AS (SELECT *, row_number() OVER (PARTITION BY l1 ORDER BY n DESC, label) AS rn FROM mk),
+ gm AS (SELECT DISTINCT l1, 0::BIGINT AS rn, []::HUGEINT[] AS masks, []::BIGINT[] AS seeds, 0::BIGINT AS own FROM w UNION ALL
+   SELECT l1, rn, CASE WHEN spot IS NULL THEN list_append(masks, mask) ELSE masks END, CASE WHEN spot IS NULL THEN list_append(seeds, rn) ELSE seeds END, coalesce(seeds[spot], rn)
+   FROM (SELECT g.l1, w.rn, w.mask, g.masks, g.seeds, nullif(list_position(list_transform(g.masks, lambda s: bit_count(s & w.mask) / bit_count(s | w.mask)::DOUBLE >= 0.8), true), 0) AS spot FROM gm g JOIN w ON w.l1 = g.l1 AND w.rn = g.rn + 1)),
+ me AS (SELECT w.l1, w.label, w.n, c.label AS canonical FROM gm JOIN w ON w.l1 = gm.l1 AND w.rn = gm.rn JOIN w c ON c.l1 = gm.l1 AND c.rn = gm.own),
+ kw AS (SELECT DISTINCT l1, canonical, substr(label, i::INT, z::INT) AS g FROM (SELECT *, unnest(generate_series(1, length(label) - z + 1)) AS i FROM me JOIN (VALUES (2), (3), (4)) v(z) ON length(label) >= z)),
+ ka AS (SELECT kw.l1, canonical, string_agg(g, '|' ORDER BY length(g) DESC, coalesce(n, 0) DESC, g) AS keywords FROM kw LEFT JOIN fr ON fr.l1 = kw.l1 AND fr.label = g GROUP BY 1, 2),
+ sy AS (SELECT l1, canonical, sum(n)::BIGINT AS count, coalesce(string_agg(label, '|' ORDER BY n DESC, label) FILTER (label <> canonical), '') AS synonyms FROM me GROUP BY 1, 2)
+SELECT sy.l1, 'words' AS l2, canonical, count, synonyms, keywords FROM sy JOIN ka USING (l1, canonical)""", needs_opinion=False)
 def _(spark, d):
     m = tx.label_cluster_merge(label_freqs(spark, d), 0.8)
     return m.select("l1", "l2", "canonical", "count", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("keywords", "|").alias("keywords"))
