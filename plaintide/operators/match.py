@@ -6,14 +6,17 @@ hash join, is scored inside its own row, and never fans out.
 """
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions import labels
 from plaintide.functions.common import collapse, hint_small, filled, strip, text, top_rows
 from plaintide.functions.text import gold_key
 from plaintide.operators import classify as C, rules as R
+from plaintide.operators.automaton import Trie, find
 from plaintide.operators.keyed import pick_per_key
 from plaintide.packs import labels as lp
 
@@ -112,24 +115,76 @@ def generic_l3(df: DataFrame, taxonomy: DataFrame, l1: str = "l1", l2: str = "l2
         "_a", "_b", "generic_l3", "generic_conf")
 
 
-def exact_fuzzy_label(df: DataFrame, taxonomy: DataFrame, body: str = "body", out: str = "fuzzy", only: Column | None = None) -> DataFrame:
+MAX_SYMBOLS = 4_000_000  # pattern symbols in one automaton, which travels to every task; some 24 bytes each
+EXACT, LOWER, FRAGMENT = range(3)
+
+
+def _label_tries(taxonomy: DataFrame, max_symbols: int) -> list[tuple[Trie, list]]:
+    """Automata over whole labels, their lower-case forms and their fragments, each with the labels it names. A taxonomy of
+    more symbols than one may hold is dealt to several by the label's hash; the driver sees one deal at a time."""
+    t = taxonomy.filter(F.length("l3") > 0).select("pos", "l1", "l2", "l3", F.lower("l3").alias("low"))
+    n = F.length("l3")
+    own = F.when(F.col("low") == F.col("l3"), n).otherwise(n * 2)
+    symbols = t.agg(F.coalesce(F.sum(own + F.greatest(n - 2, F.lit(0)) * 6), F.lit(0))).first()[0]
+    deals, out = max(1, -(-symbols // max_symbols)), []
+    for i in range(deals):
+        rows = sorted(t.filter(F.pmod(F.xxhash64("l3"), F.lit(deals)) == i).collect(), key=lambda r: (r["pos"], r["l1"], r["l2"], r["l3"]))
+        patterns, kinds, values = [], [], []
+        for k, r in enumerate(rows):
+            name = r["l3"]
+            some = [(EXACT, name), (LOWER, r["low"])] if len(name) >= 2 else []
+            some += [(FRAGMENT, name[at:at + size]) for size in (3, 4, 5, 6) for at in range(len(name) - size + 1)]
+            for kind, word in some:
+                patterns.append(word)
+                kinds.append(kind)
+                values.append(k)
+        out.append((Trie.build(patterns, np.array(kinds, np.int64), np.array(values, np.int64), 3), [(r["pos"], r["l1"], r["l2"], r["l3"]) for r in rows]))
+    return out
+
+
+def exact_fuzzy_label(df: DataFrame, taxonomy: DataFrame, body: str = "body", out: str = "fuzzy", only: Column | None = None,
+                      max_symbols: int = MAX_SYMBOLS) -> DataFrame:
     """A label found in the text (0.88, first in taxonomy order); else the longest, then leftmost
-    label fragment of six to three characters (0.68)."""
-    names = F.array_sort(F.collect_list(F.struct("pos", "l1", "l2", "l3")))
-    whole = taxonomy.filter(F.length("l3") >= 2).agg(names.alias("a")).scalar()
-    frag = (taxonomy.select("pos", "l1", "l2", "l3", F.explode(_grams(F.col("l3"), (3, 4, 5, 6))).alias("g"))
-            .groupBy("g").agg(F.min(F.struct("pos", "l1", "l2", "l3")).alias("m")))
-    frags = frag.agg(F.collect_list(F.struct("g", "m")).alias("a")).scalar()
-    gate = only if only is not None else F.lit(True)
-    d = df.withColumns({"_w": F.when(gate, whole), "_f": F.when(gate, frags)})
-    t, low = F.col(body), F.lower(F.col(body))
-    ex = F.get(F.filter("_w", lambda x: F.contains(t, x["l3"]) | F.contains(low, F.lower(x["l3"]))), F.lit(0))
-    fz = F.array_min(F.transform(F.filter("_f", lambda x: F.contains(low, x["g"])), lambda x: F.struct(
-        (-F.length(x["g"])).alias("k"), F.instr(low, x["g"]).alias("i"), x["m"].alias("m"))))["m"]
-    d = d.withColumn("_e", ex).withColumn("_z", F.when(F.col("_e").isNull(), fz))
+    label fragment of six to three characters (0.68).
+
+    A text is read once, by an automaton over all labels and fragments; a taxonomy above ``max_symbols`` is dealt to several,
+    and the best of their finds counts.
+    """
+    label = "struct<pos:int,l1:string,l2:string,l3:string>"
+
+    def finder(shared) -> Callable:
+        @F.pandas_udf(f"exact {label}, rank int, at int, part {label}")
+        def run(raw: pd.Series, low: pd.Series) -> pd.DataFrame:
+            trie, names = shared.value
+            some = raw.notna().to_numpy()
+            texts, lows = raw[some].tolist(), low[some].tolist()
+            whole = np.minimum(find(trie, texts, EXACT)[0], find(trie, lows, LOWER)[0])
+            part, length, at = find(trie, lows, FRAGMENT, longest=True)
+            part[whole != Trie.NONE] = Trie.NONE
+            rows = [(None, None, None, None)] * len(raw)
+            for i, w, p, size, place in zip(np.flatnonzero(some).tolist(), whole.tolist(), part.tolist(), length.tolist(), at.tolist()):
+                if w != Trie.NONE:
+                    rows[i] = (_named(names[w]), None, None, None)
+                elif p != Trie.NONE:
+                    rows[i] = (None, -size, place, _named(names[p]))
+            return pd.DataFrame(rows, columns=["exact", "rank", "at", "part"]).astype({"rank": "Int32", "at": "Int32"})
+        return run
+    # Each is at most MAX_SYMBOLS symbols.
+    shared = [df.sparkSession.sparkContext.broadcast(x) for x in _label_tries(taxonomy, max_symbols)]
+    t = F.col(body) if only is None else F.when(only, F.col(body))
+    found = [f"_found{i}" for i in range(len(shared))]
+    d = df.withColumns({c: finder(s)(t, F.lower(t)) for c, s in zip(found, shared)})
+    least = lambda cs: F.least(*cs) if len(cs) > 1 else cs[0]
+    exact = least([F.when(F.col(f"{c}.exact").isNotNull(), F.col(f"{c}.exact")) for c in found])
+    part = least([F.when(F.col(f"{c}.part").isNotNull(), F.struct(f"{c}.rank", f"{c}.at", f"{c}.part")) for c in found])
+    d = d.withColumns({"_e": exact, "_z": part["part"]}).drop(*found)
     hit = (F.when(F.col("_e").isNotNull(), R.triple(F.col("_e.l1"), F.col("_e.l2"), F.col("_e.l3"), 0.88, "exact"))
            .when(F.col("_z").isNotNull(), R.triple(F.col("_z.l1"), F.col("_z.l2"), F.col("_z.l3"), 0.68, "fuzzy")))
-    return d.withColumn(out, hit).drop("_w", "_f", "_e", "_z")
+    return d.withColumn(out, hit).drop("_e", "_z")
+
+
+def _named(row: tuple) -> dict:
+    return dict(zip(("pos", "l1", "l2", "l3"), row))
 
 
 def gold_rows(reviewed: DataFrame) -> DataFrame:
