@@ -2,16 +2,24 @@
 ``batch=<id>`` folder by overwrite, so a replay after a failure repeats nothing."""
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from plaintide.functions import text as tx
 from plaintide.functions.common import filled, text
 from plaintide.operators.keyed import pick_per_key
+from plaintide.session import materialise
 from plaintide.sources import feed as fd
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
 
 def _writer(stream: DataFrame, checkpoint: str, available_now: bool, mode: str = "append") -> DataStreamWriter:
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -68,32 +76,85 @@ def releasable(reviewed: DataFrame) -> DataFrame:
     return due.filter(named).join(full, "upload_batch", "left_semi").unionByName(due.filter(~named)).distinct()
 
 
-def stream_pending_reflow(rows: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> DataStreamWriter:
+class HeldRows(StatefulProcessor):
+    """State of one (upload batch, bucket): its reviewed ids, and whether a label of theirs has been due.
+
+    Gives each id once when it is first due, and after every micro-batch with new ids the number of reviewed ids.
+    """
+    OUT = "upload_batch string, bucket int, opinion_id string, n long, size long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ids = handle.getMapState("ids", "opinion_id string", "due boolean")
+        self.count = handle.getValueState("count", "n long, size long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch, bucket = key
+        n, size = self.count.get() if self.count.exists() else (0, 0)
+        before = (n, size)
+        for r in rows:
+            one, size = (r["opinion_id"],), max(size, r["size"] or 0)
+            known = self.ids.containsKey(one)
+            n += not known
+            was_due = known and self.ids.getValue(one)[0]
+            if not known or r["due"] and not was_due:
+                self.ids.updateValue(one, (bool(r["due"]),))
+            if r["due"] and not was_due:
+                yield Row(upload_batch=batch, bucket=bucket, opinion_id=r["opinion_id"], n=None, size=None)
+        if (n, size) != before:
+            self.count.update((n, size))
+            yield Row(upload_batch=batch, bucket=bucket, opinion_id=None, n=n, size=size)
+
+    def close(self) -> None:
+        pass
+
+
+def _folder(name: Column) -> Column:
+    """The folder of an upload batch: its digest, so that any name will do. Folders may share one; rows keep the name."""
+    return F.left(F.md5(name), F.lit(12))
+
+
+def stream_pending_reflow(rows: DataFrame, target: str, checkpoint: str, available_now: bool = True, buckets: int = 64) -> DataStreamWriter:
     """Holds reviewed rows until their whole upload batch is reviewed, then releases them once, into
     ``target/released``.
 
     Input columns: opinion_id, upload_batch, review_status, review_l1, reflow_synced, batch_size (rows
-    of the upload batch). Rows without a batch pass at once; synced rows drop. The held rows are a log
-    and not keyed state: one upload batch may hold a large share of all rows, and counting distinct
-    ids of the log pre-aggregates on the map side, while state of one key would sit in one task.
+    of the upload batch). Rows without a batch pass at once; synced rows drop.
+
+    Distinct ids are keyed state by (upload batch, bucket of the id), so a batch with a large share of all rows is spread. What
+    the state gives is filed by upload batch; a micro-batch adds up the buckets' counts of the batches that it touches and
+    reads the held rows of those alone, so its cost does not grow with the age of the stream. A batch that becomes full releases
+    all it holds, one that was full before releases what is new; nothing released is ever read again.
     """
     spark = rows.sparkSession
-    reviewed, released = f"{target}/reviewed", f"{target}/released"
-    out = T.StructType([T.StructField("upload_batch", T.StringType()), T.StructField("opinion_id", T.StringType())])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    held, counts, released = (f"{target}/{x}" for x in ("held", "counts", "released"))
+    keyed = reviewed_rows(rows).withColumn("bucket", F.pmod(F.xxhash64("opinion_id"), F.lit(buckets)).cast("int"))
+    changes = keyed.groupBy("upload_batch", "bucket").transformWithState(HeldRows(), HeldRows.OUT, "append", "none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reviewed_rows(batch).write.mode("overwrite").parquet(f"{reviewed}/batch={batch_id}")
-        new = spark.read.parquet(f"{reviewed}/batch={batch_id}")
-        named = F.col("upload_batch") != ""
-        touched = new.filter(named).select("upload_batch").distinct()
-        grouped = spark.read.parquet(reviewed).filter(named & (F.col("batch") <= batch_id)).join(touched, "upload_batch", "left_semi").drop("batch")
-        due = releasable(grouped.unionByName(new.filter(~named).drop("batch"), allowMissingColumns=True))
-        # A replay of this micro-batch must not see its own earlier output.
-        before = spark.read.schema(T.StructType([*out, T.StructField("batch", T.LongType())])).parquet(released).filter(F.col("batch") < batch_id)
-        (due.join(before.select("upload_batch", "opinion_id"), ["upload_batch", "opinion_id"], "left_anti")
-         .write.mode("overwrite").parquet(f"{released}/batch={batch_id}"))
-    spark.createDataFrame([], out).write.mode("overwrite").parquet(f"{released}/batch=-1")
-    return _writer(rows, checkpoint, available_now).foreachBatch(write)
+        new = materialise(batch.withColumns({"folder": _folder(F.col("upload_batch")), "batch": F.lit(batch_id)}))
+        named, due = new.filter("upload_batch <> ''"), F.col("opinion_id").isNotNull()
+        passed = new.filter(due & (F.col("upload_batch") == "")).select("upload_batch", "opinion_id")
+        # Only this micro-batch's own folders are replaced, so that a replay writes the same again.
+        for rows_, path in ((named.filter(due).select("upload_batch", "opinion_id", "folder", "batch"), held),
+                            (named.filter(~due).select("upload_batch", "bucket", "n", "size", "folder", "batch"), counts)):
+            rows_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "batch").parquet(path)
+        touched = [r[0] for r in named.select("folder").distinct().collect()]  # upload batches of one micro-batch
+
+        def filed(path: str, schema: str) -> DataFrame:
+            paths = [p for p in (f"{path}/folder={f}" for f in touched) if exists(spark, p)]
+            got = spark.read.schema(schema + ", folder string, batch long").option("basePath", path).parquet(*paths) if paths else spark.createDataFrame([], schema + ", folder string, batch long")
+            return got.filter(F.col("batch") <= batch_id)
+        seen = filed(counts, "upload_batch string, bucket int, n long, size long")
+
+        def full(c: DataFrame) -> DataFrame:
+            last = c.groupBy("upload_batch", "bucket").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+            return last.groupBy("upload_batch").agg(F.sum("n").alias("n"), F.max("size").alias("size")).filter("size > 0 AND n >= size").select("upload_batch")
+        waiting = filed(held, "upload_batch string, opinion_id string").join(full(seen), "upload_batch", "left_semi")
+        before = full(seen.filter(F.col("batch") < batch_id)).withColumn("before", F.lit(True))
+        free = waiting.join(before, "upload_batch", "left").filter(F.col("before").isNull() | (F.col("batch") == batch_id))
+        free.select("upload_batch", "opinion_id").unionByName(passed).write.mode("overwrite").parquet(f"{released}/batch={batch_id}")
+    return _writer(changes, checkpoint, available_now).foreachBatch(write)
 
 
 def stream_daily_counts(rows: DataFrame, ts: str = "ts", key: str = "l2", lateness: str = "2 days") -> DataFrame:
@@ -119,17 +180,44 @@ def spikes(closed: DataFrame, days: int, min_count: int = 5, factor: float = 1.5
         "start", "l2", "current", "avg", F.round((F.col("current") - F.col("avg")) / F.greatest("avg", F.lit(1.0)) * 100, 1).alias("pct_change"))
 
 
+class RecentWindows(StatefulProcessor):
+    """State of one key: its closed windows of the last five periods, by their start in seconds. Gives a row for each spike as its
+    window closes."""
+    OUT = "start long, l2 string, current long, avg double, pct_change double"
+
+    def __init__(self, days: int, min_count: int, factor: float):
+        self.step, self.min_count, self.factor = days * 86_400, min_count, factor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.windows = handle.getListState("windows", "start long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ring = {start: n for start, n in self.windows.get()} if self.windows.exists() else {}
+        for start, n in sorted((r["start"], r["n"]) for r in rows):  # windows close in order; several may close at once
+            ring[start] = n
+            avg = sum(ring.get(start - k * self.step, 0) for k in range(1, 5)) / 4.0
+            ring = {s: c for s, c in ring.items() if s > start - 5 * self.step}
+            if n >= self.min_count and avg > 0 and n >= avg * self.factor:
+                yield Row(start=start, l2=key[0], current=n, avg=avg, pct_change=(n - avg) / max(avg, 1.0) * 100)
+        self.windows.put(sorted(ring.items()))
+
+    def close(self) -> None:
+        pass
+
+
 def stream_l2_spike(rows: DataFrame, target: str, checkpoint: str, days: int = 7, min_count: int = 5, factor: float = 1.5,
                     ts: str = "ts", key: str = "l2", available_now: bool = True) -> DataStreamWriter:
-    """Closed window counts into ``target/counts``; after each batch the spikes over all closed
-    windows (one row per window and key) into ``target/spikes``."""
+    """Spikes as their windows close, one folder per micro-batch in ``target/spikes``: closed window counts go into a ring of
+    five windows per key, so a micro-batch costs what closes in it. A NULL key counts as a key."""
     spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    closed = window_counts(rows, days, ts, key)
+    closed = closed.select(F.unix_seconds("start").alias("start"), "l2", "n")
+    found = closed.groupBy("l2").transformWithState(RecentWindows(days, min_count, factor), RecentWindows.OUT, "append", "none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/counts/batch={batch_id}")
-        closed = spark.read.parquet(f"{target}/counts").groupBy("start", "l2").agg(F.max("n").alias("n"))
-        spikes(closed, days, min_count, factor).write.mode("overwrite").parquet(f"{target}/spikes")
-    return _writer(window_counts(rows, days, ts, key), checkpoint, available_now).foreachBatch(write)
+        batch.withColumns({"start": F.timestamp_seconds("start"), "pct_change": F.round("pct_change", 1)}).write.mode("overwrite").parquet(f"{target}/spikes/batch={batch_id}")
+    return _writer(found, checkpoint, available_now).foreachBatch(write)
 
 
 def stream_dedupe(rows: DataFrame, body: str = "original_text", ts: str = "ts", within: str = "7 days") -> DataFrame:

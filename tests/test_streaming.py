@@ -81,6 +81,40 @@ def test_pending_reflow_releases_once(spark, tmp):
         run(jobs.stream_pending_reflow(stream(spark, src, spark.createDataFrame([], cols).schema), target, cp))
     got = sorted((r["upload_batch"], r["opinion_id"], r["batch"]) for r in spark.read.parquet(target + "/released").collect())
     assert got == [("", "n", 0), ("B", "a", 2), ("B", "b", 2)]
+    # A late row of a batch that was full before goes alone; the batch's earlier rows are not read out again.
+    drop(spark.createDataFrame([(7, "c", "B", 1, "x", 0, 2), (8, "n", "", 1, "x", 0, 0)], cols), src)
+    run(jobs.stream_pending_reflow(stream(spark, src, spark.createDataFrame([], cols).schema), target, cp))
+    more = sorted((r["upload_batch"], r["opinion_id"], r["batch"]) for r in spark.read.parquet(target + "/released").collect())
+    assert more == sorted(got + [("B", "c", 3)])
+
+
+def replay(cp):
+    """Takes back the commit of the last micro-batch, as if the driver had been lost before it."""
+    commits = os.path.join(cp, "commits")
+    last = str(max(int(f) for f in os.listdir(commits) if f.isdigit()))
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+
+
+def test_pending_reflow_of_many_batches_with_replays(spark, tmp):
+    cols = "id long, opinion_id string, upload_batch string, review_status int, review_l1 string, reflow_synced int, batch_size long"
+    size = {"hot": 300, "b/1 ü": 20, "c": 5, "open": 11}
+    rows = [(i, f"{b}-{i}", b, 1, "x" if i % 7 else "", int(i % 5 == 0), n) for b, n in size.items() for i in range(n - (b == "open"))]
+    rows += [(r[0], r[1], r[2], 1, "x", 0, r[6]) for r in rows if r[0] % 6 == 0]  # reviewed again, now due
+    rows += [(i, f"free{i % 4}", None, 1, "x", 0, None) for i in range(9)]
+    df = spark.createDataFrame(rows, cols)
+    src = os.path.join(tmp, "src")
+    for i in range(4):
+        drop(df.filter(F.pmod(F.xxhash64("opinion_id", "review_l1"), F.lit(4)) == i), src)
+    target, cp = os.path.join(tmp, "t"), os.path.join(tmp, "cp")
+    for _ in range(2):
+        run(jobs.stream_pending_reflow(stream(spark, src, df.schema), target, cp, buckets=8))
+        replay(cp)
+    run(jobs.stream_pending_reflow(stream(spark, src, df.schema), target, cp, buckets=8))
+    got = [(r["upload_batch"], r["opinion_id"]) for r in spark.read.parquet(target + "/released").collect()]
+    want = {(r["upload_batch"], r["opinion_id"]) for r in jobs.releasable(jobs.reviewed_rows(df)).collect()}
+    assert sorted(got) == sorted(want) and {b for b, _ in want} == {"", "hot", "b/1 ü", "c"}
 
 
 def test_daily_counts_drop_late_rows(spark, tmp):
@@ -106,6 +140,24 @@ def test_spikes(spark, tmp):
     assert [(r["l2"], r["current"], r["avg"], r["pct_change"]) for r in got] == [("x", 8, 2.0, 300.0)]
 
 
+def test_spikes_over_many_drops_equal_the_batch_form(spark, tmp):
+    base = dt.datetime(1970, 1, 1) + dt.timedelta(days=7 * 2800)
+    count = lambda k, w: (w * (k + 3) * 7 + k) % 9 + (6 if (w + k) % 6 == 0 else 0)
+    rows = [(base + dt.timedelta(days=7 * w, minutes=i), f"k{k}" if k else None) for w in range(14) for k in range(4) if (w + k) % 5 for i in range(count(k, w))]
+    df = spark.createDataFrame(rows + [(base + dt.timedelta(days=7 * 30), "end")], "ts timestamp, l2 string")
+    src = os.path.join(tmp, "src")
+    for lo, hi in ((0, 3), (3, 4), (4, 9), (9, 40)):
+        drop(df.filter((F.col("ts") >= base + dt.timedelta(days=7 * lo)) & (F.col("ts") < base + dt.timedelta(days=7 * hi))), src)
+    target, cp = os.path.join(tmp, "t"), os.path.join(tmp, "cp")
+    run(jobs.stream_l2_spike(stream(spark, src, df.schema), target, cp))
+    replay(cp)
+    run(jobs.stream_l2_spike(stream(spark, src, df.schema), target, cp))
+    got = sorted(tuple(r) for r in spark.read.parquet(target + "/spikes").drop("batch").fillna("-", ["l2"]).collect())
+    want = sorted(tuple(r) for r in jobs.spikes(jobs.window_counts(df, 7).filter("l2 IS NULL OR l2 <> 'end'"), 7).select(
+        "start", "l2", "current", "avg", "pct_change").fillna("-", ["l2"]).collect())
+    assert got == want and len(want) > 5
+
+
 def test_dedupe(spark, tmp):
     rows = [(1, "same text", dt.datetime(2024, 1, 1)), (2, "same  text", dt.datetime(2024, 1, 2)), (3, "other", dt.datetime(2024, 1, 2))]
     df = spark.createDataFrame(rows, "id long, original_text string, ts timestamp")
