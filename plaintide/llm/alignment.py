@@ -12,6 +12,7 @@ blocks and their distinct pairs, not with tokens; no task sees all pairs and non
 """
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
@@ -28,7 +29,8 @@ from plaintide.llm.common import look_up, table
 from plaintide.session import materialise
 
 BLOCK_TOKENS = 300_000
-MAX_REMEMBERED = 200_000  # words whose ids a task remembers
+MAX_REMEMBERED = 400_000  # words whose ids a task remembers
+CHUNK_CHARS = 500_000  # characters whose new words are encoded together
 NEAR = 8  # places on either side of the middle that are probed for all intervals side by side
 
 
@@ -52,6 +54,7 @@ class Coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
+        self.fast = self._fast(byte_level)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         alphabet = byte_alphabet()
         with open(byte_level, encoding="utf-8") as f:
@@ -74,30 +77,60 @@ class Coders:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def _both(self, text: str) -> tuple[bytes, bytes, bool]:
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        want = (" " + text).encode()
-        same = b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-        return struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b), same
-
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both for a space and the text; None if either does not stand for exactly these bytes."""
-        words = text.split(" ")
-        if not self.by_word or any(not w or w[0].isspace() for w in words):
-            got = [self._both(text)]
+    def _fast(self, path: str):
+        """The same vocabulary and merges in the quicker of the two libraries, if its file lies beside."""
+        ranks = os.path.splitext(path)[0] + ".tiktoken"
+        if not os.path.exists(ranks):
+            return None
+        import public_tokenizers
+        import tiktoken
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+        return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """For a space and each text: the ids of both as bytes, and whether both stand for exactly these bytes."""
+        if self.fast:
+            all_a = [self.fast.encode_ordinary(" " + t) for t in texts]
         else:
-            seen, got = self.seen, []
-            for w in words:
-                one = seen.get(w)
-                if one is None:
-                    one = self._both(w)
-                    if len(seen) < MAX_REMEMBERED and len(w) < 64:
-                        seen[w] = one
-                got.append(one)
-        if not all(x[2] for x in got):
-            if len(got) == 1 or not self._both(text)[2]:
-                return None
-        return np.frombuffer(b"".join([x[0] for x in got]), "<u4").astype(np.int64), np.frombuffer(b"".join([x[1] for x in got]), "<u4").astype(np.int64)
+            all_a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        for t, a, b in zip(texts, all_a, self.b.encode(texts, num_threads=1)):
+            want = (" " + t).encode()
+            same = b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
+            yield struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b), same
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both for a space and each text; None for the empty text and where either does not stand for exactly these bytes."""
+        lo, out = 0, []
+        while lo < len(texts):  # words of some texts at a time: as Python strings they take many times their bytes
+            hi, size = lo, 0
+            while hi < len(texts) and size < CHUNK_CHARS:
+                size, hi = size + len(texts[hi]), hi + 1
+            out += self._some(texts[lo:hi])
+            lo = hi
+        return out
+
+    def _some(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        split = [t.split(" ") if t else [] for t in texts]
+        for k, words in enumerate(split):
+            if not self.by_word or any([not w or w[0].isspace() for w in words]):
+                split[k] = [texts[k]] if texts[k] else []
+        seen = self.seen
+        new = list({w for words in split for w in words if w not in seen})
+        now = dict(zip(new, self._encode(new)))
+        out = []
+        for t, words in zip(texts, split):
+            got = [seen.get(w) or now[w] for w in words]
+            if not got or not all([x[2] for x in got]) and (len(got) == 1 or not next(self._encode([t]))[2]):
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join([x[side] for x in got]), "<u4").astype(np.int64) for side in (0, 1)))
+        for w, x in now.items():
+            if len(seen) >= MAX_REMEMBERED:
+                break
+            if len(w) < 64:
+                seen[w] = x
+        return out
 
 
 _coders: dict[tuple[str, str], Coders] = {}
@@ -120,7 +153,7 @@ def shared_groups(a: np.ndarray, b: np.ndarray, la: np.ndarray, ha: np.ndarray,
                 cut[todo[hit]] = i[hit]
             if (cut >= 0).all():
                 break
-        for k in np.flatnonzero(cut < 0):  # long stretches without a shared cut near the middle
+        for k in np.flatnonzero((cut < 0) & (ha - la > 2 * NEAR + 2)):  # long stretches without a shared cut near the middle
             inside = a[la[k]:ha[k] - 1]
             hits = np.flatnonzero(b[np.searchsorted(b, inside)] == inside)
             if len(hits):
@@ -131,8 +164,9 @@ def shared_groups(a: np.ndarray, b: np.ndarray, la: np.ndarray, ha: np.ndarray,
         leaves.append(np.stack([la, ha, lb, hb])[:, none])
         la, ha, lb, hb, cut = la[~none], ha[~none], lb[~none], hb[~none], cut[~none]
         other = np.searchsorted(b, a[cut])
-        la, ha = np.concatenate([la, cut + 1]), np.concatenate([cut + 1, ha])
-        lb, hb = np.concatenate([lb, other + 1]), np.concatenate([other + 1, hb])
+        # Halves stay side by side, so that all bisections of a round run through the ends in order.
+        la, ha = np.stack([la, cut + 1], 1).ravel(), np.stack([cut + 1, ha], 1).ravel()
+        lb, hb = np.stack([lb, other + 1], 1).ravel(), np.stack([other + 1, hb], 1).ravel()
     if not leaves:
         return (np.zeros(0, np.int64),) * 4
     out = np.concatenate(leaves, axis=1)
@@ -194,14 +228,17 @@ def align(coders: Coders, a_docs: list[np.ndarray], b_docs: list[np.ndarray]) ->
     for lo, hi in zip((stop - n_a - n_b).tolist(), stop.tolist()):
         groups.append("".join([coders.written[k] for k in merged[lo:hi].tolist()])[:-1])
     # Two tokens overlap in exactly one stretch between neighbouring ends of either side.
-    ends = np.union1d(a, b)
+    ends = np.sort(np.concatenate([a, b]), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
     left = np.searchsorted(a, ends)
     pair, doc = a_ids[left] * coders.n_b + b_ids[np.searchsorted(b, ends)], doc_of[left]
-    pairs, place = np.unique(pair, return_inverse=True)
-    key, times = np.unique(doc * max(1, len(pairs)) + place, return_counts=True)
-    at = key % max(1, len(pairs))
+    span = coders.n_a * coders.n_b
+    key = np.sort(doc * span + pair)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(key)))
+    pairs, at = np.unique(key[new] % span, return_inverse=True)
     return Aligned(n_a, n_b, n_groups, np.bincount(doc, minlength=n), groups, pairs, np.bincount(at, minlength=len(pairs)), at, times,
-                   np.bincount(key // max(1, len(pairs)), minlength=n))
+                   np.bincount(key[new] // span, minlength=n))
 
 
 def aligned_blocks(documents: DataFrame, byte_level: str, pieces: str, key: str, body: str, block_tokens: int) -> DataFrame:
@@ -222,12 +259,13 @@ def aligned_blocks(documents: DataFrame, byte_level: str, pieces: str, key: str,
                                               ["block", "ids", "n_a", "n_b", "n_groups", "n_links", "n_pairs", "sha", "pairs", "held", "at", "times"])
         for batch in it:
             id_type = batch.schema.field("id").type
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("body")):
-                text = text.as_py()
-                block.add(doc, coders.ids(text) if text else None)
-                if block.tokens >= block_tokens:
-                    yield done()
-                    block, count = Block(), count + 1
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for doc, pair in zip(part.column("id").to_pylist(), coders.ids(part.column("body").to_pylist())):
+                    block.add(doc, pair)
+                    if block.tokens >= block_tokens:
+                        yield done()
+                        block, count = Block(), count + 1
         if block.ids:
             yield done()
     return thin.mapInArrow(run, f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, n_pairs array<long>, "
@@ -243,10 +281,7 @@ def token_groups(documents: DataFrame, byte_level: str | None = None, pieces: st
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = _coders.get((byte_level, pieces)) or _coders.setdefault((byte_level, pieces), Coders(byte_level, pieces))
         for batch in it:
-            groups = []
-            for text in batch.column("body").to_pylist():
-                got = coders.ids(text) if text else None
-                groups.append(align(coders, [got[0]], [got[1]]).groups[0] if got else "")
+            groups = [align(coders, [got[0]], [got[1]]).groups[0] if got else "" for got in coders.ids(batch.column("body").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(groups, pa.string())], ["id", "groups"])
     return thin.mapInArrow(run, f"id {thin.schema['id'].dataType.simpleString()}, groups string").withColumnRenamed("id", key)
 
