@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plaintide.llm.common import arrow_map, held_out, mix64, table
+from plaintide.session import materialise
 
 ORDER = 4
 BITS = 16  # a symbol: 0 is a break, all others are UTF-16 units
@@ -203,18 +204,33 @@ def learn(sample: DataFrame, margin: float = 6.0, spare: float = 0.35) -> Langua
     return model
 
 
+MAX_BROADCAST_KEYS = 1_000_000
+
+
 def learning_sample(docs: DataFrame, admitted: Column, max_docs: int, key: str = "doc_id", body: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text): at most ``max_docs`` admitted rows of each language, those of the smallest hashes of the id. Rows are
-    first cut by a hash bound from their number, so that a language of any size is never sorted whole."""
-    pool = docs.filter(admitted & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("lang"))
-    pool = pool.withColumn("h", F.xxhash64("id"))
-    n = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
-    cut = F.lit(2.0 ** 63) * (F.lit(2.0) * (F.lit(1.5 * max_docs + 50) / F.col("n")) - 1)
-    first = pool.join(F.broadcast(n), "lang").filter(F.col("h") <= cut)  # hashes below what about 1.5 max_docs rows have
-    chosen = (first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= max_docs)
-              .select("id").distinct())
-    thin = docs.filter(admitted).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(body).alias("text"))
-    return thin.join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")  # at most max_docs ids a language
+    """(lang, text): of the admitted distinct (id, text) of each language the ``max_docs`` with the smallest hashes, or all if there
+    are fewer. Repeated rows count once; rows without text or language teach nothing; a NULL id is an id of its own.
+
+    Only ids and hashes are sorted, and of these only the ones below a hash bound from their number, so that a language of any
+    size is never sorted whole; while a language has fewer below its bound than it should, the bounds are widened.
+    """
+    rows = docs.filter(admitted & F.col(lang).isNotNull() & (F.length(body) > 0)).select(
+        F.col(lang).alias("lang"), F.xxhash64(key).alias("k"), F.xxhash64(F.col(body)).alias("t"), F.col(body).alias("text"))
+    pool = materialise(rows.groupBy("lang", "k", "t").agg(F.xxhash64("k", "t").alias("h")))
+    n = materialise(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # one row a language
+    wider = 1.5
+    while True:
+        share = F.least(F.lit(1.0), F.lit(wider * max_docs + 50) / F.col("n"))
+        below = pool.join(F.broadcast(n), "lang").filter((share >= 1) | (F.col("h") <= F.lit(2.0 ** 63) * (F.lit(2.0) * share - 1)))
+        found = below.groupBy("lang").agg(F.count(F.lit(1)).alias("found"))
+        if n.join(found, "lang", "left").filter(F.coalesce("found", F.lit(0)) < F.least("n", F.lit(max_docs))).isEmpty():
+            break
+        wider *= 4
+    order = Window.partitionBy("lang").orderBy("h", "k", "t")
+    chosen = materialise(below.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_docs).select("lang", "k", "t"))
+    few = chosen.count() <= MAX_BROADCAST_KEYS
+    got = rows.join(F.broadcast(chosen) if few else chosen, ["lang", "k", "t"], "left_semi")
+    return got.groupBy("lang", "k", "t").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, *keep: str, body: str = "text") -> DataFrame:

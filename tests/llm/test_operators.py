@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plaintide.llm import bcr, catalog, eliasfano, langid, mixing, multiindex, ngram, packing, rulefit, simhash, suffixes, textstats, trees, urlrules
@@ -239,7 +240,42 @@ def test_permutation(n):
 def test_shard_counts_keep_totals():
     due = np.array([5, 0, 70, 25])
     shards = list(mixing.shard_counts(due, 16, 3))
-    assert (sum(c for _, c in shards) == due).all() and all(c.sum() == 16 for _, c in shards[:-1])
+    assert (sum(c for _, c, _ in shards) == due).all() and all(c.sum() == 16 for _, c, _ in shards[:-1])
+    before = np.cumsum([c for _, c, _ in shards], axis=0)
+    assert [k for k, _, _ in shards] == list(range(7)) and all((f == (before[k - 1] if k else 0)).all() for k, _, f in shards)
+    # A task's own shards come out the same without the others.
+    for lo in range(0, 7, 2):
+        for (k, c, f), (k2, c2, f2) in zip(mixing.shard_counts(due, 16, 3, lo, lo + 2), shards[lo:]):
+            assert k == k2 and (c == c2).all() and (f == f2).all()
+
+
+def words_by_source(rows):
+    out = Counter()
+    for r in rows:
+        out[r["source"]] += len(words(r["text"]))
+    return out
+
+
+@pytest.mark.parametrize("case", ["two sources", "equal rows", "one id"])
+def test_mix_of_rows_that_share_id_or_text(spark, case):
+    text = "concat_ws(' ', transform(sequence(1, 128), i -> concat('w', i * 7)))"
+    if case == "two sources":  # equal ids and texts in two sources
+        docs = spark.range(400).selectExpr("floor(id / 2) AS doc_id", f"{text} AS text", "if(id % 2 = 0, 'a', 'b') AS source", "'en' AS lang", "1L AS n_chars")
+    elif case == "equal rows":
+        docs = spark.range(20_000).selectExpr("if(id < 19000, 1, id) AS doc_id", f"{text} AS text", "if(id < 19500, 'a', 'b') AS source", "'en' AS lang", "1L AS n_chars")
+    else:
+        docs = spark.range(6000).selectExpr("5L AS doc_id", "concat('t', id, ' ', " + text + ") AS text", "if(id % 2 = 0, 'a', 'b') AS source", "'en' AS lang", "1L AS n_chars")
+    plan = mixing.words_taken(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    mixed = mixing.mixed_documents(docs).select("source", F.size(F.split("text", r"\s+")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in mixed} == {r["source"]: r["n"] for r in plan}
+    assert all(abs(r["n"] - r["t"]) <= max(0.05 * r["t"], 200) and r["most"] <= 2 for r in plan)
+
+
+def test_mix_of_many_small_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'a b c d e f' AS text", "concat('s', lpad(id, 5, '0')) AS source", "'en' AS lang", "1L AS n_chars")
+    got = mixing.words_taken(docs).collect()
+    assert abs(sum(r["taken"] for r in got) - 27_000) < 270
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got)
 
 
 # 5: language
@@ -480,3 +516,15 @@ def test_stats_of_a_text():
     assert textstats.document_stats(b"")[:5] == (0, 0, 0, 0, 0)
     assert textstats.document_stats("é é\né é\n#".encode())[:5] == (5, 5, 1, 1, 0)
     assert textstats.document_stats(b"a b c d e x a b c d e")[4] == 10
+
+
+def test_learning_sample_of_skewed_ids(spark):
+    """One id on all rows of a language, on half of another, NULL ids, masses of equal rows: no language is lost, none exceeds its share."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 77 WHEN id % 3 = 1 THEN if(id % 2 = 0, 5, id) END AS doc_id",
+                                        "concat('text ', id) AS text", "CASE id % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE 'nl' END AS lang")
+    same = spark.range(3000).selectExpr("id AS doc_id", "'one text' AS text", "'en' AS lang")
+    equal = spark.range(3000).selectExpr("9L AS doc_id", "'equal' AS text", "'es' AS lang").unionByName(spark.createDataFrame([(1, "", "es"), (2, None, "es"), (3, "x", None)], "doc_id long, text string, lang string"))
+    got = langid.learning_sample(rows.unionByName(same).unionByName(equal), F.lit(True), 150)
+    assert {r["lang"]: r["n"] for r in got.groupBy("lang").agg(F.count("text").alias("n")).collect()} == {"fr": 150, "de": 150, "nl": 150, "en": 150, "es": 1}
+    again = langid.learning_sample(rows.unionByName(same).unionByName(equal), F.lit(True), 150)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
