@@ -9,6 +9,7 @@ from plaintide.functions import labels
 from plaintide.functions.common import all_of, filled
 from plaintide.functions.dates import event_time, region_bucket, report_event_day
 from plaintide.functions.text import preview
+from plaintide.operators.paging import By, page_rows
 from plaintide.schema import LOW_CONFIDENCE_BELOW
 
 
@@ -85,15 +86,15 @@ def review_rows(df: DataFrame, ids: DataFrame | None = None, **conditions) -> Da
 
 def review_list(df: DataFrame, page: int = 1, size: int = 20, preview_chars: int = 420,
                 ids: DataFrame | None = None, **conditions) -> DataFrame:
-    """One page, newest first, with the total over all pages on each row."""
-    page, size = max(1, page), max(1, size)
+    """One page, newest first, with the total over all pages on each row. Rows are counted by ranges of their time, and only
+    the page's own range is sorted (see ``page_rows``)."""
     rows = review_rows(df, ids, **conditions)
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     short, cut = preview("original_text", preview_chars)
-    return (rows.orderBy(F.desc("create_time"), F.desc("opinion_id"), F.desc("id")).offset((page - 1) * size).limit(size)
-            .select("opinion_id", "source", "create_time", "upload_batch", "review_status", "review_l1", "review_l2",
+    order = [By("create_time", True, (4, 7, 10, 13, 16, 19)), By("opinion_id", True), By("id", True)]
+    got, total = page_rows(rows, order, max(1, page), max(1, size))
+    return (got.select("opinion_id", "source", "create_time", "upload_batch", "review_status", "review_l1", "review_l2",
                     "v3_l1", "v3_l2", short.alias("original_text"), cut.alias("original_text_truncated"),
-                    labels.list_canonical_l1().alias("canonical_l1"), total.alias("total")))
+                    labels.list_canonical_l1().alias("canonical_l1"), F.lit(total).cast("long").alias("total")))
 
 
 def report_window(df: DataFrame, day_from: str, day_to: str, region: str = "all") -> DataFrame:

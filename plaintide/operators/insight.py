@@ -10,6 +10,7 @@ from plaintide.functions.insight import with_insight_fields
 from plaintide.functions.meta import json_get
 from plaintide.functions.text import mask_phone, mask_vin, model_name
 from plaintide.operators.keyed import pick_per_key
+from plaintide.operators.paging import By, page_rows
 from plaintide.packs import insight as pk
 
 FALLBACK_THEME = ("T99", "其他-待归类")
@@ -274,8 +275,8 @@ def theme_opinions(rows: DataFrame, theme_id: str, page: int = 1, size: int = 20
     mine = theme_detail_rows(rows, theme_id, chars)
     if reviewed_only is not None:
         mine = mine.filter(F.col("reviewed") == reviewed_only)
-    total = mine.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return mine.withColumn("total", total).orderBy("id").offset((page - 1) * size).limit(size)
+    got, total = page_rows(mine, [By("id")], page, size)
+    return got.withColumn("total", F.lit(total).cast("long"))
 
 
 def theme_detail_rows(rows: DataFrame, theme_id: str | None = None, chars: int = 300) -> DataFrame:
