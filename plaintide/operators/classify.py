@@ -9,6 +9,7 @@ from plaintide.functions import labels
 from plaintide.functions.common import any_of, filled, squeeze, strip, text
 from plaintide.functions.meta import is_json_object, json_get
 from plaintide.operators import rules as R
+from plaintide.operators.signals import decision
 from plaintide.packs import labels as lp
 from plaintide.schema import LOW_CONFIDENCE_BELOW
 
@@ -93,13 +94,13 @@ def l2_whitelist_guard(df: DataFrame, whitelist: DataFrame, pack: Mapping, body:
                        "confidence": F.when(F.col("l2_consult_guard"), F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")),
                        "needs_review": F.col("needs_review") | F.col("l2_consult_guard")}).drop("_to")
     j = capture_code(j, body, pack)
-    cap = ~F.col("_skip") & F.col("capture").startswith("eligible")
+    cap = ~F.col("_skip") & F.col("capture_ok")
     j = j.withColumn("positive_capture", cap)
     c = F.col("positive_capture")
     return j.withColumns({"l1": F.when(c, lp.NON_ISSUE).otherwise(F.col("l1")), "l2": F.when(c, "").otherwise(F.col("l2")),
                           "confidence": F.when(c, F.greatest("confidence", F.lit(0.85))).otherwise(F.col("confidence")),
                           "needs_review": F.col("needs_review") & ~c, "l2_consult_guard": F.col("l2_consult_guard") & ~c,
-                          "l2_whitelist_reject": F.col("l2_whitelist_reject") & ~c}).drop("_skip", "capture")
+                          "l2_whitelist_reject": F.col("l2_whitelist_reject") & ~c}).drop("_skip", "capture", "capture_ok")
 
 
 def relocate(t: Column, pack: Mapping) -> Column:
@@ -117,26 +118,12 @@ def rule_conflict(l1: Column, body: Column, conflicts: Sequence[Mapping], groups
 
 def capture_code(df: DataFrame, body: str, pack: Mapping) -> DataFrame:
     """Adds ``capture``: the first blocking reason, else the first eligible reason, else
-    ``no_capture_pattern``. Length caps count characters without white space."""
-    t = strip(body)
-    d = df.withColumns({"_t": t, "_n": F.length(squeeze(F.col(body)))})
-    t, n = F.col("_t"), F.col("_n")
-    cases = [(t == "", "empty_text")]
-    for b in pack["capture_blockers"]:
-        cond = R.has(t, b["pattern"])
-        if b.get("domain"):
-            cond = cond & R.has(t, b["domain"])
-        if b.get("unless"):
-            cond = cond & ~R.has(t, b["unless"])
-        cases.append((cond, "blocked:" + b["code"]))
-    for e in pack["capture_eligible"]:
-        cond = R.has(t, e["pattern"])
-        if e.get("also"):
-            cond = cond & R.has(t, e["also"])
-        if e.get("max_chars"):
-            cond = (n <= e["max_chars"]) & cond
-        cases.append((cond, "eligible:" + e["code"]))
-    return d.withColumn("capture", R.ordered_case(cases, "no_capture_pattern")).drop("_t", "_n")
+    ``no_capture_pattern``; and ``capture_ok``, whether the text counts as plain praise or question.
+
+    All patterns of the pack's decision list are looked for in one reading of the text (see ``operators.signals``).
+    """
+    d = df.withColumn("_cap", decision(pack["capture"])(strip(F.coalesce(F.col(body), F.lit("")))))
+    return d.withColumns({"capture": F.col("_cap.code"), "capture_ok": F.col("_cap.eligible")}).drop("_cap")
 
 
 def capture_summary(df: DataFrame, body: str, pack: Mapping) -> DataFrame:
@@ -161,7 +148,7 @@ def guard_chain(df: DataFrame, pack: Mapping, body: str = "original_text", sourc
     p = pack["guard"]
     sig = {f"_g_{k}": R.has(t, v) for k, v in p["signals"].items()}
     d = df.withColumns(sig).withColumn("_dom_l2", _domain_l2(t, pack))
-    d = capture_code(d, body, pack).withColumn("_eligible", F.col("capture").startswith("eligible"))
+    d = capture_code(d, body, pack).withColumnRenamed("capture_ok", "_eligible")
     g = lambda k: F.col(f"_g_{k}")
     d = d.withColumns({"_service_l2": R.ordered_case([(R.has(t, x), y) for x, y in p["service_l2"]], p["service_l2_default"]),
                        "_product_l2": F.coalesce(F.nullif("_dom_l2", F.lit("")), R.ordered_case([(R.has(t, x), y) for x, y in p["product_l2"]], p["product_l2_default"])),

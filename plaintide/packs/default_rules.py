@@ -1,7 +1,8 @@
 """Default classification pack: word lists, ordered patterns and thresholds. Fixed values throughout.
 
-The pattern set of the capture and guard stages is the general part; a deployment extends the lists.
+The capture stages are in ``packs/capture.py``.
 """
+from plaintide.packs.capture import CAPTURE, SIGNALS
 from plaintide.packs.labels import EXPERIENCE, NON_ISSUE, PRODUCT, SERVICE
 
 DENY = (
@@ -153,13 +154,7 @@ CONFLICT_GROUPS = {
                 "换电站", "电池包", "电芯", "电控", "电压", "续航缩水", "续航虚标", "严重故障", "质量缺陷", "工艺缺陷", "安全隐患", "卡死", "花屏", "失灵",
                 "失效"),
 }
-NEGATIVE = (r"(故障|异常|失灵|失效|坏了|无法|不能用|不能充|充不进|充不了|黑屏|死机|卡顿|异响|抖动|漏液|漏水|漏油|断连|烧|(?<![滚])烫(?!金|印)|"
-            r"投诉|不满意|抱怨|吐槽|失望|糟糕|太差|很差|服务差|态度差|售后差|售后慢|售后不靠谱|难用|诉求|维权|索赔|退款|退费|退订|退换|赔偿|"
-            r"推诿|敷衍|忽悠|欺骗|被坑|被骗|被忽悠|被推诿|拖延|拖了|不理|没人理|没处理|未处理|未解决|没解决|没回复|无回复|无人处理|"
-            r"问题反馈|反馈问题|反映问题|希望解决|希望处理|希望改善|要求处理|"
-            r"希望尽快解决|希望尽快处理|希望尽快回复|希望尽快修好|希望尽快弄好|必须解决|尽快解决|不给解决|多次反映|多次投诉|"
-            r"难受|郁闷|气愤|愤怒|无语|崩溃|心累|失望透顶|无奈|扣分|扣钱|乱收费|多收费|加价|不退|不换|不修|报警|告警|报错|bug|警告|提示错误|"
-            r"售后糟|品控差|工艺差|做工差|品质瑕疵|希望官方|请尽快|强烈要求|要求退换)")
+NEGATIVE = SIGNALS["hard_negative"]
 RELOCATE = [
     ("售后|维修|保养|质保|备件|代步|道路救援|售后慢|售后差|进店检修|服务门店|回访|理赔", SERVICE, "售后服务问题"),
     ("销售|销售顾问|顾问|门店|客服|接待|试驾|意向金|购车|下定|订单|展厅|价格", SERVICE, "销售服务问题"),
@@ -172,34 +167,10 @@ RELOCATE = [
     ("异响", PRODUCT, "异响问题"),
     ("建议|希望|期望|增加|优化|改进|完善", EXPERIENCE, "OTA建议"),
 ]
-DOMAIN = (r"(lfc|极充|超充|闪充|家充|充电站|充站|充电桩|充电枪|占位费|超时占位|充电功率|功率只有|跳枪|地锁|异位充电|公共充电|自动闪充|"
-          r"家充桩|充桩|电缆米数|充完电|驶离|闪充站|超充站|极充站)")
-DOMAIN_COMPLAINT = (r"(不认可|投诉|跳枪|充不进|充不了|无法充|不能充|充不上|功率只有|功率低|功率不足|功率异常|充电慢|充得慢|太慢|"
-                    r"地锁无|无下一步|无反应|故障|坏了|异常|占位费.{0,8}(贵|高|不合理|不该|投诉|多收)|超时占位|占位费不认可|扣费|多扣|烧|(?<![滚])烫(?!金|印))")
-DOMAIN_CONSULT = (r"(咨询|询问|请问|问一下|想了解|了解一下|了解|打听|什么时候|何时|多久|到货|安装|价格|费用|有没有|是否有|能否|是否可以|"
-                  r"怎么|如何|想知道|问问|是否支持|能不能|购买|需要购买|想买|迁移家充|家充桩套保|自费购买|报装|电表|勘测|安装进度|开通|激活|绑定|申请|"
-                  r"使用说明|操作流程|权益|免费)")
-SERVICE_ISSUE = r"(讲解少|体验不良|试驾体验不良|回访.*少|不良|不满意|不认可|还没.*了解的多|多次催促|再次催促)"
-NEGATED_PRAISE = (r"(不|没|未|无|(?<![特])别(?![人特])|并非|不是很|不太|不够|缺少)(?:太|很|太)?"
-                  r"(?:好|棒|满意|喜欢|开心|愉快|舒服|专业|耐心|认可|赞)")
-PRAISE_WIDE = (r"(表扬|点赞|不错|给力|感谢|谢谢|多谢|好评|认可|夸赞|赞一个|诚意满满|精致|太好看了|太爱了|礼盒|越来越好|很高兴认识你|提车大吉|"
-               r"满意|挺好|很好|不赖|很棒|超棒|靠谱|专业|贴心|高效|及时|推荐|五星|完美|nice|good|热情|耐心|细致|周到|用心|敬业|负责|尽职|细心|温馨|友好|和善|亲切|"
-               r"透彻|到位|清晰|讲解清楚|讲得好|讲明白|惊喜|超预期|超出预期|超值|划算|放心|安心|棒极了|棒棒的|赞|很赞|大赞|顶|过硬|出色|"
-               r"体验真的满分|真心推荐|省时省力|让人很放心|良好体验|体验很好|体验不错|体验棒|服务很好|服务不错)")
-QUERY_WIDE = (r"(咨询|询问|请教|请问|问一下|问问|想问一下|想问|想了解|了解一下|了解下|了解|打听|看看|了解情况|咨询一下|保养|取送|上门保养|需要保养|解押|什么时候挪|超时占位费|"
-              r"想试驾|想试|预约试驾|预约|想要一辆|想买|想入|何时上市|什么时候上市|何时发布|什么时候发布|何时交付|什么时候交付|价格表|配置表|参数表|有没有|是否有|是否能|"
-              r"报装|电表|勘测|进度|怎么查|如何查询|查询|核实|确认一下|问一下情况|怎么开启|怎么解决|大家都怎么|再次来电|取消预约|需不需要|是不是|会打开吗|"
-              r"能不能|可不可以|咋办|怎么办)")
-ANNOUNCEMENT = (r"(正式发布|新品发布|发布会|开启预售|开启预订|开启交付|权益公布|价格公布|官宣|官方公布|上市发布|首发|车展亮相|发布价格|发布预售|新车上市)")
-CAPTURE_BLOCKERS = [
-    {"code": "hard_negative", "pattern": NEGATIVE}, {"code": "negation", "pattern": NEGATED_PRAISE},
-    {"code": "lfc_charging_complaint", "pattern": DOMAIN_COMPLAINT, "domain": DOMAIN},
-    {"code": "lfc_charging_domain", "pattern": DOMAIN, "unless": f"{DOMAIN_CONSULT}|{QUERY_WIDE}|[?？]|吗|呢"},
-    {"code": "srv_quality_issue", "pattern": SERVICE_ISSUE}]
-CAPTURE_ELIGIBLE = [
-    {"code": "short_benign", "pattern": PRIORITY[0]["parts"][0], "max_chars": 15},
-    {"code": "praise", "pattern": PRAISE_WIDE}, {"code": "neutral_query", "pattern": QUERY_WIDE},
-    {"code": "announcement", "pattern": ANNOUNCEMENT}, {"code": "lfc_consult", "pattern": DOMAIN_CONSULT, "also": DOMAIN}]
+DOMAIN = SIGNALS["lfc_charging_domain"]
+DOMAIN_COMPLAINT = SIGNALS["lfc_charging_complaint"]
+DOMAIN_CONSULT = SIGNALS["lfc_charging_consult"]
+SERVICE_ISSUE = SIGNALS["srv_quality_issue"]
 DOMAIN_L2 = {
     "vehicle_l2": "车端充电问题", "station_l2": "LFC问题",
     "vehicle_side": r"充电功率低|功率只有|功率过低|预约充电.{0,10}(不充电|未充电|没有开始)|车辆.{0,8}(充不进|无法充电)|车端充电",
@@ -308,6 +279,6 @@ L2_ALIASES = {"咨询表扬": "咨询与表扬", "咨询": "咨询与表扬", "
 
 PACK = dict(priority=PRIORITY, scores=SCORES, routes=ROUTES, route_default={NON_ISSUE: "其他非问题"}, symptoms=SYMPTOMS, weak=WEAK, conflicts=CONFLICTS,
             conflict_groups=CONFLICT_GROUPS, negative=NEGATIVE, consult_l2="咨询与表扬", relocate=RELOCATE, relocate_default=(PRODUCT, "故障-通用"),
-            capture_blockers=CAPTURE_BLOCKERS, capture_eligible=CAPTURE_ELIGIBLE, domain_l2=DOMAIN_L2, guard=GUARD, facilities=FACILITIES, triggers=TRIGGERS,
+            capture=CAPTURE, domain_l2=DOMAIN_L2, guard=GUARD, facilities=FACILITIES, triggers=TRIGGERS,
             weights=WEIGHTS, non_issue=("表扬", "感谢", "好评", "无故障", "没问题"), non_issue_negations=("不是非问题", "不算非问题"),
             boundary_words=BOUNDARY, boundary=BOUNDARY["boundary"], mixed=BOUNDARY["mixed"])

@@ -44,8 +44,10 @@ GUARD = {"signals": dict(issue="tion", exempt="zz|ndnd", negative="ment", produc
          "experience_l2_default": "L2-2", "story_source": "web|s1", "context_keep": {E: ("L2-2",), P: ("L2-2",), S: ("L2-4",)}}
 PACK = dict(priority=PRIORITY, scores=SCORES, routes=ROUTES, route_default={N: "L2-0"}, symptoms=SYMPTOMS, weak=WEAK, conflicts=CONFLICTS, conflict_groups=CONFLICT_GROUPS,
             negative="ment", consult_l2="L2-3", relocate=[("ouelle", S, "L2-3"), ("eau", P, "L2-1"), ("lich", E, "L2-2")], relocate_default=(P, "L2-0"),
-            capture_blockers=[dict(code="neg", pattern="schsch|ndnd"), dict(code="dom", pattern="ouou", domain="re"), dict(code="open", pattern="paier", unless="le")],
-            capture_eligible=[dict(code="short", pattern="the|le", max_chars=300), dict(code="praise", pattern="thank|éeauaux"), dict(code="ask", pattern="icht", also="der")],
+            capture=dict(
+                signals=dict(neg="schsch|ndnd", dom="ouou", dom_also="re", open="paier", open_unless="le", short="the|le", praise="thank|éeauaux", ask="icht", ask_also="der"),
+                terms=dict(in_dom=("all", "dom", "dom_also")), blocked=[("neg", "neg"), ("dom", "in_dom"), ("open", ("all", "open", ("not", "open_unless")))],
+                eligible=[("short", ("max", 300, "short")), ("praise", "praise"), ("ask", ("all", "ask", "ask_also"))]),
             domain_l2=dict(vehicle_l2="L2-2", station_l2="L2-1", vehicle_side="mentre", supplier="qq", inquiry="zzz", strong_fault="yy", station_fault="eauou", station="ationou"),
             guard=GUARD, facilities=("eau", "ung"), triggers=("tionou", "ndnd"), non_issue=("zzz", "merci", "thank", "schsch"), non_issue_negations=("la la", "die die"),
             weights=[("产品质量问题", 10, ("tion", "ment")), ("销售服务问题", 5, ("lich", "pour", "with", "ther")), ("体验需求", 8, ("avec", "und")), ("产品咨询", 3, ("que", "of", "der", "la", "on"))],

@@ -107,7 +107,7 @@ def test_default_context_tables(spark):
             ("release_words", "需要联系，OTA", "别的", 0)]
     l1 = {"pickup": lp.SERVICE, "release_words": lp.EXPERIENCE}
     df = spark.createDataFrame([(k, t, l1.get(k, lp.PRODUCT), l2) for k, t, l2, _ in rows], "opinion_id string, original_text string, l1 string, l2 string")
-    got = {r["opinion_id"]: r for r in C.guard_chain(df.withColumn("source", F.lit("tel")), PACK | {"capture_eligible": []}).collect()}
+    got = {r["opinion_id"]: r for r in C.guard_chain(df.withColumn("source", F.lit("tel")), PACK | {"capture": PACK["capture"] | {"eligible": []}}).collect()}
     assert {k: int(got[k]["f_context"]) for k, _, _, _ in rows} == {k: want for k, _, _, want in rows}
 
 
