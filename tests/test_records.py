@@ -75,13 +75,13 @@ def default_dims(spark):
 
 
 def test_default_pack_end_to_end(spark):
-    rows = [(1, "车机黑屏，多次投诉没有处理", 0), (2, "感谢门店小李", 0), (3, "", 0), (4, "闪充站坏了", 1), (5, "希望增加座椅功能", 0)]
+    rows = [(1, "车机黑屏，多次投诉没有处理", 0), (2, "感谢门店小李", 0), (3, "", 0), (4, "闪充站坏了", 1), (5, "希望座椅功能能再多一些", 0), (6, "希望增加座椅功能", 0)]
     df = spark.createDataFrame(rows, "id long, original_text string, review_status int").withColumn("opinion_id", F.col("id").cast("string"))
     out = {r["id"]: r for r in M.batch_classify(df, PACK, *default_dims(spark)).collect()}
     assert out[1]["v3_l1"] == lp.PRODUCT and out[1]["v3_l2"] == "座舱问题"
     assert out[3]["v3_l1"] == "" and out[3]["v3_match_type"] == "none"
     assert out[4]["review_status"] == 1 and out[4]["v3_l2"] == "LFC问题"
-    assert out[5]["v3_l1"] == lp.EXPERIENCE
+    assert out[5]["v3_l1"] == lp.EXPERIENCE and out[6]["v3_l1"] == lp.NON_ISSUE  # a soft wish for more is captured
     assert all(meta_ok(r["v3_label_meta"]) for r in out.values())
 
 
