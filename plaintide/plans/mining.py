@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plaintide.functions import labels
 from plaintide.functions.common import dim
 from plaintide.functions.text import keyword_tokens
-from plaintide.operators import keywords as kwd, mining as mn, similarity as sim, taxonomy as tx
+from plaintide.operators import hooks, keywords as kwd, mining as mn, similarity as sim, taxonomy as tx
 from plaintide.packs import labels as lp
 from plaintide.plans import duck as q
 from plaintide.plans.fixture import opinion, table
@@ -67,18 +67,28 @@ def _(spark, d):
     return mn.cooccur_rank(docs(spark, d)).select("lang", "word", F.round("score", 4).alias("score"))
 
 
-@query("hashing_embedding", f"""
+EMBEDDED = f"""
 WITH t AS (SELECT doc_id, {q.sq('lower(text)')} AS t0 FROM documents), p AS (SELECT doc_id, CASE WHEN length(t0) < 3 THEN substr(t0 || '···', 1, 3) ELSE t0 END AS t FROM t),
  g AS (SELECT doc_id, t, unnest(generate_series(1, length(t) - 2)) AS i FROM p), h AS (SELECT doc_id, right(md5(substr(t, i, 3)), 4) AS x FROM g),
  c AS (SELECT doc_id, ('0x' || right(x, 2))::INT AS dim, sum(CASE WHEN (('0x' || left(x, 2))::INT & 1) = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY 1, 2),
  n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM c GROUP BY 1)
-SELECT c.doc_id, count(*) AS nnz, round(sum(CASE WHEN dim < 8 THEN v / n ELSE 0 END), 6) AS head, round(sum(v / n * dim), 4) AS weighted FROM c JOIN n ON c.doc_id = n.doc_id WHERE v <> 0 GROUP BY 1""", needs_opinion=False)
+SELECT c.doc_id, count(*) AS nnz, round(sum(CASE WHEN dim < 8 THEN v / n ELSE 0 END), 6) AS head, round(sum(v / n * dim), 4) AS weighted FROM c JOIN n ON c.doc_id = n.doc_id WHERE v <> 0 GROUP BY 1"""
+
+
+@query("hashing_embedding", EMBEDDED, needs_opinion=False)
 def _(spark, d):
     e = sim.hashing_embedding(docs(spark, d))
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.round(F.sum(F.when(F.col("dim") < 8, F.col("value")).otherwise(0.0)), 6).alias("head"),
                                    F.round(F.sum(F.col("value") * F.col("dim")), 4).alias("weighted"))
 
 
+@query("embed_model", EMBEDDED, needs_opinion=False)
+def _(spark, d):
+    v = hooks.embed(docs(spark, d), body="text").select("doc_id", F.posexplode("vector").alias("dim", "value")).filter("value <> 0")
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.round(F.sum(F.when(F.col("dim") < 8, F.col("value")).otherwise(0.0)), 6).alias("head"),
+                                   F.round(F.sum(F.col("value") * F.col("dim")), 4).alias("weighted"))
+
+
 @query("similar_pairs", """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 5) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4""",
        needs_opinion=False)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import labels
 from plaintide.functions.dates import event_time
-from plaintide.operators import evaluate as ev, trainset as ts
-from plaintide.packs import labels as lp
+from plaintide.operators import evaluate as ev, hooks, trainset as ts
+from plaintide.packs import labels as lp, prose
 from plaintide.plans import duck as q
 from plaintide.plans.fixture import AS_OF, opinion, table
 from plaintide.plans.registry import query
@@ -168,6 +168,22 @@ def _(spark, d):
     return ev.ab_compare(hold, F.col("v3_l1"), F.col("model_class"))
 
 
+KEYED = "CASE WHEN mx = 0 THEN '' " + " ".join(f"WHEN s{i} = mx THEN '{c}'" for i, (c, _, _) in enumerate(prose.PACK["weights"])) + " END"
+WEIGHED = ", ".join(f"{w} * ({' + '.join(f'contains(lower(original_text), {chr(39)}{x.lower()}{chr(39)})::INT' for x in ws)}) AS s{i}" for i, (_, w, ws) in enumerate(prose.PACK["weights"]))
+
+
+@query("ab_compare_model", f"""
+WITH s AS (SELECT *, {WEIGHED} FROM opinion WHERE review_status = 1 AND id % 10 IN (3, 7)), m AS (SELECT *, greatest({', '.join(f's{i}' for i in range(len(prose.PACK['weights'])))}) AS mx FROM s),
+ h AS (SELECT {q.canon_b('review_l1')} AS h, {q.canon_b('v3_l1')} AS b, {q.canon_b('guess')} AS k FROM (SELECT *, {KEYED} AS guess FROM m)),
+ a AS (SELECT count(*) FILTER (WHERE b <> '') AS baseline_total, count(*) FILTER (WHERE b = h) AS baseline_correct, count(*) FILTER (WHERE k <> '') AS candidate_total, count(*) FILTER (WHERE k = h) AS candidate_correct FROM h WHERE h <> ''),
+ p AS (SELECT *, {q.pct('baseline_correct', 'baseline_total')} AS baseline_pct, {q.pct('candidate_correct', 'candidate_total')} AS candidate_pct FROM a)
+SELECT *, round(candidate_pct - baseline_pct, 2) AS delta_pp, round(candidate_pct - baseline_pct, 2) >= 2.0 AS candidate_beats FROM p""")
+def _(spark, d):
+    hold = opinion(spark, d).filter(labels.is_reviewed() & (F.col("id") % 10).isin(3, 7)).select("original_text", "review_l1", "v3_l1")
+    asked = hooks.apply_model(hold, hooks.keyword_model(prose.PACK))
+    return ev.ab_compare(asked, F.col("v3_l1"), F.col("prediction"))
+
+
 def _chars(x: str) -> str:
     return f"list_distinct(list_filter(string_split({x}, ''), lambda c: c <> ''))"
 
