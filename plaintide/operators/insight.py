@@ -1,6 +1,9 @@
 """Themes with evidence, recurrence, shifts, concentration and life cycles across records."""
 from __future__ import annotations
 
+from functools import reduce
+from typing import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions import labels
@@ -12,6 +15,7 @@ from plaintide.functions.text import mask_phone, mask_vin, model_name
 from plaintide.operators.keyed import pick_per_key
 from plaintide.operators.paging import By, page_rows
 from plaintide.packs import insight as pk
+from plaintide.session import materialise
 
 FALLBACK_THEME = ("T99", "其他-待归类")
 FIELDS = ("intent", "expected_action", "severity", "urgency", "repeat_signal", "root_cause_hint")
@@ -142,15 +146,30 @@ def recurrence(rows: DataFrame, entity: str = "vin", window_days: int = 30) -> D
                       F.round(F.col("_span") / F.col("_gaps"), 2).alias("mean_days_to_repeat"), "unresolved_backlog")
 
 
-def intent_shift(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Share of escalations among fault, help and escalation per L2, against the previous period."""
-    def rates(df: DataFrame, name: str) -> DataFrame:
-        esc = count_when(F.col("intent") == "投诉升级")
-        base = count_when(F.col("intent").isin("投诉升级", "报障", "求助"))
-        return (df.filter(filled("l2") & (F.coalesce("intent", F.lit("")) != "")).groupBy("l2")
-                .agg((esc / F.greatest(base, F.lit(1))).alias(name)))
-    j = rates(current, "c").join(rates(previous, "p"), "l2", "full")
-    j = j.select("l2", F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("p", F.lit(0.0)).alias("p"))
+def period_cells(rows: DataFrame, keys: Sequence[str], time: str = "event_ts") -> DataFrame:
+    """(keys, age, n): rows counted by the keys and by their age, in days begun since the newest row; NULL for rows without a
+    time. One scan for the newest time and one for the cells, from which any window of whole days is then read."""
+    newest = rows.agg(F.max(time).alias("m")).scalar()
+    age = F.ceil((F.unix_micros(newest) - F.unix_micros(time)) / F.lit(86_400_000_000.0)).cast("int")
+    return materialise(rows.groupBy(*keys, age.alias("age")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def in_window(days: int, back: int = 0) -> Column:
+    """Whether a cell lies in the ``days`` that end at the newest row (rows without a time too, as in ``split_windows``), or with
+    ``back`` in the days before them."""
+    n = max(days, 1)
+    return F.col("age").isNull() | (F.col("age") <= n - 1) if not back else F.col("age").between(n, n - 1 + n)
+
+
+def intent_shift(cells: DataFrame, days: int = 30) -> DataFrame:
+    """Share of escalations among fault, help and escalation per L2, against the previous period; from ``period_cells`` by l2 and
+    intent."""
+    def rate(window: Column) -> Column:
+        esc = F.sum(F.when(window & (F.col("intent") == "投诉升级"), F.col("n")).otherwise(0))
+        base = F.sum(F.when(window & F.col("intent").isin("投诉升级", "报障", "求助"), F.col("n")).otherwise(0))
+        return esc / F.greatest(base, F.lit(1))
+    now, before = in_window(days), F.coalesce(in_window(days, 1), F.lit(False))
+    j = (cells.filter(filled("l2") & (F.coalesce("intent", F.lit("")) != "") & (now | before)).groupBy("l2").agg(rate(now).alias("c"), rate(before).alias("p")))
     return j.select("l2", F.round("c", 4).alias("escalation_rate"), F.round("p", 4).alias("prev_rate"),
                     F.round((F.col("c") - F.col("p")) * 100, 1).alias("delta_pp")).orderBy(
         F.desc(F.abs("delta_pp")), F.desc("escalation_rate"), F.asc("l2"))
@@ -166,22 +185,26 @@ def expectation_unmet(rows: DataFrame) -> DataFrame:
             .orderBy(F.desc("unmet_rate"), F.desc("count"), F.asc("action")))
 
 
-def concentration_lift(rows: DataFrame, dimension: str = "car_model_norm", name: str = "car_model", min_n: int = 5,
-                       min_share: float = 0.3, min_lift: float = 2.0, top: int = 20) -> DataFrame:
-    """L3 whose rows sit in one dimension value far above that value's share of all rows.
-    Everything after the first count works on (value) and (l3, value) cells."""
-    dim = rows.filter(F.col(dimension) != "").select(F.col(dimension).alias("value"), text("l3").alias("l3"))
-    cells = dim.groupBy("l3", "value").agg(F.count(F.lit(1)).alias("count"))
-    overall = cells.groupBy("value").agg(F.sum("count").alias("v_n"))
-    total = cells.agg(F.sum("count").alias("t")).scalar()
-    named = cells.filter(F.col("l3") != "")
-    sizes = named.groupBy("l3").agg(F.sum("count").alias("l3_n")).filter(F.col("l3_n") >= min_n)
-    j = named.join(sizes, "l3").join(overall, "value").withColumns(
-        {"s": F.col("count") / F.col("l3_n"), "b": F.col("v_n") / total})
-    hits = j.filter((F.col("s") / F.col("b") >= min_lift) & (F.col("s") >= min_share))
-    return hits.select("l3", F.lit(name).alias("dimension"), "value", F.round("s", 4).alias("share"), F.round("b", 4).alias("baseline_share"),
-                       F.round(F.col("s") / F.col("b"), 2).alias("lift"), "count", "l3_n").orderBy(
-        F.desc("lift"), F.desc("count"), F.asc("l3"), F.asc("value")).limit(top)
+def concentration_lift(rows: DataFrame, dimensions: Mapping[str, str] | None = None, min_n: int = 5, min_share: float = 0.3, min_lift: float = 2.0,
+                       top: int = 20) -> DataFrame:
+    """L3 whose rows sit in one dimension value far above that value's share of all rows, the ``top`` of each dimension.
+    ``dimensions`` maps a column to its name in the result. The rows are read once, for the cells of (l3, all dimensions); a
+    dimension's cells are sums of these."""
+    names = dict(dimensions or {"car_model_norm": "car_model", "country": "region"})
+    all_cells = materialise(rows.groupBy(text("l3").alias("l3"), *names).agg(F.count(F.lit(1)).alias("n")))
+
+    def lifts(column: str, name: str) -> DataFrame:
+        cells = all_cells.filter(F.col(column) != "").groupBy("l3", F.col(column).alias("value")).agg(F.sum("n").alias("count"))
+        overall = cells.groupBy("value").agg(F.sum("count").alias("v_n"))
+        total = cells.agg(F.sum("count").alias("t")).scalar()
+        named = cells.filter(F.col("l3") != "")
+        sizes = named.groupBy("l3").agg(F.sum("count").alias("l3_n")).filter(F.col("l3_n") >= min_n)
+        j = named.join(sizes, "l3").join(overall, "value").withColumns({"s": F.col("count") / F.col("l3_n"), "b": F.col("v_n") / total})
+        hits = j.filter((F.col("s") / F.col("b") >= min_lift) & (F.col("s") >= min_share))
+        return hits.select("l3", F.lit(name).alias("dimension"), "value", F.round("s", 4).alias("share"), F.round("b", 4).alias("baseline_share"),
+                           F.round(F.col("s") / F.col("b"), 2).alias("lift"), "count", "l3_n").orderBy(
+            F.desc("lift"), F.desc("count"), F.asc("l3"), F.asc("value")).limit(top)
+    return reduce(DataFrame.unionByName, [lifts(c, n) for c, n in names.items()])
 
 
 def fault_lifecycle(rows: DataFrame, period_days: int = 7, top: int = 50, weights=pk.SEVERITY_WEIGHT) -> DataFrame:

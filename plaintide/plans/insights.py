@@ -127,7 +127,7 @@ SHIFT = f"""{WINS}, sh AS (SELECT coalesce(a.l2, b.l2) AS l2, coalesce(a.r, 0) A
 @query("intent_shift", f"""
 WITH {ENR}, {SHIFT} SELECT l2, round(c, 4) AS escalation_rate, round(p, 4) AS prev_rate, round((c - p) * 100, 1) AS delta_pp FROM sh""")
 def _(spark, d):
-    return ins.intent_shift(*windows(spark, d))
+    return ins.intent_shift(ins.period_cells(enriched(spark, d), ["l2", "intent"]), 30)
 
 
 @query("expectation_unmet", f"""
@@ -149,8 +149,7 @@ def _lift_sql(dimension: str, name: str) -> str:
 def _(spark, d):
     # L3 names are widened by their L2, so that some concentration exists in the fixture.
     e = enriched(spark, d).withColumn("l3", F.when(F.col("l3") != "", F.concat("l3", F.lit("·"), "l2")).otherwise(""))
-    kw = dict(min_share=0.1, min_lift=1.1)
-    return ins.concentration_lift(e, "car_model_norm", "car_model", **kw).unionByName(ins.concentration_lift(e, "country", "region", **kw))
+    return ins.concentration_lift(e, min_share=0.1, min_lift=1.1)
 
 
 LIFE = f"""mx AS (SELECT max(ets) AS m FROM en),
@@ -198,10 +197,10 @@ SELECT 'I6', concat('用户最常要求 ', action, '（', n, ' 条），未满
 SELECT 'I9', concat('按严重度加权后头号问题倾向 ', l3, '，而按条数头号主题是 ', theme_name, '，建议调整资源投向'), 0 FROM ws, hd WHERE (SELECT count(*) FROM ch) >= 2 AND NOT contains(theme_name, l3)""")
 def _(spark, d):
     # Seven result tables read the same enriched rows: they are computed once, without the texts.
-    e = materialise(split_windows(enriched(spark, d), 30).drop("v3_label_meta", "original_text"))
-    cur, prev = (e.filter(F.col("window") == w) for w in ("current", "previous"))
-    return ins.insight_templates(ins.recurrence(e, "vin"), "vin", ins.intent_shift(cur, prev), ins.expectation_unmet(e),
-                                 ins.concentration_lift(e, min_share=0.1, min_lift=1.01), ins.fault_lifecycle(e, 14), ins.theme_totals(e))
+    e = materialise(enriched(spark, d).drop("v3_label_meta", "original_text"))
+    shift, cars = ins.intent_shift(ins.period_cells(e, ["l2", "intent"]), 30), {"car_model_norm": "car_model"}
+    return ins.insight_templates(ins.recurrence(e, "vin"), "vin", shift, ins.expectation_unmet(e),
+                                 ins.concentration_lift(e, cars, min_share=0.1, min_lift=1.01), ins.fault_lifecycle(e, 14), ins.theme_totals(e))
 
 
 @query("field_distribution", f"""

@@ -158,7 +158,7 @@ PROF = f"""{HINTS}, l2c AS (SELECT cluster, list_sort(list(DISTINCT l2) FILTER (
 WITH {PROF} SELECT cluster, array_to_string(l2s, '|') AS l2s, count, severity_weighted, sev_high, sev_mid, sev_low, l3_n, theme, len(l2s) >= 2 AS cross_l2, len(l2s) >= 3 AS cross_l2_ge3,
   (SELECT md5(string_agg(replace({q.s('original_text')}, chr(10), ' '), '|' ORDER BY id)) FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS rn FROM hm WHERE {q.s('original_text')} <> '') z WHERE z.cluster = pf.cluster AND rn <= 3) AS quotes FROM pf""")
 def _(spark, d):
-    p = mn.cluster_profile(mn.hint_clusters(enriched(spark, d)))
+    p = mn.hint_profile(enriched(spark, d))
     return p.select("cluster", F.array_join("l2_list", "|").alias("l2s"), F.col("count").cast("bigint").alias("count"), "severity_weighted", "sev_high", "sev_mid", "sev_low", "l3_n", "theme",
                     "cross_l2", "cross_l2_ge3", F.md5(F.array_join("quotes", "|")).alias("quotes"))
 
@@ -166,14 +166,14 @@ def _(spark, d):
 @query("cluster_purity", f"""
 WITH {HINTS}, g AS (SELECT cluster, review_l1, count(*) AS n FROM hm WHERE review_l1 IS NOT NULL GROUP BY 1, 2) SELECT hs.cluster, round(max(n) / sum(n)::DOUBLE, 4) AS purity FROM hs LEFT JOIN g ON g.cluster = hs.cluster GROUP BY 1""")
 def _(spark, d):
-    e = enriched(spark, d)
-    return mn.cluster_purity(mn.hint_clusters(e).select("cluster", "id"), e.select("id", F.col("review_l1").alias("label")))
+    e = enriched(spark, d).withColumn("cluster", F.concat(F.lit("kw:"), mn.hint_key()))
+    return mn.label_purity(e, label="review_l1", min_size=3)
 
 
 @query("cross_label_insights", f"""
 WITH {PROF} SELECT 'I7' AS template_id, concat('「', theme, '」横跨 ', array_to_string(l2s, ', '), ' 共 ', count, ' 条，按现有标签口径被拆散，实际可能是单一根因') AS text, count, cluster AS cluster_id FROM pf WHERE len(l2s) >= 3""")
 def _(spark, d):
-    p = mn.cluster_profile(mn.hint_clusters(enriched(spark, d)))
+    p = mn.hint_profile(enriched(spark, d))
     return mn.cross_label_insights(p).withColumn("count", F.col("count").cast("bigint"))
 
 
@@ -182,7 +182,7 @@ WITH {PROF} SELECT count(*) AS clusters, count(*) FILTER (WHERE len(l2s) >= 2) A
   count(*) FILTER (WHERE len(l2s) >= 2) >= 1 AND max(count) / (SELECT count(*) FROM en) < 0.5 AS gate_ok FROM pf""")
 def _(spark, d):
     e = enriched(spark, d)
-    return mn.cross_label_gate(mn.cluster_profile(mn.hint_clusters(e)), e).withColumn("largest", F.col("largest").cast("bigint"))
+    return mn.cross_label_gate(mn.hint_profile(e), opinion(spark, d).select("id")).withColumn("largest", F.col("largest").cast("bigint"))
 
 
 # Triples from the model labels, widened so that renames and moves apply.
