@@ -6,20 +6,26 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import collapse, strip, text, top_rows
+from plaintide.functions.common import collapse, global_rank, strip, text, top_rows
 from plaintide.functions.meta import json_text
 from plaintide.packs import labels as lp
 from plaintide.session import checkpoint_dir
 
 
 def taxonomy_scan(raw: DataFrame, doc: str = "doc") -> DataFrame:
-    """(l1, l2, l3, freq, pos) rows from nested taxonomy JSON; keys that begin with ``_`` are skipped."""
-    block = "struct<`标签列表`:array<string>,`频次`:int,`详情`:map<string,int>>"
-    top = raw.select(F.explode(F.from_json(F.col(doc), "map<string,string>")).alias("l1", "_b")).filter(~F.col("l1").startswith("_"))
-    mid = top.select("l1", F.explode(F.from_json("_b", "map<string,string>")).alias("l2", "_c")).filter(~F.col("l2").startswith("_"))
-    x = mid.select("l1", "l2", F.from_json("_c", block).alias("x"))
-    return x.select("l1", "l2", F.posexplode("x.`标签列表`").alias("pos", "l3"), F.col("x.`详情`").alias("_d")).select(
-        "l1", "l2", "l3", F.coalesce(F.try_element_at("_d", F.col("l3")), F.lit(1)).alias("freq"), "pos")
+    """(l1, l2, l3, freq, pos) rows from nested taxonomy JSON; keys that begin with ``_`` are skipped, as are documents that are not
+    JSON. Documents are read as variants and opened a level at a time, and the blocks of a large one are spread over tasks
+    before their labels are. A column ``first``, if there is one, says at which position a document's label lists begin."""
+    spark = raw.sparkSession
+    first = F.col("first") if "first" in raw.columns else F.lit(0)
+
+    def opened(df: DataFrame, value: str, key: str, inner: str) -> DataFrame:
+        return df.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()).toDF("_at", key, inner)).drop("_at", value)
+    top = opened(raw.select(first.cast("int").alias("_first"), F.try_parse_json(F.col(doc)).alias("_v")), "_v", "l1", "_a").filter(~F.col("l1").startswith("_"))
+    mid = opened(top, "_a", "l2", "_b").filter(~F.col("l2").startswith("_")).repartition("l1", "l2", "_first")
+    x = mid.select("l1", "l2", "_first", F.try_variant_get("_b", "$['标签列表']", "array<string>").alias("_l"), F.try_variant_get("_b", "$['详情']", "map<string,int>").alias("_d"))
+    return x.select("l1", "l2", "_first", "_d", F.posexplode("_l").alias("_at", "l3")).select(
+        "l1", "l2", "l3", F.coalesce(F.try_element_at("_d", F.col("l3")), F.lit(1)).alias("freq"), (F.col("_first") + F.col("_at")).alias("pos"))
 
 
 def label_triple_frequency(df: DataFrame, l1: str, l2: str, l3: str) -> DataFrame:
@@ -37,11 +43,18 @@ def taxonomy_build(triples: DataFrame) -> DataFrame:
                     F.map_from_entries(F.transform("i", lambda x: F.struct(x["l3"], -x["k"]))).alias("detail"))
 
 
-def taxonomy_json(built: DataFrame) -> DataFrame:
-    """The whole taxonomy as one JSON document (a few hundred labels)."""
-    block = F.struct(F.col("labels").alias("标签列表"), F.col("total").alias("频次"), F.col("detail").alias("详情"))
-    per = built.groupBy("l1").agg(F.map_from_entries(F.collect_list(F.struct("l2", block.alias("b")))).alias("m"))
-    return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l1", "m")))).alias("doc"))
+def taxonomy_json(triples: DataFrame, most: int = 10_000) -> DataFrame:
+    """(first, doc): the taxonomy of (l1, l2, l3, freq) as nested JSON documents, one for every ``most`` labels of an (l1, l2) in
+    the order of frequency and name. ``first`` is the position of a document's first label; no row holds more."""
+    path = F.struct("l1", "l2")
+    ranked = global_rank(triples.select("l1", "l2", "l3", "freq"), [F.asc("l1"), F.asc("l2"), F.desc("freq"), F.asc("l3")], "_rank")
+    starts = ranked.groupBy("l1", "l2").agg(F.min("_rank").alias("_start"), F.sum("freq").alias("_total"))
+    ranked = ranked.join(starts, ["l1", "l2"]).withColumn("first", (F.floor((F.col("_rank") - F.col("_start")) / F.lit(most)) * most).cast("int"))
+    item = F.struct("_rank", "l3", "freq")
+    parts = ranked.groupBy("l1", "l2", "first").agg(F.array_sort(F.collect_list(item)).alias("i"), F.first("_total").alias("_total"))
+    block = F.struct(F.transform("i", lambda x: x["l3"]).alias("标签列表"), F.col("_total").alias("频次"),
+                     F.map_from_entries(F.transform("i", lambda x: F.struct(x["l3"], x["freq"]))).alias("详情"))
+    return parts.select("first", F.to_json(F.create_map(path["l1"], F.create_map(path["l2"], block))).alias("doc"))
 
 
 def standardise_name(c: Column, renames: Sequence[tuple[str, str]], empty: str = "通用") -> Column:

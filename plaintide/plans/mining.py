@@ -213,7 +213,7 @@ def _(spark, d):
 @query("taxonomy_scan", f"""
 WITH {TRI} SELECT l1, l2, l3, freq::INT AS freq, (row_number() OVER (PARTITION BY l1, l2 ORDER BY freq DESC, l3) - 1)::INT AS pos FROM tf""")
 def _(spark, d):
-    return tx.taxonomy_scan(tx.taxonomy_json(tx.taxonomy_build(triples(spark, d))))
+    return tx.taxonomy_scan(tx.taxonomy_json(triples(spark, d), 5))
 
 
 @query("taxonomy_optimise", f"""

@@ -197,3 +197,16 @@ def test_sql_functions(spark):
     r = spark.sql("""select canonical_l1('质量 问题') a, canonical_l1('价格咨询') b, canonical_l1('??') c, voc_json_extract('{"l1": 1}', '$.l1') d,
                      voc_json_extract('{"l1": {"x": 1}}', '$.l1.x') e, text_fingerprint('a b') = text_fingerprint('ab') f""").first()
     assert tuple(r) == (lp.PRODUCT, lp.NON_ISSUE, lp.SERVICE, "1", None, True)
+
+
+def test_taxonomy_documents_are_read_level_by_level(spark):
+    from plaintide.operators import taxonomy as tx
+    docs = [('{"_note": 1, "A": {"_x": 2, "a": {"标签列表": ["q\'s", "r"], "频次": 9, "详情": {"q\'s": 7}}, "b": {"频次": 1}}, "B": {"c": {"标签列表": ["s"]}}}',), ("not json",), (None,)]
+    got = sorted(tuple(r) for r in tx.taxonomy_scan(spark.createDataFrame(docs, "doc string")).collect())
+    assert got == [("A", "a", "q's", 7, 0), ("A", "a", "r", 1, 1), ("B", "c", "s", 1, 0)]
+    triples = spark.createDataFrame([("A", "a", f"l{i:03d}", 100 - i % 7) for i in range(25)] + [("B", "b", "x", 1)], "l1 string, l2 string, l3 string, freq int")
+    parts = tx.taxonomy_json(triples, 10)
+    assert parts.count() == 4
+    rows = tx.taxonomy_scan(parts).collect()
+    order = sorted([(r["l3"], r["freq"]) for r in triples.collect() if r["l1"] == "A"], key=lambda x: (-x[1], x[0]))
+    assert [(r["l3"], r["freq"]) for r in sorted(rows, key=lambda r: r["pos"]) if r["l1"] == "A"] == order
