@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import col, collapse, text
+from plaintide.functions.common import any_case, col, collapse, text
 from plaintide.functions.meta import json_map
 from plaintide.packs import insight as pk, labels as lp
 
@@ -34,7 +34,7 @@ def attach_insight(doc: Column | str, fields: dict[str, Column],
 def with_insight_fields(df, body="original_text", l1="l1", l2="l2", l3="l3", rules=pk.DEFAULT):
     """Adds the six fields. Intent is computed once and the later fields read it as a column,
     so the patterns are not evaluated again inside every branch."""
-    hits = {f"_h_{k}": F.coalesce(col(body), F.lit("")).rlike("(?i)" + v) for k, v in rules.items()}
+    hits = {f"_h_{k}": any_case(F.coalesce(col(body), F.lit("")), v) for k, v in rules.items()}
     out = df.withColumns(hits)
     hit = {k: F.col(f"_h_{k}") for k in rules}
     l1t, l2t, l3t = text(l1), text(l2), text(l3)

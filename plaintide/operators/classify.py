@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import any_of, filled, squeeze, strip, text
+from plaintide.functions.common import any_case, any_of, filled, squeeze, strip, text
 from plaintide.functions.meta import is_json_object, json_get
 from plaintide.operators import rules as R
 from plaintide.operators.signals import decision
@@ -190,7 +190,7 @@ def guard_chain(df: DataFrame, pack: Mapping, body: str = "original_text", sourc
     d = d.withColumns({"l1": F.when(c, lp.NON_ISSUE).otherwise(F.col("l1")), "l2": F.when(c, "").otherwise(F.col("l2")),
                        **{f: F.col(f) & ~c for f in ("f_consult_misclass", "f_domain_guard", "f_service_guard")}})
     # 7. Coordination, assistance and story texts are non-issue, with label exceptions.
-    app = F.coalesce(F.col(source), F.lit("")).rlike("(?i)" + p["story_source"]) & g("story") & ~g("demand")
+    app = any_case(F.coalesce(F.col(source), F.lit("")), p["story_source"]) & g("story") & ~g("demand")
     opt = lambda k: g(k) if k in p["signals"] else F.lit(False)  # noqa: E731  signals that a pack may leave out
     coordination = g("coordination") & ~g("coordination_block") & ~(opt("coordination_place") & opt("coordination_push"))
     assist = (opt("aftersales") & ~opt("aftersales_block")) | ((opt("roadside") | opt("maintenance")) & ~opt("roadside_block"))

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import collapse, count_when, filled, global_rank, pct, share, strip, text
+from plaintide.functions.common import any_case, collapse, count_when, filled, global_rank, pct, share, strip, text
 from plaintide.functions.dates import event_time
 from plaintide.functions.meta import json_map, materialized
 from plaintide.operators.keyed import pick_per_key
@@ -258,7 +258,7 @@ def route_metrics(df: DataFrame, use_model: Column, threshold: float = 0.52) ->
 def ambiguity_reasons(rules=ap.TEXT_HINTS, domain_l2=ap.DOMAIN_L2, consult_l2: str = ap.CONSULT_L2) -> Column:
     """Reason codes of one pair of labels and its text, in order, without repeats."""
     body = F.coalesce(F.col("original_text"), F.lit(""))
-    hit = {k: body.rlike("(?i)" + v) for k, v in rules.items()}
+    hit = {k: any_case(body, v) for k, v in rules.items()}
     h1, m1, h2, m2 = _c("human_l1"), _c("model_l1"), _c("human_l2"), _c("model_l2")
     asks = hit["consult"] & ~hit["issue"]
     flip = (h1 == lp.NON_ISSUE) & (m1 == lp.PRODUCT)

@@ -9,7 +9,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import all_of, alternation
+from plaintide.functions.common import all_of, alternation, any_case
 
 TRIPLE = "struct<l1:string,l2:string,l3:string,confidence:double,match_type:string>"
 
@@ -25,7 +25,7 @@ def no_triple() -> Column:
 
 
 def has(t: Column, pattern: str) -> Column:
-    return t.rlike("(?is)" + pattern)
+    return any_case(t, pattern, "s")
 
 
 def has_word(t: Column, words: Sequence[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plaintide.functions import dates, labels, meta, text as tx
 from plaintide.functions.insight import with_insight_fields
 from plaintide.operators import classify as C, evaluate as ev, filters, insight as ins, match as M, report, review, rules as R, trainset as ts
-from plaintide.packs import default_rules, labels as lp
+from plaintide.packs import default_rules, labels as lp, prose
 from plaintide.packs.default_rules import PACK, TAXONOMY
 
 
@@ -60,6 +60,22 @@ def test_insight_order(spark):
         assert r["intent"] == r["want"], r["original_text"]
 
 
+def test_patterns_fold_all_alphabets(spark):
+    """Case folds beyond ASCII, but no dotted or dotless i is an i, and a vertical tab is no blank."""
+    rules = {**prose.INSIGHT, "fault": "eauré.x", "severe": "ins", "repeat": r"an\s+en"}
+    rows = [("EAURÉ\rX", "报障", "中", False), ("eauré\nx", "告知", "低", False), ("İnS ıns", "告知", "低", False), ("INſ", "告知", "高", False),
+            ("AN EN", "告知", "低", True), ("an\x0ben", "告知", "低", False)]
+    df = spark.createDataFrame([(t, lp.SERVICE, "", "") for t, *_ in rows], "original_text string, l1 string, l2 string, l3 string")
+    got = {r["original_text"]: (r["intent"], r["severity"], r["repeat_signal"]) for r in with_insight_fields(df, rules=rules).collect()}
+    assert got == {t: tuple(want) for t, *want in rows}
+
+
+def test_batch_fields_fold_all_alphabets(spark):
+    df = spark.createDataFrame([(1, "EAURÉ", 0)], "id long, original_text string, review_status int").withColumn("opinion_id", F.col("id").cast("string"))
+    out = M.batch_classify(df, PACK, *default_dims(spark), insight_rules=prose.INSIGHT).first()
+    assert out["intent"] == "报障" and '"intent":"报障"' in out["v3_label_meta"]
+
+
 def test_vehicle_ids_end_at_ascii_words(spark):
     vin = "ABCDEFGHJKLMNPRST"
     assert one(spark, f"é{vin}é", tx.extract_vin) == vin and one(spark, f"x{vin}", tx.extract_vin) == ""
