@@ -83,6 +83,37 @@ def test_dense_vectors_meet_under_one_cell(spark):
     assert listed.selectExpr("max(size(lists)) AS m", "count(*) AS n").first().asDict() == {"m": 1, "n": 200}
 
 
+def test_mostly_filled_vectors_meet_under_one_list(spark):
+    """No cell is filled in all vectors, but lists by cell would send each vector many times."""
+    arr = unit(300, 40, 5)
+    arr[np.random.RandomState(6).rand(300, 40) < 0.25] = 0
+    points = sim._points(vectors(spark, arr), "id")
+    listed, _ = sim._lists(points, 0.25, 30)
+    assert listed.selectExpr("max(size(lists)) AS m", "count(*) AS n").first().asDict() == {"m": 1, "n": 300}
+    tiles = sim._tiles(points, 0.25, 30).count()
+    assert tiles.agg(F.sum("count")).first()[0] <= 300 * (300 // 30 + 4)
+
+
+def test_tile_forest_has_the_components_of_its_pairs():
+    import pyarrow as pa
+
+    for own in (True, False):
+        arr = unit(200, 6, 8)
+        first = np.ones(200, bool) if own else np.random.RandomState(9).rand(200) < 0.4
+        t = pa.table({"id": np.arange(200), "vector": pa.array(list(arr), pa.list_(pa.float32())), "first": first, "own": np.full(200, own)})
+        _, i, j, s = sim._candidates(t, 0.7)
+        _, a, b, w = sim._tile_forest(t, 0.7)
+        for thr in (0.7, 0.8, 0.95):
+            both = []
+            for x, y, z in ((i, j, s), (a, b, w)):
+                sets = sim._Sets(200)
+                for k in np.flatnonzero(z >= thr):
+                    sets.join(int(x[k]), int(y[k]))
+                both.append([sets.find(k) for k in range(200)])
+            assert both[0] == both[1]
+        assert len(a) < 200 < len(i)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_spanning_forest_of_any_edges(spark, parts):
     rs = np.random.RandomState(4)
