@@ -60,3 +60,16 @@ def test_packs_have_one_form(spark):
     got = {r["id"]: (r["capture"], r["capture_ok"]) for r in C.capture_code(df, "t", prose.PACK).collect()}
     assert got == {1: ("blocked:neg", False), 2: ("eligible:short", True), 3: ("empty_text", False)}
     assert default_rules.PACK["capture"] is CAPTURE
+
+
+def test_slices_are_bounded_by_rows_and_symbols():
+    """Long texts are not walked together, and no text is lost."""
+    import pandas as pd
+
+    from plaintide.operators.automaton import CHUNK
+    from plaintide.operators.signals import ROWS, slices
+
+    texts = ["a"] * 600 + ["b" * (CHUNK // 2 + 1)] * 3 + ["c" * (2 * CHUNK), ""]
+    got = list(slices(pd.Series(texts)))
+    assert sum(got, []) == texts and list(slices(pd.Series([], dtype=object))) == []
+    assert all(len(g) <= ROWS and (len(g) == 1 or sum(map(len, g)) <= CHUNK) for g in got)
