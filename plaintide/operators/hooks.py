@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 Model = Callable[[list[str]], Sequence]
 Loader = Callable[[], Model]
+ROWS = 512  # texts whose answers are held at once
 
 
 def _slices(texts: list[str], most: int, most_chars: int) -> Iterator[list[str]]:
@@ -48,7 +49,8 @@ def apply_model(df: DataFrame, load: Loader, body: str = "original_text", out: s
     @F.pandas_udf(f"answer {kind}, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
-        for texts in batches:
+        # Answers leave in small batches of their own, so that no batch of Spark's is held with all its answers.
+        for texts in (b.iloc[lo:lo + ROWS] for b in batches for lo in range(0, len(b), ROWS)):
             rows: list[tuple] = [(None, None)] * len(texts)
             some = np.flatnonzero(texts.notna().to_numpy()).tolist()
             got = [a for part in _slices([texts.iat[i] for i in some], most, most_chars) for a in _answers(model, part)]

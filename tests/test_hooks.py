@@ -47,3 +47,11 @@ def test_default_vectors_equal_the_table_form(spark):
 def test_keyword_model():
     model = hooks.keyword_model({"weights": [("a", 2, ("x", "Y")), ("b", 3, ("z",)), ("c", 4, ("x",))]})()
     assert model(["", "xy", "z Z", "xyz", "q"]) == ["", "a", "b", "a", ""]
+
+
+def test_answers_leave_in_small_batches(spark):
+    """Answers of one of Spark's batches come in several and stay with their rows."""
+    assert hooks.ROWS < 1200
+    df = spark.range(1200).coalesce(1).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL ELSE 't' || id END AS original_text")
+    got = hooks.apply_model(df, lambda: lambda texts: [t.upper() for t in texts]).collect()
+    assert [(r["id"], r["prediction"]) for r in got] == [(i, None if i % 5 == 0 else f"T{i}") for i in range(1200)]
