@@ -114,6 +114,42 @@ def test_tile_forest_has_the_components_of_its_pairs():
         assert len(a) < 200 < len(i)
 
 
+def test_vectors_are_sent_as_often_at_any_number(spark):
+    """Blocks grow with the vectors, so that a vector goes to as many tiles among 4,000 as among 16,000."""
+    sent = []
+    for n in (sim.BLOCKS * sim.LEAST_ROWS // 2, sim.BLOCKS * sim.LEAST_ROWS * 2):
+        listed = sim._tiles(sim._points(vectors(spark, unit(n, 4, 7)), "id"), 0.2).count()
+        sent.append(listed.agg(F.sum("count")).first()[0] / n)
+    assert sent[1] <= 1.5 * sim.BLOCKS and sent[1] < 3 * sent[0]
+    assert sim._block_rows(10 ** 9, 64) * 64 <= sim.BLOCK_CELLS
+
+
+def test_single_precision_loses_no_pair_at_the_threshold():
+    """Pairs whose products differ from the threshold by less than single precision tells apart, short and very long vectors."""
+    import pyarrow as pa
+
+    for scale in (1.0, 1e-3, 1e3, 1e18):
+        arr = (unit(300, 64, 11) * scale).astype("float32")
+        t = pa.table({"id": np.arange(300), "vector": pa.array(list(arr), pa.list_(pa.float32())), "first": np.ones(300, bool), "own": np.ones(300, bool)})
+        exact = np.round(arr.astype(float) @ arr.astype(float).T, sim.DIGITS)
+        for thr in np.sort(exact[np.triu_indices(300, 1)])[-2000::400].tolist():
+            _, i, j, s = sim._candidates(t, thr - 1e-12 * scale * scale)
+            want = {(a, b) for a, b in zip(*np.nonzero(exact >= thr - 1e-12 * scale * scale)) if a < b}
+            assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_clusters_read_pairs_below_the_start_only_if_none_is_found(spark, monkeypatch):
+    floors, forest = [], sim.similarity_forest
+    monkeypatch.setattr(sim, "similarity_forest", lambda v, floor, *a, **k: floors.append(floor) or forest(v, floor, *a, **k))
+    base = np.eye(16, dtype="float32")
+    tight = [base[0] + 0.1 * base[i] for i in range(1, 5)] + [base[6]]
+    wide = [0.6 * base[0] + 0.8 * base[i] for i in range(1, 5)] + [base[6]]  # 0.36 apart
+    for arr, want, thr in ((tight, [0.55], 0.55), (wide, [0.55, 0.39, 0.25], 0.35)):
+        floors.clear()
+        rows = sim.similarity_clusters(vectors(spark, arr), max_frac=1.0).collect()
+        assert floors == want and {r["id"] for r in rows} == {0, 1, 2, 3} and {r["threshold"] for r in rows} == {thr}
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_spanning_forest_of_any_edges(spark, parts):
     rs = np.random.RandomState(4)
