@@ -296,3 +296,15 @@ def test_embedding_of_any_size(spark, dim):
             v[h % dim] += 1 if h >> 8 & 1 else -1
         v /= np.linalg.norm(v)
         assert got[i].keys() == set(np.flatnonzero(v).tolist()) and all(abs(got[i][k] - v[k]) < 1e-12 for k in got[i])
+
+
+
+def test_no_task_reads_the_texts_of_a_cluster(spark):
+    """Quotes are chosen by id: texts are in no exchange but that of the chosen rows, ties of an id included."""
+    rows = [(i, "c", "l2", "l3", "低", " " if i < 2 else f"text {i}\nend ") for i in range(50)] + [(3, "c", "l2", "l3", "低", "text 3\nend"), (None, "d", "l2", "", "高", "none")]
+    m = spark.createDataFrame(rows, "id long, cluster string, l2 string, l3 string, severity string, original_text string")
+    got = {r["cluster"]: r for r in mn.cluster_profile(m).collect()}
+    assert got["c"]["quotes"] == ["text 2 end", "text 3 end", "text 3 end"] and got["c"]["count"] == 51
+    assert got["d"]["quotes"] == ["none"]
+    plan = mn._quotes(m, "cluster", 3, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
