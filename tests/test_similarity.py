@@ -299,6 +299,18 @@ def test_embedding_of_any_size(spark, dim):
 
 
 
+def test_word_pairs_over_slices(spark, monkeypatch):
+    """Pairs cross the slices of a text but not texts or groups; a NULL group is one."""
+    monkeypatch.setattr(mn, "TOKENS", 3)
+    texts = [("x", "alpha beta gamma delta alpha beta epsilon zeta"), ("y", "alpha beta"), (None, "beta alpha 汉字 beta"), ("x", ""), ("x", None), ("x", "beta alpha"), (None, "zeta")]
+    want = set()
+    for g, t in texts:
+        w = (t or "").split()
+        want |= {(g, min(a, b), max(a, b)) for i, a in enumerate(w) for b in w[i + 1:i + 4] if a != b}
+    got = [tuple(r) for r in mn.cooccur_edges(spark.createDataFrame(texts, "g string, t string"), "g", "t").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_no_task_reads_the_texts_of_a_cluster(spark):
     """Quotes are chosen by id: texts are in no exchange but that of the chosen rows, ties of an id included."""
     rows = [(i, "c", "l2", "l3", "低", " " if i < 2 else f"text {i}\nend ") for i in range(50)] + [(3, "c", "l2", "l3", "低", "text 3\nend"), (None, "d", "l2", "", "高", "none")]
