@@ -298,6 +298,27 @@ def test_embedding_of_any_size(spark, dim):
         assert got[i].keys() == set(np.flatnonzero(v).tolist()) and all(abs(got[i][k] - v[k]) < 1e-12 for k in got[i])
 
 
+def test_embedding_over_pieces_and_repeated_keys(spark, monkeypatch):
+    """Texts longer than a piece, rows of one key in two pieces, NULL keys and symbols above 16 bits."""
+    import hashlib
+
+    monkeypatch.setattr(sim, "SYMBOLS", 7)
+    rows = [(1, "abcdefghijklmnopqrstuvwxyz" * 3), (2, "x"), (1, "second row of one"), (None, "no key"), (None, "a\U0001F600b\U0001F600c"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for ngram in (1, 3, 5):
+        want = {}
+        for k, t in rows:
+            t = "".join((t or "").lower().split())
+            t = (t + "·" * ngram)[:ngram] if len(t) < ngram else t
+            for i in range(len(t) - ngram + 1):
+                h = int(hashlib.md5(t[i:i + ngram].encode()).hexdigest(), 16)
+                v = want.setdefault(k, {})
+                v[h % 50] = v.get(h % 50, 0) + (1 if h >> 8 & 1 else -1)
+        got = sim.hashing_embedding(df, dim=50, ngram=ngram).collect()
+        unit_of = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in want.items()}
+        assert {(r["doc_id"], r["dim"]): round(r["value"], 9) for r in got} == {(k, d): round(x / unit_of[k], 9) for k, v in want.items() for d, x in v.items() if x}
+        assert len(got) == sum(x != 0 for v in want.values() for x in v.values())
+
 
 def test_word_pairs_over_slices(spark, monkeypatch):
     """Pairs cross the slices of a text but not texts or groups; a NULL group is one."""
