@@ -18,19 +18,22 @@ def keyword_tf(df: DataFrame, key: str = "doc_id", body: str = "text", top: int
     """Top terms of each document by share of its tokens. ``with_idf`` weights by the real
     inverse document frequency.
 
-    The rank window is per document, so its group is bounded by one text's distinct words.
+    Texts are dealt by key once; counts, totals and ranks stay in that dealing, and one order of a document's distinct words
+    serves both windows. The group is bounded by one text's distinct words.
     """
-    counts = token_counts(df, key, body)
-    total = F.sum("n").over(Window.partitionBy(key))
-    scored = counts.withColumn("score", F.col("n") / total)
+    # A stated number of partitions: the texts are small beside the work on them.
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = token_counts(df.select(key, body).repartition(n, key), key, body)
+    own = Window.partitionBy(key)
     if with_idf:
         docs = df.agg(F.count_distinct(key).alias("d")).scalar()
         freq = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        scored = scored.join(freq, "token").withColumn(
+        scored = counts.withColumn("score", F.col("n") / F.sum("n").over(own)).join(freq, "token").withColumn(
             "score", F.col("score") * F.ln((docs + 1) / (F.col("df") + 1)) + F.lit(0.0))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("token"))
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-            .select(key, "token", "n", "score", "rank"))
+        ranked = scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), F.asc("token"))))
+    else:
+        ranked = counts.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), F.asc("token")))).withColumn("score", F.col("n") / F.sum("n").over(own))
+    return ranked.filter(F.col("rank") <= top).select(key, "token", "n", "score", "rank")
 
 
 def keyword_text(df: DataFrame, key: str, body: str, top: int = 20) -> DataFrame:

@@ -341,3 +341,13 @@ def test_no_task_reads_the_texts_of_a_cluster(spark):
     assert got["d"]["quotes"] == ["none"]
     plan = mn._quotes(m, "cluster", 3, None)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_keyword_ranks_deal_the_texts_once(spark):
+    from plaintide.operators import keywords as kwd
+
+    df = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta"), (1, "gamma beta"), (None, "delta")], "doc_id long, text string")
+    got = kwd.keyword_tf(df, top=2)
+    assert sorted(((r["doc_id"] or 0, r["token"], r["n"], r["score"], r["rank"]) for r in got.collect())) == [
+        (0, "delta", 1, 1.0, 1), (1, "alpha", 2, 0.4, 1), (1, "beta", 2, 0.4, 2), (2, "beta", 1, 1.0, 1)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1 == got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange")
