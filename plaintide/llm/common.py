@@ -33,12 +33,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives back to the system what a task has freed; its Python process goes on to serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each input batch; empty batches give nothing."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows and (out := work(b)) is not None:
                 yield out
+        b = out = None
+        release()
     return df.mapInArrow(run, schema)
 
 
@@ -51,3 +59,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_kept: dict = {}
+
+
+def kept(name: tuple, make: Callable):
+    """What a task leaves in its Python process for later tasks: one thing at a time, because the tasks of all stages of a
+    session share these processes, and what each stage left there would add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]

@@ -22,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plaintide.llm.common import arrow_map, held_out, mix64, table
+from plaintide.llm.common import arrow_map, held_out, kept, mix64, table
 from plaintide.session import materialise
 
 ORDER = 4
 BITS = 16  # a symbol: 0 is a break, all others are UTF-16 units
 LEAST_SYMBOLS = 64  # the shortest order spreads its rest over so many symbols at least
 NONE = np.uint64((1 << 64) - 1)  # no n-gram: U+FFFF is no letter
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18  # symbols judged at once
+_TABLE = 1 << 24  # bytes of remembered log probabilities
 
 
 def letters_of(text: str) -> str:
@@ -137,18 +138,11 @@ class LanguageModel:
     limits: np.ndarray  # cross-entropy above which a text is rejected, by language
 
 
-_memo: dict = {}
-
-
 def _entropies(model: LanguageModel, token: str, parts: list[np.ndarray]) -> np.ndarray:
     """(text, language): cross-entropy per symbol, log10, of texts given as n-gram codes (none empty)."""
     n = len(model.languages)
-    bits = max(10, 24 - (n + 1).bit_length())  # of a slot: the table stays below 100 MB
-    state = _memo.get(token)
-    if state is None:
-        _memo.clear()
-        state = _memo[token] = (np.full(1 << bits, NONE), np.zeros((1 << bits, n), np.float32))
-    held, rows = state
+    bits = max(10, (_TABLE // (8 + 4 * n)).bit_length() - 1)
+    held, rows = kept(("langid", token), lambda: (np.full(1 << bits, NONE), np.zeros((1 << bits, n), np.float32)))
     slot_of = lambda c: (mix64(c) >> np.uint64(64 - bits)).astype(np.int64)
     codes = np.concatenate(parts)
     size = np.array([len(p) for p in parts])

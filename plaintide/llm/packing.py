@@ -16,13 +16,14 @@ import os
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plaintide.llm.common import shuffle_parts, table
+from plaintide.llm.common import kept, release, shuffle_parts, table
 from plaintide.session import materialise
 
 CAPACITY = 1024
@@ -40,16 +41,20 @@ class ByteBpe:
 
     The byte-level pre-tokeniser always starts a new token at a space that a non-space follows, so a text is encoded by
     such pieces, and the ids of the first pieces met are remembered. Texts with white space of other shapes at a piece's
-    start, or with the special token's text, are encoded in one go.
+    start, or with the special token's text, are encoded in one go. The slower library is only loaded when it is needed.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.seen: dict[str, bytes] = {}
         self.fast = self._fast(path)
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def _fast(self, path: str):
         """The same vocabulary and merges in the quicker of the two libraries, if its file lies beside; checked on first use."""
         ranks = os.path.splitext(path)[0] + ".tiktoken"
@@ -90,9 +95,6 @@ class ByteBpe:
         return b"".join(out)
 
 
-_bpe: dict[str, ByteBpe] = {}
-
-
 def token_pieces(documents: DataFrame, path: str, capacity: int, key: str = "doc_id", body: str = "text", end_id: int = 0) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each document's ids with the end id, cut at every ``capacity``."""
     kind = documents.schema[key].dataType.simpleString()
@@ -100,7 +102,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, key: str = "doc
     end = struct.pack("<I", end_id)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe.get(path) or _bpe.setdefault(path, ByteBpe(path))
+        bpe = kept(("bpe", path), lambda: ByteBpe(path))
         for b in it:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("body")):
@@ -115,6 +117,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, key: str = "doc
                     total.append(n)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)],
                                              ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
     return thin.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
