@@ -1,10 +1,38 @@
 """Term share per document and per class."""
 from __future__ import annotations
 
+import re
+from collections import Counter
+from typing import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions.text import keyword_tokens
+from plaintide.packs import words as wp
+
+
+def keyword_counts(df: DataFrame, by: Sequence[str], body: str, drop: Sequence[str] = wp.STOP_WORDS + wp.GENERAL_WORDS) -> DataFrame:
+    """(by..., label, n): how often each of the ``keyword_tokens`` occurs in the texts of a group. A task counts the words of a
+    batch, so that distinct words are judged and sent on, and not their places."""
+    thin = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lower(F.col(body)).alias("body"))
+    keys, unwanted = thin.columns[:-1], frozenset(drop)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = re.compile("[一-龥a-z0-9]+").findall
+        for b in it:
+            first, found = {}, {}
+            for i, key in enumerate(zip(*[b.column(k).to_pylist() for k in keys]) if keys else [()] * b.num_rows):
+                t = b.column("body")[i].as_py()
+                if t:
+                    found.setdefault(first.setdefault(key, i), Counter()).update(runs(t))
+            at = [(i, w, n) for i, c in found.items() for w, n in c.items() if len(w) >= 2 and w not in unwanted and not w.isdigit()]
+            row, label, n = zip(*at) if at else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(row, pa.int64())) for k in keys] + [pa.array(label, pa.string()), pa.array(n, pa.int64())],
+                                             [*keys, "label", "n"])
+    kinds = "".join(f"{k} {thin.schema[k].dataType.simpleString()}, " for k in keys)
+    counted = thin.mapInArrow(run, kinds + "label string, n long").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+    return counted.toDF(*by, "label", "n")
 
 
 def token_counts(df: DataFrame, key: str, body: str) -> DataFrame:
