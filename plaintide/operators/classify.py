@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import any_case, any_of, filled, squeeze, strip, text
+from plaintide.functions.common import any_case, any_of, bound, filled, squeeze, strip, text
 from plaintide.functions.meta import is_json_object, json_get
 from plaintide.operators import rules as R
 from plaintide.operators.signals import decision
@@ -14,14 +14,14 @@ from plaintide.packs import labels as lp
 from plaintide.schema import LOW_CONFIDENCE_BELOW
 
 
-def priority_rules(body: Column, rules: Sequence[Mapping]) -> Column:
-    """Triple of the first pattern rule that holds on the lower-cased text."""
-    return R.first_rule(F.lower(body), rules)
+def priority_rules(body: Column, rules: Sequence[Mapping], low: Column | None = None) -> Column:
+    """Triple of the first pattern rule that holds on the lower-cased text, which may be given."""
+    return bound(F.lower(body) if low is None else low, lambda x: R.first_rule_lower(x, rules))
 
 
-def l1_scores(df: DataFrame, body: str, pack: Mapping) -> DataFrame:
+def l1_scores(df: DataFrame, body: str, pack: Mapping, low: Column | None = None) -> DataFrame:
     """Adds s_product, s_service, s_experience, s_none."""
-    t, low = F.col(body), F.lower(F.col(body))
+    t, low = F.col(body), F.lower(F.col(body)) if low is None else low
     return df.withColumns({f"s_{k}": R.weighted_score(t, low, pack["scores"][k]) for k in ("product", "service", "experience", "none")})
 
 
@@ -36,14 +36,14 @@ def l1_decision() -> Column:
             .when(p >= F.greatest(s, e), lp.PRODUCT).otherwise(lp.SERVICE))
 
 
-def l1_keyword_score(df: DataFrame, body: str, pack: Mapping, out: str = "scored_l1") -> DataFrame:
-    d = l1_scores(df, body, pack)
+def l1_keyword_score(df: DataFrame, body: str, pack: Mapping, out: str = "scored_l1", low: Column | None = None) -> DataFrame:
+    d = l1_scores(df, body, pack, low)
     return d.withColumn(out, F.when(F.col(body) == "", lp.SERVICE).otherwise(l1_decision()))
 
 
-def l2_route(body: Column, l1: Column, pack: Mapping) -> Column:
+def l2_route(body: Column, l1: Column, pack: Mapping, low: Column | None = None) -> Column:
     """L2 by keyword groups of the class; a class may name a default."""
-    low = F.lower(body)
+    low = F.lower(body) if low is None else low
     out = F.lit(None).cast("string")
     for cls, entries in pack["routes"].items():
         found = R.route(body, low, entries)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.functions import labels
-from plaintide.functions.common import collapse, hint_small, filled, strip, text, top_rows
+from plaintide.functions.common import bound, collapse, hint_small, filled, strip, text, top_rows
 from plaintide.functions.text import gold_key
 from plaintide.operators import classify as C, rules as R
 from plaintide.operators.automaton import Trie, find
@@ -54,29 +54,30 @@ def _label_score(t: Column, low: Column, x: Column, boost: float) -> Column:
 
 
 def _best_label(t: Column, low: Column, labels_col: Column, boost: float) -> Column:
-    """(score, -pos, l2, l3) of the best label."""
-    return F.array_max(F.transform(labels_col, lambda x: F.struct(
-        _label_score(t, low, x, boost).alias("s"), (-x["pos"]).alias("p"), x["l2"].alias("l2"), x["l3"].alias("l3"))))
+    """(score, -pos, l2, l3) of the best label. The lower-case text is made once, not for each fragment, and only where there are labels."""
+    of = lambda b: F.array_max(F.transform(labels_col, lambda x: F.struct(
+        _label_score(b["t"], b["low"], x, boost).alias("s"), (-x["pos"]).alias("p"), x["l2"].alias("l2"), x["l3"].alias("l3"))))
+    return F.when(labels_col.isNotNull(), bound(F.struct(t.alias("t"), low.alias("low")), of))
 
 
 def l3_score(df: DataFrame, taxonomy: DataFrame, body: str = "body", l1: str = "l1", l2: str = "l2",
-             out: str = "routed", floor: float = 9.0) -> DataFrame:
-    """Best L3 inside (l1, l2) as a triple in ``out``; NULL under the floor."""
+             out: str = "routed", floor: float = 9.0, low: Column | None = None) -> DataFrame:
+    """Best L3 inside (l1, l2) as a triple in ``out``; NULL under the floor. ``low``: the text in lower case, if it is at hand."""
     dims = label_dim(taxonomy, ["l1", "l2"]).select(F.col("l1").alias("_a"), F.col("l2").alias("_b"), "labels")
     d = df.join(dims, (F.col(l1) == F.col("_a")) & (F.col(l2) == F.col("_b")), "left")
-    d = d.withColumn("_best", _best_label(F.col(body), F.lower(F.col(body)), F.col("labels"), 22.0))
+    d = d.withColumn("_best", _best_label(F.col(body), F.lower(F.col(body)) if low is None else low, F.col("labels"), 22.0))
     conf = F.least(F.lit(0.92), F.lit(0.52) + F.col("_best.s") / 200.0)
     hit = F.when(F.col("_best.s") >= floor, R.triple(F.col(l1), F.col("_best.l2"), F.col("_best.l3"), conf, "routed"))
     return d.withColumn(out, hit).drop("_a", "_b", "labels", "_best")
 
 
 def l3_score_in_l1(df: DataFrame, taxonomy: DataFrame, body: str = "body", l1: str = "l1", out: str = "scored",
-                   floor: float = 11.0, only: Column | None = None) -> DataFrame:
+                   floor: float = 11.0, only: Column | None = None, low: Column | None = None) -> DataFrame:
     """Best L3 of the whole class as a triple; ``only`` limits the work to residual rows."""
     dims = label_dim(taxonomy, ["l1"]).select(F.col("l1").alias("_a"), "labels")
     cond = F.col(l1) == F.col("_a")
     d = df.join(dims, cond & only if only is not None else cond, "left")
-    d = d.withColumn("_best", _best_label(F.col(body), F.lower(F.col(body)), F.col("labels"), 28.0))
+    d = d.withColumn("_best", _best_label(F.col(body), F.lower(F.col(body)) if low is None else low, F.col("labels"), 28.0))
     conf = F.least(F.lit(0.92), F.lit(0.55) + F.col("_best.s") / 200.0)
     hit = F.when(F.col("_best.s") >= floor, R.triple(F.col(l1), F.col("_best.l2"), F.col("_best.l3"), conf, "scored"))
     return d.withColumn(out, hit).drop("_a", "labels", "_best")
@@ -200,17 +201,20 @@ def gold_lookup(df: DataFrame, gold: DataFrame, taxonomy: DataFrame, clusters: D
                 out: str = "gold") -> DataFrame:
     """Triple of the gold row with the same text. Missing L2 takes the most frequent of the class,
     missing L3 the first cluster or the generic name."""
+    return _gold_triple(df.withColumn("gold_key", gold_key(body)).join(gold, "gold_key", "left").drop("gold_key"), taxonomy, clusters, out)
+
+
+def _gold_triple(d: DataFrame, taxonomy: DataFrame, clusters: DataFrame, out: str) -> DataFrame:
     freq = taxonomy.groupBy("l1", "l2").agg(F.sum("freq").alias("f"), F.min("pos").alias("p"))
     top = freq.groupBy("l1").agg(F.max(F.struct("f", (-F.col("p")).alias("p"), "l2")).alias("m")).select(F.col("l1").alias("_tl1"), F.col("m.l2").alias("_top_l2"))
     first = clusters.groupBy("l1", "l2").agg(F.min(F.struct("pos", "canonical")).alias("m")).select(
         F.col("l1").alias("_cl1"), F.col("l2").alias("_cl2"), F.col("m.canonical").alias("_first"))
-    d = df.withColumn("gold_key", gold_key(body)).join(gold, "gold_key", "left")
     d = d.join(top, F.col("gold_l1") == F.col("_tl1"), "left")
     d = d.withColumn("_g2", F.coalesce(F.nullif("gold_l2", F.lit("")), "_top_l2", F.lit("")))
     d = d.join(first, (F.col("gold_l1") == F.col("_cl1")) & (F.col("_g2") == F.col("_cl2")), "left")
     l3 = F.coalesce(F.nullif("gold_l3", F.lit("")), "_first", F.lit(GENERIC))
     hit = F.when(F.col("gold_l1").isNotNull(), R.triple(F.col("gold_l1"), F.col("_g2"), l3, 0.99, "gold_review"))
-    return d.withColumn(out, hit).drop("gold_key", "gold_l1", "gold_l2", "gold_l3", "_tl1", "_top_l2", "_g2", "_cl1", "_cl2", "_first")
+    return d.withColumn(out, hit).drop("gold_l1", "gold_l2", "gold_l3", "_tl1", "_top_l2", "_g2", "_cl1", "_cl2", "_first")
 
 
 def clean_hints(library: DataFrame, body: str = "原文", label: str = "人工复核结果", order: str = "舆情编号") -> DataFrame:
@@ -337,23 +341,30 @@ def match_cascade(df: DataFrame, pack: Mapping, taxonomy: DataFrame, clusters: D
     Gold first; then pattern rules; then the class from a hint or the word score, its L2 route, the
     scored, clustered or generic L3 of that L2; then the best L3 of the class; then label
     fragments; then symptom defaults. The costly later stages join their dimension only for rows
-    that no earlier stage settled.
+    that no earlier stage settled. Gold and hints meet first, so that a text travels once; it is cleaned and lower-cased once, and
+    its words are counted only where neither decides.
     """
     d = df.withColumn("body", collapse(F.coalesce(F.col(body), F.lit(""))))
-    d = gold_lookup(d, gold, taxonomy, clusters, body) if gold is not None else d.withColumn("gold", R.no_triple())
-    d = clean_hint(d, hints, body) if hints is not None else d.withColumn("hint_l1", F.lit(None).cast("string"))
-    d = d.withColumn("_rule", F.when(F.col("gold").isNull(), C.priority_rules(F.col("body"), pack["priority"])))
-    d = C.l1_keyword_score(d, "body", pack, "_scored_l1").drop("s_product", "s_service", "s_experience", "s_none")
+    if gold is not None or hints is not None:
+        met = gold.join(hints, "gold_key", "full") if gold is not None and hints is not None else hints if gold is None else gold
+        d = d.withColumn("gold_key", F.md5("body")).join(met, "gold_key", "left").drop("gold_key")
+    d = _gold_triple(d, taxonomy, clusters, "gold") if gold is not None else d.withColumn("gold", R.no_triple())
+    d = d if hints is not None else d.withColumn("hint_l1", F.lit(None).cast("string"))
+    d = d.withColumn("_low", F.when(F.col("gold").isNull(), F.lower("body")))
+    low = F.col("_low")
+    d = d.withColumn("_rule", F.when(F.col("gold").isNull(), C.priority_rules(F.col("body"), pack["priority"], low)))
     open1 = F.col("gold").isNull() & F.col("_rule").isNull() & (F.col("body") != "")
+    d = d.withColumn("_ask", F.when(open1 & F.col("hint_l1").isNull(), F.col("body")))
+    d = C.l1_keyword_score(d, "_ask", pack, "_scored_l1", F.when(F.col("_ask").isNotNull(), low)).drop("s_product", "s_service", "s_experience", "s_none", "_ask")
     d = d.withColumn("_l1", F.when(open1, F.coalesce("hint_l1", "_scored_l1")))
-    d = d.withColumn("_l2", C.l2_route(F.col("body"), F.col("_l1"), pack))
-    d = l3_score(d, taxonomy, "body", "_l1", "_l2", "_routed", 9.0)
+    d = d.withColumn("_l2", C.l2_route(F.col("body"), F.col("_l1"), pack, low))
+    d = l3_score(d, taxonomy, "body", "_l1", "_l2", "_routed", 9.0, low=low)
     d = cluster_l3(d, clusters, "body", "_l1", "_l2", "_clustered")
     d = generic_l3(d, taxonomy, "_l1", "_l2", "_generic")
     # A route only counts when the taxonomy knows it, which is when the generic label exists.
     known = F.col("_generic").isNotNull()
     d = d.withColumn("_stage1", F.when(known, F.coalesce("_routed", "_clustered", "_generic")))
-    d = l3_score_in_l1(d, taxonomy, "body", "_l1", "_inl1", 11.0, only=F.col("_stage1").isNull())
+    d = l3_score_in_l1(d, taxonomy, "body", "_l1", "_inl1", 11.0, only=F.col("_stage1").isNull(), low=low).drop("_low")
     open2 = F.col("_l1").isNotNull() & F.col("_stage1").isNull() & F.col("_inl1").isNull()
     d = exact_fuzzy_label(d, taxonomy, "body", "_fuzzy", only=open2)
     rest = F.when(F.col("_l1").isNotNull(), F.coalesce(C.generic_fallback(F.col("body"), F.col("_l1"), pack), C.weak_fallback(F.col("body"), F.col("_l1"), pack)))

@@ -5,11 +5,12 @@ constant array, so the expression does not grow with the list.
 """
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+import re
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from plaintide.functions.common import all_of, alternation, any_case
+from plaintide.functions.common import all_of, any_case, bound, swapped
 
 TRIPLE = "struct<l1:string,l2:string,l3:string,confidence:double,match_type:string>"
 
@@ -28,33 +29,49 @@ def has(t: Column, pattern: str) -> Column:
     return any_case(t, pattern, "s")
 
 
+def plain_words(pattern: str) -> list[str]:
+    """The words of a pattern that is a choice of plain words in a to z; none for any other."""
+    return pattern.split("|") if re.fullmatch("[a-z]+([|][a-z]+)*", pattern) else []
+
+
 def has_word(t: Column, words: Sequence[str]) -> Column:
-    return t.rlike(alternation(words)) if words else F.lit(False)
+    """Whether any word occurs. Bytes are compared, word by word up to the first hit, which is faster than one pattern of all."""
+    if not words:
+        return F.lit(False)
+    return bound(t, lambda x: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w)))
 
 
 def word_count(t: Column, words: Sequence[str]) -> Column:
     """How many words of the list occur (a word listed twice counts twice)."""
     if not words:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
+    return bound(t, lambda x: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))))
 
 
-def sequence_match(t: Column, parts: Sequence[str], deny: str = "") -> Column:
+def sequence_match(t: Column, parts: Sequence[str], deny: str = "", alone: Callable = has) -> Column:
     """The parts occur in this order. Each part is first looked for alone: a linear test that spares
     most texts the backtracking of the joined pattern."""
-    tests = [has(t, p) for p in parts]
+    tests = [alone(t, p) for p in parts]
     if len(parts) > 1:
         tests.append(has(t, ".*".join(f"(?:{p})" for p in parts)))
     if deny:
-        tests.append(~has(t, deny))
+        tests.append(~alone(t, deny))
     return all_of(tests) if len(tests) > 1 else tests[0]
 
 
-def first_rule(t: Column, rules: Sequence[Mapping], match_type: str = "rule") -> Column:
-    """Labels of the first rule that holds, as a triple; NULL if none."""
+def first_rule_lower(low: Column, rules: Sequence[Mapping], match_type: str = "rule") -> Column:
+    """``first_rule`` on a lower-cased text. Plain words are looked for without a pattern: of the letters that lower case leaves,
+    only the long s folds to one of a to z."""
+    def found(folded: Column) -> Column:
+        return first_rule(low, rules, match_type, lambda t, p: has_word(folded, plain_words(p)) if plain_words(p) else has(t, p))
+    return bound(swapped(low, "ſ", "s"), found)
+
+
+def first_rule(t: Column, rules: Sequence[Mapping], match_type: str = "rule", alone: Callable = has) -> Column:
+    """Labels of the first rule that holds, as a triple; NULL if none. ``alone`` looks for a single part or for what is denied."""
     out = None
     for r in rules:
-        cond = sequence_match(t, r["parts"], r.get("deny", ""))
+        cond = sequence_match(t, r["parts"], r.get("deny", ""), alone)
         value = triple(r["l1"], r["l2"], r["l3"], r["confidence"], match_type)
         out = F.when(cond, value) if out is None else out.when(cond, value)
     return out if out is not None else no_triple()
