@@ -351,3 +351,51 @@ def test_keyword_ranks_deal_the_texts_once(spark):
     assert sorted(((r["doc_id"] or 0, r["token"], r["n"], r["score"], r["rank"]) for r in got.collect())) == [
         (0, "delta", 1, 1.0, 1), (1, "alpha", 2, 0.4, 1), (1, "beta", 2, 0.4, 2), (2, "beta", 1, 1.0, 1)]
     assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1 == got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange")
+
+
+def test_vectors_are_dealt_once_however_many_blocks(spark):
+    """Every two blocks meet without an exchange of vectors; copies, repeated ids, rows without id or vector."""
+    arr = unit(300, 6, 13)
+    arr[10] = arr[20] = arr[30]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(arr)]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, rows[7][1]), (400, None), (None, None)], "id long, vector array<float>").repartition(5)
+    folded = sim._folded(df, "id")
+    assert folded.count() == 308 and folded.filter("rep IS NULL").count() == 3
+    assert {tuple(r) for r in folded.filter("rep <> id").select("id", "rep").collect()} == {(20, 10), (30, 10)}
+    points = folded.filter("vector IS NOT NULL").selectExpr("rep AS id", "vector")
+    assert points.count() == 298
+    met = sim._block_forests(points, 0.7, 20)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    forest = sim.similarity_forest(df, 0.7, block_rows=20)
+    for thr in (0.7, 0.85, 0.97):
+        comp = {r["id"]: r["component"] for r in sim.connected_components(forest.filter(F.col("sim") >= thr)).collect()}
+        assert [comp.get(i, i) for i in range(300)] == brute_components(arr, thr)
+    assert sim.similarity_forest(df.filter("id > 1000"), 0.7).count() == 0
+
+
+def test_counts_of_ngrams_are_dealt_and_not_texts(spark):
+    df = spark.range(40).selectExpr("id % 7 AS doc_id", "concat('text number ', id) AS text").repartition(32)
+    e = sim.hashing_embedding(df)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [key") == 1 and plan.index("RepartitionByExpression [key") < plan.index("MapInArrow count(")
+    one = sim.hashing_embedding(df.coalesce(1))
+    sums = lambda x: {tuple(r) for r in x.selectExpr("doc_id", "dim", "round(value, 9)").collect()}
+    assert sums(e) == sums(one) and len(sums(e)) == e.count()
+
+
+def test_cells_become_vectors_in_any_order(spark):
+    rs = np.random.RandomState(3)
+    cells = [(k, d, float(rs.randn())) for k in range(60) for d in range(40) if rs.rand() < 0.5] + [(1, 100, 1.0), (None, 3, 2.0), (None, 4, None)]
+    want = {}
+    for k, d, x in cells:
+        if d < 40:
+            want.setdefault(k, np.zeros(40, "float32"))[d] = x or 0.0
+    rs.shuffle(cells)
+    df = spark.createDataFrame(cells, "doc_id long, dim int, value double").repartition(6)
+    got = {r["doc_id"]: r["vector"] for r in sim.dense_vectors(df, dim=40).collect()}
+    assert got.keys() == want.keys() and all(np.array_equal(np.array(got[k], "float32"), want[k]) for k in want)
+    for part in (1, 5):
+        twice = df.union(df.filter("doc_id = 9")).repartition(part)
+        with pytest.raises(Exception, match="twice"):
+            sim.dense_vectors(twice, dim=40).collect()
